@@ -160,14 +160,19 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 # Feeds for the loading operators.
 
 
-def history(spark, sf_dir):
-    """All known runs of every scan, finished or not."""
-    return read(spark, sf_dir, "orders").select(
+def history_columns():
+    """Orders as the run history of scans; a P means the run is not over."""
+    return [
         F.col("o_custkey").alias("scan_id"),
         F.col("o_orderkey").alias("history_id"),
         F.unix_timestamp("o_orderdate").alias("creation_date"),
         F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed").alias("status"),
-    )
+    ]
+
+
+def history(spark, sf_dir):
+    """All known runs of every scan, finished or not."""
+    return read(spark, sf_dir, "orders").select(*history_columns())
 
 
 def vulnerability_counts(spark, sf_dir):

@@ -111,8 +111,8 @@ def port_number(port) -> Column:
     NULL stays NULL. A plain cast would fail on '443 / tcp / www' in ANSI mode.
     """
     port = F.col(port) if isinstance(port, str) else port
-    start = F.regexp_extract(port, _NUMBER_AT_START, 1)
-    return F.when(start == "", F.lit(0.0)).otherwise(start.try_cast("double"))
+    number = F.regexp_extract(port, _NUMBER_AT_START, 1).try_cast("double")
+    return F.coalesce(number, F.when(port.isNotNull(), F.lit(0.0)))
 
 
 def usable_port(port) -> Column:

@@ -101,12 +101,22 @@ class FilterSpec:
             conditions.append(self._contains(name, self.vulnerability_name))
         return reduce(Column.__and__, conditions) if conditions else None
 
-    def port_condition(self, column: str) -> Column | None:
+    def port_condition(self, column: str, number: Column | None = None) -> Column | None:
+        """On the port text in `column`, or on its number if that is at hand already."""
         if not self.port:
             return None
-        number = port_number(column)
-        ranges = [number.between(low, high) for low, high in port_ranges(self.port)]
-        return reduce(Column.__or__, ranges, F.lit(False))
+        if number is None:
+            # In an array, the text is turned into a number once for all ranges.
+            return F.exists(F.array(port_number(column)), self._in_port_ranges)
+        return self._in_port_ranges(number)
+
+    def _in_port_ranges(self, number: Column) -> Column:
+        ranges = port_ranges(self.port)
+        single = [low for low, high in ranges if low == high]
+        tests = [number.between(low, high) for low, high in ranges if low < high]
+        if single:
+            tests.append(number.isin(*single))
+        return reduce(Column.__or__, tests) if tests else F.lit(False)
 
     def to_link(self) -> str:
         values = {

@@ -9,6 +9,7 @@ are built here from inner joins plus, where a report needs them, the host rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,17 +35,26 @@ class Scope:
     tables: Tables
     spec: FilterSpec
     runs: DataFrame
-    hosts: DataFrame
     few_runs: bool
 
+    @cached_property
+    def hosts(self) -> DataFrame:
+        """Hosts that pass the filters on scans and addresses, with their scan."""
+        hosts = self.prune(self.tables.host.select(*HOST_KEY, "host_ip", "host_fqdn"))
+        condition = self.spec.host_condition("host_ip")
+        if condition is not None:
+            hosts = hosts.filter(condition)
+        return hosts.join(broadcast_if(self.runs, self.few_runs), "scan_run_id")
+
     def prune(self, df: DataFrame) -> DataFrame:
-        """Drop rows of other runs before any shuffle, if the runs can be broadcast.
+        """Drop the rows of other runs first, without a shuffle if the runs can be broadcast.
 
-        With too many runs for that, the join with the hosts drops them instead.
+        Most rows belong to older runs, so what follows sees a fraction of them.
         """
-        if self.few_runs and "scan_run_id" in df.columns:
-            return df.join(F.broadcast(self.runs.select("scan_run_id")), "scan_run_id", "left_semi")
-        return df
+        if "scan_run_id" not in df.columns:
+            return df
+        runs = broadcast_if(self.runs.select("scan_run_id"), self.few_runs)
+        return df.join(runs, "scan_run_id", "left_semi")
 
 
 def scope(tables: Tables, spec: FilterSpec, folder: str | None = None) -> Scope:
@@ -61,14 +71,7 @@ def scope(tables: Tables, spec: FilterSpec, folder: str | None = None) -> Scope:
         folders = tables.folder.select("folder_id", F.col("name").alias("folder_name"))
         runs = runs.join(folders, "folder_id", folder)
         columns.append("folder_name")
-    runs = runs.select(*columns)
-
-    hosts = tables.host.select(*HOST_KEY, "host_ip", "host_fqdn")
-    condition = spec.host_condition("host_ip")
-    if condition is not None:
-        hosts = hosts.filter(condition)
-    hosts = hosts.join(broadcast_if(runs, few_runs), "scan_run_id")
-    return Scope(tables, spec, runs, hosts, few_runs)
+    return Scope(tables, spec, runs.select(*columns), few_runs)
 
 
 def _key_columns(sc: Scope) -> list[str]:
@@ -77,11 +80,16 @@ def _key_columns(sc: Scope) -> list[str]:
 
 def outputs(sc: Scope, *columns: str) -> DataFrame:
     """Outputs of the runs in scope that pass the port filter: finding key and `columns`."""
-    found = sc.tables.vuln_output
-    condition = sc.spec.port_condition("port")
-    if condition is not None:
-        found = found.filter(condition)
-    return sc.prune(found).select(*sc.tables.finding_key, *columns)
+    found = sc.prune(matching_outputs(sc.tables, sc.spec))
+    return found.select(*sc.tables.finding_key, *columns)
+
+
+def matching_outputs(tables: Tables, spec: FilterSpec) -> DataFrame:
+    """All outputs that pass the port filter, by the stored port number where there is one."""
+    found = tables.vuln_output
+    stored = F.col("port_number") if "port_number" in found.columns else None
+    condition = spec.port_condition("port", stored)
+    return found if condition is None else found.filter(condition)
 
 
 def located_findings(sc: Scope, match_ports: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.functions.scalars import reference_list
+from breachlens.functions.scalars import port_number, reference_list
 from breachlens.schemas import COUNT_COLUMNS, REQUEST_IDS
 
 
@@ -164,6 +164,7 @@ def output_rows(payload: DataFrame) -> DataFrame:
         surrogate_key(*finding, "output_no", "port").alias("vuln_output_id"),
         surrogate_key(*finding).alias("host_vuln_id"),
         "*",
+        port_number("port").alias("port_number"),
     )
 
 

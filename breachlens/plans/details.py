@@ -11,7 +11,7 @@ from breachlens.functions.scalars import (
     cvss_band, cvss_color, reference_lines, severity_label, turkish_date, vulnerability_name,
 )
 from breachlens.operators.filters import FilterSpec
-from breachlens.operators.findings import Scope, findings, scope, with_outputs, with_plugin
+from breachlens.operators.findings import Scope, findings, matching_outputs, scope, with_outputs
 from breachlens.operators.sizing import checkpointed
 from breachlens.sources.tables import Tables
 
@@ -83,10 +83,7 @@ def _limited(tables: Tables, spec: FilterSpec, limit: int) -> tuple[DataFrame, S
 def outputs_of(few: DataFrame, sc: Scope) -> DataFrame:
     """The outputs of a bounded number of findings; the outputs are not shuffled."""
     key = list(sc.tables.finding_key)
-    found = sc.tables.vuln_output.select(*key, "port")
-    condition = sc.spec.port_condition("port")
-    if condition is not None:
-        found = found.filter(condition)
+    found = matching_outputs(sc.tables, sc.spec).select(*key, "port")
     return found.join(F.broadcast(few.select(*key)), key, "left_semi")
 
 

@@ -15,10 +15,10 @@ from breachlens.sources.tables import Tables
 TOTALS = {level: f"total_{name.lower()}" for level, _, name, _ in SEVERITIES}
 
 
-def _counts(weight, names: dict[int, str]):
+def _counts(weight: str, names: dict[int, str]):
     """One sum of `weight` per severity level; 0 where there is nothing to add."""
     return [
-        F.sum(F.when(F.col("severity") == level, F.col(weight)).otherwise(0)).alias(name)
+        F.expr(f"sum(if(severity = {level}, {weight}, 0))").alias(name)
         for level, name in names.items()
     ]
 

@@ -149,22 +149,17 @@ def _ingest_host_counts(spark, sf_dir):
 
 def _ingest_ports(spark, sf_dir):
     """Outputs of every finding, from payloads in which ports are the keys of a map."""
-    ports = F.transform(
-        sample.finding_ports(F.col("plugin_id")),
-        lambda o: F.struct(
-            F.concat(F.lit("output "), o["output_no"].cast("string")).alias("plugin_output"),
-            F.map_from_entries(F.filter(
-                F.array(F.struct(o["port"], F.array(F.struct(F.lit("h").alias("hostname"))))),
-                lambda e: e["port"].isNotNull(),
-            )).alias("ports"),
-        ),
-    )
-    rows = sample.host_vuln(spark, sf_dir).select(
-        F.col("scan_run_id").alias("history_id"), F.col("scanner_host_id").alias("host_id"), "plugin_id"
-    )
-    payloads = _payloads(
-        rows, "finding", ["history_id", "host_id", "plugin_id"], F.struct(ports.alias("outputs"))
+    outputs = []
+    for number, condition, port in sample.OUTPUTS:
+        ports = f"if({port} IS NULL, map(), map({port}, array(named_struct('hostname', 'h'))))"
+        outputs.append(
+            f"if({condition}, named_struct('plugin_output', 'output {number}', 'ports', {ports}), NULL)"
+        )
+    rows = sample.host_vuln(spark, sf_dir).selectExpr(
+        "scan_run_id AS history_id", "scanner_host_id AS host_id", "plugin_id"
     )
+    body = F.expr(f"named_struct('outputs', array_compact(array({', '.join(outputs)})))")
+    payloads = _payloads(rows, "finding", ["history_id", "host_id", "plugin_id"], body)
     return ingest.output_rows(payloads).drop("vuln_output_id", "host_vuln_id")
 
 
@@ -240,7 +235,7 @@ def _stream_severity_counts(spark, sf_dir):
 
 def _stream_new_runs(spark, sf_dir):
     path = _new_path(spark, "new-runs")
-    history = _stream(spark, sf_dir, "orders").select(*sample.history_columns())
+    history = _stream(spark, sf_dir, "orders").selectExpr(*sample.HISTORY)
     schema = "scan_id BIGINT, creation_date BIGINT, history_id BIGINT, status STRING"
     jobs.new_runs(history, path, _loaded(spark, sf_dir), schema).awaitTermination()
     return jobs.picked_runs(spark, path, schema).select("scan_id", "history_id")

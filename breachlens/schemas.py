@@ -17,7 +17,8 @@ TABLES = {
     "description STRING, solution STRING, cvss_base_score DOUBLE, cvss3_base_score DOUBLE, "
     "cvss_vector STRING, cvss3_vector STRING, ref STRING, pub_date STRING, mod_date STRING",
     "vuln_output": "vuln_output_id BIGINT, host_vuln_id BIGINT, scanner_host_id BIGINT, "
-    "scan_run_id BIGINT, plugin_id BIGINT, output_no INT, port STRING, output STRING",
+    "scan_run_id BIGINT, plugin_id BIGINT, output_no INT, port STRING, port_number DOUBLE, "
+    "output STRING",
 }
 
 # One host row per host and run, one finding per host, run and plugin.

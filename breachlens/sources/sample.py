@@ -6,10 +6,11 @@ a report starts no job, and leaves pruning and pushdown to Catalyst.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from breachlens.sources.tables import Tables
+from breachlens.sources.tables import LazyTables, Tables
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -27,181 +28,140 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _pick(index, *values):
-    """The value at `index`, counted from 0."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
-
-
 def folder(spark, sf_dir):
-    return (
-        read(spark, sf_dir, "nation")
-        .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("n_nationkey").alias("folder_id"),
-            F.col("r_name").alias("type"),
-            F.col("n_name").alias("name"),
-        )
+    nations = read(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
+    return nations.join(read(spark, sf_dir, "region"), "r_regionkey").selectExpr(
+        "n_nationkey AS folder_id", "r_name AS type", "n_name AS name"
     )
 
 
 def scan(spark, sf_dir):
-    unfiled = F.col("c_custkey") % 17 == 0
-    return read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("scan_id"),
-        F.when(~unfiled, F.col("c_nationkey")).alias("folder_id"),
-        F.col("c_mktsegment").alias("type"),
-        F.concat("c_mktsegment", F.lit("-"), (F.col("c_custkey") % 40).cast("string")).alias("name"),
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS scan_id",
+        "if(c_custkey % 17 = 0, NULL, c_nationkey) AS folder_id",
+        "c_mktsegment AS type",
+        "c_mktsegment || '-' || (c_custkey % 40) AS name",
     )
 
 
 def scan_run(spark, sf_dir):
-    start = F.unix_timestamp("o_orderdate")
-    return read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("scan_run_id"),
-        F.col("o_custkey").alias("scan_id"),
-        start.alias("scan_start"),
-        (start + 3600).alias("scan_end"),
-        F.col("o_orderpriority").alias("targets"),
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS scan_run_id",
+        "o_custkey AS scan_id",
+        "unix_timestamp(o_orderdate) AS scan_start",
+        "unix_timestamp(o_orderdate) + 3600 AS scan_end",
+        "o_orderpriority AS targets",
     )
 
 
 def host(spark, sf_dir):
-    supplier_key = F.col("scanner_host_id")
-    seen = (
-        read(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").alias("scan_run_id"), F.col("l_suppkey").alias("scanner_host_id"))
-        .distinct()
+    """Joined before made distinct: both then need the lines of a run together."""
+    lines = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS scan_run_id", "l_suppkey AS scanner_host_id"
     )
     runs = scan_run(spark, sf_dir).select("scan_run_id", "scan_id")
-    return seen.join(runs, "scan_run_id").select(
+    return lines.join(runs, "scan_run_id").distinct().selectExpr(
         "scanner_host_id",
         "scan_run_id",
         "scan_id",
-        F.concat(
-            F.lit("10.0."), (supplier_key % 4).cast("string"),
-            F.lit("."), (supplier_key % 250).cast("string"),
-        ).alias("host_ip"),
-        F.when(
-            supplier_key % 9 != 0,
-            F.concat(F.lit("h"), supplier_key.cast("string"), F.lit(".example.org")),
-        ).alias("host_fqdn"),
+        "'10.0.' || (scanner_host_id % 4) || '.' || (scanner_host_id % 250) AS host_ip",
+        "if(scanner_host_id % 9 = 0, NULL, 'h' || scanner_host_id || '.example.org') AS host_fqdn",
     )
 
 
 def host_vuln(spark, sf_dir):
     return (
         read(spark, sf_dir, "lineitem")
-        .filter(F.col("l_quantity") > 5)
-        .select(
-            F.col("l_suppkey").alias("scanner_host_id"),
-            F.col("l_orderkey").alias("scan_run_id"),
-            F.col("l_partkey").alias("plugin_id"),
-        )
+        .filter("l_quantity > 5")
+        .selectExpr("l_suppkey AS scanner_host_id", "l_orderkey AS scan_run_id", "l_partkey AS plugin_id")
         .distinct()
     )
 
 
 def plugin(spark, sf_dir):
-    key, size = F.col("p_partkey"), F.col("p_size")
-    text = F.lit(None).cast("string")
-    return read(spark, sf_dir, "part").filter(key % 50 != 0).select(
-        key.alias("plugin_id"),
-        (size % 5).alias("severity"),
-        F.concat("p_name", F.lit(" #"), (key % 100).cast("string")).alias("name"),
-        F.col("p_type").alias("family"),
-        F.col("p_brand").alias("synopsis"),
-        F.when(key % 13 != 0, F.concat(F.lit("About "), "p_name")).alias("description"),
-        F.concat(F.lit("Fix "), "p_brand").alias("solution"),
-        F.lit(None).cast("double").alias("cvss_base_score"),
-        F.when(size % 7 != 0, (size % 11).cast("double")).alias("cvss3_base_score"),
-        text.alias("cvss_vector"),
-        text.alias("cvss3_vector"),
-        F.when(
-            key % 3 != 0,
-            F.concat(F.lit("http://a/"), key.cast("string"), F.lit("\n \nhttp://b/"), "p_brand"),
-        ).alias("ref"),
-        text.alias("pub_date"),
-        (2000 + size % 20).cast("string").alias("mod_date"),
+    return read(spark, sf_dir, "part").filter("p_partkey % 50 <> 0").selectExpr(
+        "p_partkey AS plugin_id",
+        "p_size % 5 AS severity",
+        "p_name || ' #' || (p_partkey % 100) AS name",
+        "p_type AS family",
+        "p_brand AS synopsis",
+        "if(p_partkey % 13 = 0, NULL, 'About ' || p_name) AS description",
+        "'Fix ' || p_brand AS solution",
+        "CAST(NULL AS DOUBLE) AS cvss_base_score",
+        "if(p_size % 7 = 0, NULL, CAST(p_size % 11 AS DOUBLE)) AS cvss3_base_score",
+        "CAST(NULL AS STRING) AS cvss_vector",
+        "CAST(NULL AS STRING) AS cvss3_vector",
+        "if(p_partkey % 3 = 0, NULL, 'http://a/' || p_partkey || '\\n \\nhttp://b/' || p_brand) AS ref",
+        "CAST(NULL AS STRING) AS pub_date",
+        "CAST(2000 + p_size % 20 AS STRING) AS mod_date",
     )
 
 
-def finding_ports(plugin_id):
-    """The outputs of a finding, as an array of (output_no, port): none, one or two."""
-    first = _pick(
-        plugin_id % 6,
-        "443 / tcp / www", "22 / tcp / ssh", "0 / tcp", "80 / tcp / www", "8080", "445 / tcp / cifs",
-    )
-    second = _pick(plugin_id % 4, "3389 / tcp", "161 / udp / snmp", "0 / icmp", None)
-    return F.array_compact(F.array(
-        F.when(plugin_id % 3 >= 1, F.struct(F.lit(0).alias("output_no"), first.alias("port"))),
-        F.when(plugin_id % 3 == 2, F.struct(F.lit(1).alias("output_no"), second.alias("port"))),
-    ))
+# The outputs of a finding: number, condition on its plugin, port.
+OUTPUTS = (
+    (0, "plugin_id % 3 >= 1", """CASE plugin_id % 6 WHEN 0 THEN '443 / tcp / www'
+        WHEN 1 THEN '22 / tcp / ssh' WHEN 2 THEN '0 / tcp' WHEN 3 THEN '80 / tcp / www'
+        WHEN 4 THEN '8080' ELSE '445 / tcp / cifs' END"""),
+    (1, "plugin_id % 3 = 2", """CASE plugin_id % 4 WHEN 0 THEN '3389 / tcp'
+        WHEN 1 THEN '161 / udp / snmp' WHEN 2 THEN '0 / icmp' END"""),
+)
 
 
 def vuln_output(spark, sf_dir):
-    return host_vuln(spark, sf_dir).select(
-        "scanner_host_id", "scan_run_id", "plugin_id",
-        F.inline(finding_ports(F.col("plugin_id"))),
+    """A union and no explode: filters and semi-joins go through it to the scans."""
+    first, second = (
+        host_vuln(spark, sf_dir).filter(condition).selectExpr(
+            "scanner_host_id", "scan_run_id", "plugin_id", f"{number} AS output_no", f"{port} AS port"
+        )
+        for number, condition, port in OUTPUTS
     )
+    return first.unionByName(second)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(
-        folder=folder(spark, sf_dir),
-        scan=scan(spark, sf_dir),
-        scan_run=scan_run(spark, sf_dir),
-        host=host(spark, sf_dir),
-        host_vuln=host_vuln(spark, sf_dir),
-        plugin=plugin(spark, sf_dir),
-        vuln_output=vuln_output(spark, sf_dir),
-    )
+    makers = (folder, scan, scan_run, host, host_vuln, plugin, vuln_output)
+    return LazyTables({make.__name__: partial(make, spark, sf_dir) for make in makers})
 
 
 # Feeds for the loading operators.
 
-
-def history_columns():
-    """Orders as the run history of scans; a P means the run is not over."""
-    return [
-        F.col("o_custkey").alias("scan_id"),
-        F.col("o_orderkey").alias("history_id"),
-        F.unix_timestamp("o_orderdate").alias("creation_date"),
-        F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed").alias("status"),
-    ]
+# Orders as the run history of scans; a P means the run is not over.
+HISTORY = (
+    "o_custkey AS scan_id",
+    "o_orderkey AS history_id",
+    "unix_timestamp(o_orderdate) AS creation_date",
+    "if(o_orderstatus = 'P', 'running', 'completed') AS status",
+)
 
 
 def history(spark, sf_dir):
     """All known runs of every scan, finished or not."""
-    return read(spark, sf_dir, "orders").select(*history_columns())
+    return read(spark, sf_dir, "orders").selectExpr(*HISTORY)
 
 
 def vulnerability_counts(spark, sf_dir):
     """What a scanner reports for each finding: a severity and a number of hits."""
     known = plugin(spark, sf_dir).select("plugin_id", "severity")
-    return host_vuln(spark, sf_dir).join(known, "plugin_id").select(
-        "scan_run_id", "scanner_host_id", "plugin_id", "severity",
-        (1 + F.col("plugin_id") % 3).alias("n"),
+    return host_vuln(spark, sf_dir).join(known, "plugin_id").selectExpr(
+        "scan_run_id", "scanner_host_id", "plugin_id", "severity", "1 + plugin_id % 3 AS n"
     )
 
 
 def plugin_feed(spark, sf_dir):
     """Plugin versions in order of arrival."""
-    return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("plugin_id"),
-        F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") != "error", F.col("event_type")).alias("mod_date"),
-        F.col("value").alias("payload"),
+    return read(spark, sf_dir, "events").selectExpr(
+        "user_id AS plugin_id",
+        "event_id AS seq",
+        "if(event_type = 'error', NULL, event_type) AS mod_date",
+        "value AS payload",
     )
 
 
 def plugin_stored(spark, sf_dir):
     """Plugin versions held before the feed arrives."""
-    return (
-        read(spark, sf_dir, "events")
-        .filter(F.col("user_id") % 2 == 0)
-        .select(F.col("user_id").alias("plugin_id"))
-        .distinct()
-        .withColumns({"mod_date": F.lit("click"), "payload": F.lit(0.0)})
+    events = read(spark, sf_dir, "events").filter("user_id % 2 = 0")
+    return events.selectExpr("user_id AS plugin_id").distinct().selectExpr(
+        "plugin_id", "'click' AS mod_date", "0D AS payload"
     )
 
 
@@ -211,11 +171,8 @@ def folder_stored(spark, sf_dir):
 
 def folder_feed(spark, sf_dir):
     """Overlaps what is stored: some folders are new, some renamed, some unchanged."""
-    renamed = F.when(F.col("folder_id") % 4 == 0, F.concat("name", F.lit("*")))
-    return (
-        folder(spark, sf_dir)
-        .filter("folder_id >= 10")
-        .withColumn("name", F.coalesce(renamed, F.col("name")))
+    return folder(spark, sf_dir).filter("folder_id >= 10").selectExpr(
+        "folder_id", "type", "if(folder_id % 4 = 0, name || '*', name) AS name"
     )
 
 
@@ -226,9 +183,9 @@ def scan_stored(spark, sf_dir):
 
 def scan_feed(spark, sf_dir):
     """All scans; some have lost their folder, some have a new name."""
-    moved = F.when(F.col("scan_id") % 7 != 1, F.col("folder_id"))
-    renamed = F.when(F.col("scan_id") % 5 == 0, F.concat("name", F.lit("*")))
-    return scan(spark, sf_dir).withColumns({
-        "folder_id": moved,
-        "name": F.coalesce(renamed, F.col("name")),
-    })
+    return scan(spark, sf_dir).selectExpr(
+        "scan_id",
+        "if(scan_id % 7 = 1, NULL, folder_id) AS folder_id",
+        "type",
+        "if(scan_id % 5 = 0, name || '*', name) AS name",
+    )

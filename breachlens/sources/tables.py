@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,20 @@ class Tables:
         return {name: getattr(self, name) for name in schemas.TABLES}
 
 
+class LazyTables(Tables):
+    """Tables that are defined when first asked for; a report needs only some of them."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        object.__setattr__(self, "_makers", makers)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in schemas.TABLES:
+            raise AttributeError(name)
+        frame = self._makers[name]()
+        object.__setattr__(self, name, frame)
+        return frame
+
+
 def from_parquet(spark: SparkSession, root: str) -> Tables:
     """One parquet folder or file per table, `<root>/<table>`."""
     return Tables(**{

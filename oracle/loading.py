@@ -118,8 +118,9 @@ def loading() -> dict[str, str]:
         "pk_duplicates": over(" UNION ALL ".join(duplicates)),
         "ingest_run_counts": _counts("scan_run_id"),
         "ingest_host_counts": _counts("scan_run_id, scanner_host_id"),
-        "ingest_ports": over("""
+        "ingest_ports": over(r"""
             SELECT scanner_host_id, scan_run_id, plugin_id,
+                   CAST(regexp_extract(port, '^\d+') AS DOUBLE) AS port_number,
                    CAST(CASE WHEN plugin_id % 3 = 2 THEN output_no ELSE 0 END AS INTEGER) AS output_no,
                    port, 'output ' || CAST(output_no AS VARCHAR) AS output
             FROM vuln_output WHERE port IS NOT NULL"""),

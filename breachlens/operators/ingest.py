@@ -149,11 +149,13 @@ def plugin_rows(payload: DataFrame) -> DataFrame:
 
 def output_rows(payload: DataFrame) -> DataFrame:
     """One row per output and port of a finding. An output without ports has none."""
+    # The outer form, as Spark adds a test of the array's size to the other one, for which
+    # it would parse payloads that come as text a second time.
     rows = payload.select(
         F.col("host_id").alias("scanner_host_id"),
         F.col("history_id").alias("scan_run_id"),
         "plugin_id",
-        F.posexplode("outputs").alias("output_no", "o"),
+        F.posexplode_outer("outputs").alias("output_no", "o"),
     ).select(
         "scanner_host_id", "scan_run_id", "plugin_id", "output_no",
         F.explode(F.map_keys("o.ports")).alias("port"),

@@ -30,36 +30,30 @@ def latest_runs(scan_run: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scope:
-    """What a filter leaves of the latest runs, and of the hosts in them.
-
-    `run_ids` is for cutting large tables down early. It is kept apart from `runs` so
-    that all cuts in a report are the same subplan, which Spark then runs once.
-    """
+    """What a filter leaves of the latest runs, and of the hosts in them."""
 
     tables: Tables
     spec: FilterSpec
     runs: DataFrame
-    run_ids: DataFrame
     few_runs: bool
 
     def prune(self, df: DataFrame) -> DataFrame:
-        """Drop the rows of other runs first, without a shuffle if the runs can be broadcast.
+        """Drop the rows of other runs before any shuffle, if the runs can be broadcast.
 
-        Most rows belong to older runs, so what follows sees a fraction of them.
+        With too many runs for that, the join with the hosts drops them: a shuffle by
+        run alone would cost as much, and one run may hold a large share of all rows.
         """
-        if "scan_run_id" not in df.columns:
+        if not self.few_runs or "scan_run_id" not in df.columns:
             return df
-        return df.join(broadcast_if(self.run_ids, self.few_runs), "scan_run_id", "left_semi")
+        return df.join(F.broadcast(self.runs.select("scan_run_id")), "scan_run_id", "left_semi")
 
     @cached_property
     def hosts(self) -> DataFrame:
         """Hosts that pass the filters on scans and addresses, with their scan."""
-        hosts = self.tables.host.select(*HOST_KEY, "host_ip", "host_fqdn")
+        hosts = self.prune(self.tables.host.select(*HOST_KEY, "host_ip", "host_fqdn"))
         condition = self.spec.host_condition("host_ip")
         if condition is not None:
             hosts = hosts.filter(condition)
-        if self.few_runs:
-            hosts = self.prune(hosts)
         return hosts.join(broadcast_if(self.runs, self.few_runs), "scan_run_id")
 
 
@@ -68,19 +62,16 @@ def scope(tables: Tables, spec: FilterSpec, folder: str | None = None) -> Scope:
     scans = tables.scan.select("scan_id", "folder_id", F.col("name").alias("scan_name"))
     # A scan has one latest run, so the runs are no more than the scans.
     few_runs = fits_broadcast(scans)
-    latest = latest_runs(tables.scan_run)
-    run_ids = latest
     condition = spec.scan_condition("scan_name")
     if condition is not None:
         scans = scans.filter(condition)
-        run_ids = latest.join(scans, "scan_id", "left_semi")
-    runs = latest.join(scans, "scan_id")
+    runs = latest_runs(tables.scan_run).join(scans, "scan_id")
     columns = ["scan_run_id", "scan_start", "scan_name"]
     if folder:
         folders = tables.folder.select("folder_id", F.col("name").alias("folder_name"))
         runs = runs.join(folders, "folder_id", folder)
         columns.append("folder_name")
-    return Scope(tables, spec, runs.select(*columns), run_ids.select("scan_run_id"), few_runs)
+    return Scope(tables, spec, runs.select(*columns), few_runs)
 
 
 def _key_columns(sc: Scope) -> list[str]:

@@ -113,7 +113,8 @@ class FilterSpec:
     def _in_port_ranges(self, number: Column) -> Column:
         ranges = port_ranges(self.port)
         single = [low for low, high in ranges if low == high]
-        tests = [number.between(low, high) for low, high in ranges if low < high]
+        whole = number == F.floor(number)
+        tests = [number.between(low, high) & whole for low, high in ranges if low < high]
         if single:
             tests.append(number.isin(*single))
         return reduce(Column.__or__, tests) if tests else F.lit(False)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from breachlens.session import ensure_checkpoint_dir
 
 
+# Results cut to this many rows may be broadcast.
+FEW_ROWS = 100_000
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark's own size estimate of `df` is within the session's broadcast limit.
 

@@ -12,7 +12,7 @@ from breachlens.functions.scalars import (
 )
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import Scope, findings, matching_outputs, scope, with_outputs
-from breachlens.operators.sizing import checkpointed
+from breachlens.operators.sizing import FEW_ROWS, broadcast_if, checkpointed
 from breachlens.sources.tables import Tables
 
 DETAIL_LIMIT = 1000
@@ -52,7 +52,7 @@ def _described(rows: DataFrame, sc: Scope) -> DataFrame:
         "cvss3_base_score", "description", "solution", "cvss3_vector", "ref", "pub_date", "mod_date",
     )
     scan_date = F.timestamp_seconds("scan_start")
-    return texts.join(rows.drop("severity", "name", "known_plugin_id"), "plugin_id").withColumns({
+    return rows.drop("severity", "name", "known_plugin_id").join(texts, "plugin_id").withColumns({
         "vulnerability_name": vulnerability_name("name"),
         "severity_text": severity_label(),
         "scan_date": scan_date,
@@ -64,27 +64,26 @@ def _limited(tables: Tables, spec: FilterSpec, limit: int) -> tuple[DataFrame, S
     """The first `limit` rows in report order, with plugin texts.
 
     Every finding has at least one row, so the first rows come from the first
-    findings. These are chosen on narrow columns and kept; outputs and plugin texts
-    are then looked up for them alone, by broadcasting no more than `limit` rows.
+    findings. These are chosen on narrow columns and kept. Their outputs, however many,
+    and the plugin texts are then found by broadcasting no more than `limit` rows.
     """
     sc = scope(tables, spec)
-    key = list(tables.finding_key)
+    key, few = list(tables.finding_key), limit <= FEW_ROWS
     narrow = list(dict.fromkeys((
         *key, "plugin_id", "severity", "scan_start", "scan_name", "host_ip", "host_fqdn",
     )))
+    order = _ordering(sc, "port")
     first = findings(sc, required=True).select(*narrow).orderBy(*_ordering(sc)).limit(limit)
     first = checkpointed(first)
-    shown = outputs_of(first, sc)
-    how = "inner" if spec.port else "left"
-    rows = first.join(shown, key, how).orderBy(*_ordering(sc, "port")).limit(limit)
-    return _described(F.broadcast(rows), sc).orderBy(*_ordering(sc, "port")), sc
-
-
-def outputs_of(few: DataFrame, sc: Scope) -> DataFrame:
-    """The outputs of a bounded number of findings; the outputs are not shuffled."""
-    key = list(sc.tables.finding_key)
-    found = matching_outputs(sc.tables, sc.spec).select(*key, "port")
-    return found.join(F.broadcast(few.select(*key)), key, "left_semi")
+    shown = matching_outputs(tables, spec).select(*key, "port").join(broadcast_if(first, few), key)
+    shown = shown.orderBy(*order).limit(limit)
+    if not spec.port:
+        # A finding whose outputs all lie beyond the limit looks silent here, but its
+        # row then lies beyond the limit, too.
+        shown = checkpointed(shown)
+        silent = first.join(shown.select(*key).distinct(), key, "left_anti")
+        shown = shown.unionByName(silent, allowMissingColumns=True).orderBy(*order).limit(limit)
+    return _described(broadcast_if(shown, few), sc).orderBy(*order), sc
 
 
 def vulnerability_detail(

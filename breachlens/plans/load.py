@@ -24,14 +24,14 @@ def choose_runs(
     return ingest.unloaded_runs(ingest.completed_runs(ingest.newest_runs(history_rows)), loaded)
 
 
-def arrival_order(payloads: Payloads) -> DataFrame:
+def arrival_order(scans: DataFrame, run: DataFrame, host: DataFrame) -> DataFrame:
     """The place of each finding in a pass: by scan, then host, then finding."""
-    scans = ingest.scans(payloads.scans).select("scan_id", F.col("position").alias("scan_position"))
-    hosts = payloads.run.select(
+    scans = ingest.scans(scans).select("scan_id", F.col("position").alias("scan_position"))
+    hosts = run.select(
         "scan_id", F.col("history_id").alias("scan_run_id"),
         F.posexplode("hosts").alias("host_position", "h"),
     ).select("scan_id", "scan_run_id", "host_position", F.col("h.host_id").alias("scanner_host_id"))
-    found = ingest.finding_rows(payloads.host)
+    found = ingest.finding_rows(host)
     return (
         found.join(hosts, ["scan_run_id", "scanner_host_id"])
         .join(scans, "scan_id")
@@ -65,10 +65,15 @@ def load_pass(
     def of_chosen(payload: DataFrame, runs: DataFrame) -> DataFrame:
         return payload.join(runs, ["scan_id", "history_id"], "left_semi")
 
-    run, bad_run = ingest.split_required(of_chosen(payloads.run, chosen), "run")
-    host, bad_host = ingest.split_required(of_chosen(payloads.host, chosen), "host")
-    finding, bad_finding = ingest.split_required(of_chosen(payloads.finding, chosen), "finding")
-    answered = payloads.run.select("scan_id", "history_id")
+    staged = {
+        kind: store.stage(kind, of_chosen(getattr(payloads, kind), chosen))
+        for kind in ("run", "host", "finding")
+    }
+    answered = staged["run"].select("scan_id", "history_id")
+    order = arrival_order(payloads.scans, staged["run"], staged["host"])
+    run, bad_run = ingest.split_required(staged["run"], "run")
+    host, bad_host = ingest.split_required(staged["host"], "host")
+    finding, bad_finding = ingest.split_required(staged["finding"], "finding")
     no_run = chosen.join(answered, ["scan_id", "history_id"], "left_anti").withColumns({
         "payload": F.lit("run"), "reason": F.lit("no answer"),
     })
@@ -86,7 +91,6 @@ def load_pass(
     store.write_version("folder", upsert(old_folders, folders, "folder_id", FOLDER_COLUMNS), load_id)
     store.write_version("scan", upsert(old_scans, scans, "scan_id", SCAN_COLUMNS), load_id)
 
-    order = arrival_order(payloads)
     fed = ingest.plugin_rows(finding).join(
         order, ["scan_run_id", "scanner_host_id", "requested_plugin_id"]
     )

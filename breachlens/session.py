@@ -53,16 +53,21 @@ def build_session(
     return builder.getOrCreate()
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and streaming output.
 
     A cluster names a shared one in spark.checkpoint.dir. Only where that is unset,
-    as in tests, is a new local folder made, and the session remembers it.
+    as in tests, is a local folder made, one per application.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = tempfile.mkdtemp(prefix="breachlens-")
-        spark.conf.set("spark.checkpoint.dir", known)
+        application = spark.sparkContext.applicationId
+        if application not in _made:
+            _made[application] = tempfile.mkdtemp(prefix="breachlens-")
+        known = _made[application]
     return known.rstrip("/")
 
 

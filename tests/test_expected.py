@@ -4,10 +4,20 @@ import pytest
 
 import __spark_entry__ as entry
 from check import actual, connect, difference, expected
+from tests.small import settings
 
 DIRECTORY = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """As outside of tests."""
+    with settings(spark, {
+        "spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK",
+    }):
+        yield
+
+
 @pytest.fixture(scope="module")
 def db():
     return connect(DIRECTORY)

@@ -8,8 +8,9 @@ from breachlens.operators import ingest
 from breachlens.plans.load import load_pass
 from breachlens.plans.summaries import scan_summary
 from breachlens.plans.tops import ip_ports
+from breachlens.session import shared_dir
 from breachlens.sources.landing import read_landing
-from breachlens.sources.store import Store
+from breachlens.sources.store import Store, append
 
 
 def plugin(number, modified, name="p", **extra):
@@ -147,6 +148,8 @@ def test_a_pass_and_its_repetition(spark, tmp_path, lines):
     out = load_pass(landing, store, 2, ["test1", "test2"])  # a later pass finds nothing new
     assert stored(store) == before
     assert {r.status: r.n for r in out["folder_metrics"].collect()} == {"same": 2}
+    store.expire(keep=1)
+    assert stored(store) == before and not (tmp_path / "store/plugin/version=1").exists()
 
 
 def test_a_missing_answer_holds_a_run_back_until_it_arrives(spark, tmp_path):
@@ -164,6 +167,19 @@ def test_a_missing_answer_holds_a_run_back_until_it_arrives(spark, tmp_path):
     assert {r.plugin_id for r in tables.plugin.collect()} == {101, 104}
 
 
+def test_append_adds_to_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10), (2, 20)], "a BIGINT, scan_run_id BIGINT")
+    for _ in range(2):
+        append(rows, str(tmp_path / "t"), "scan_run_id")
+    assert (tmp_path / "t/scan_run_id=10").exists()
+    assert spark.read.parquet(str(tmp_path / "t")).filter("scan_run_id = 20").count() == 2
+
+
+def test_the_shared_folder_is_the_one_the_session_names(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(shared_dir(spark))
+
+
 def test_required_fields(spark):
     schema = "scan_id BIGINT, history_id BIGINT, host_id BIGINT, " \
         "info STRUCT<`host-ip`: STRING>, vulnerabilities ARRAY<STRUCT<severity: INT, count: BIGINT, plugin_id: BIGINT>>"

@@ -54,7 +54,7 @@ def test_distinct_counts_do_not_copy_rows(stored):
 
 def test_long_texts_are_only_read_for_the_shown_rows(stored):
     text = plan(details.vulnerability_detail_extended(stored), "executedPlan")
-    reads = [r for r in re.findall(r"ReadSchema: struct<([^>]*)>", text) if "description" in r]
+    reads = [r for r in re.findall(r"FileScan parquet \[([^\]]*)\]", text) if "description" in r]
     assert len(reads) == 1
     for build in (summaries.scan_summary, details.vulnerability_list, tops.top_vulnerabilities):
         assert "description" not in plan(build(stored), "executedPlan")

@@ -43,8 +43,11 @@ def severity_counts(vulnerabilities="vulnerabilities") -> dict[str, Column]:
 
 def count_severities(payload: DataFrame, *key: str) -> DataFrame:
     """Hits per severity over all payloads of a run or host."""
-    per_payload = payload.select(*key, *[c.alias(n) for n, c in severity_counts().items()])
-    return per_payload.groupBy(*key).agg(*[F.sum(n).alias(n) for n in COUNT_COLUMNS])
+    entries = payload.select(*key, F.explode_outer("vulnerabilities").alias("v"))
+    return entries.groupBy(*key).agg(*[
+        F.expr(f"sum(if(v.severity = {4 - i}, v.count, 0))").alias(name)
+        for i, name in enumerate(COUNT_COLUMNS)
+    ])
 
 
 def skip_folders(folder_rows: DataFrame, names: list[str]) -> DataFrame:

@@ -47,9 +47,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def lower_bytes(text: str | None) -> bytes:
+def lower_bytes(text: str | bytes | None) -> bytes:
     """UTF-8 with A-Z lower-cased; null is empty."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_BYTES)
+    plain = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return plain.translate(_LOWER_BYTES)
 
 
 def map_batches(

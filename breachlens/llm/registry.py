@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, licenses, packing, quality, wordpiece
+from breachlens.llm import bpe, jaccard, licenses, packing, quality, wordpiece
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 OPERATORS: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 

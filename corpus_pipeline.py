@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from breachlens.llm import packing, quality, registry
+from breachlens.llm import jaccard, packing, quality, registry, suffix_dedup
 from breachlens.llm.common import staged, table
 
 
@@ -18,6 +18,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word shingles and a similarity of 0.8 tie together, the
+    first stays."""
+    return jaccard.deduplicate(docs, words=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes that occur twice go; documents that were nothing else go too."""
+    return suffix_dedup.cleaned(docs, length=400)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rest, as pieces of sequences of 2048 tokens."""
     return registry.packed_digests(packing.pack(docs))
@@ -25,6 +36,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
     ("packing", pack),
 ]
 

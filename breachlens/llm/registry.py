@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, jaccard, licenses, packing, quality, suffix_dedup, wordpiece
+from breachlens.llm import bpe, jaccard, licenses, packing, quality, suffix_dedup, vafile, wordpiece
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def packed_digests(pieces: DataFrame) -> DataFrame:
     """Pieces with a checksum in place of their ids."""
     return pieces.select(
@@ -50,6 +70,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_packing": op4_packing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_license_scan": op7_license_scan,
@@ -64,7 +85,7 @@ def queries(pipeline) -> dict[str, Query]:
 
 
 def oracle_sql(pipeline) -> dict[str, str]:
-    known: dict[str, str] = {}
+    known = {"op3_exact_top_k": OP3_SQL}
     if pipeline.ORACLE_SQL is not None:
         known["pipeline"] = pipeline.ORACLE_SQL
     return known

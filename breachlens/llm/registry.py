@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, jaccard, licenses, packing, quality, suffix_dedup, vafile, wordpiece
+from breachlens.llm import bpe, jaccard, licenses, packing, quality, suffix_dedup, urls, vafile, wordpiece
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+OP1_RULES = [
+    urls.Rule("net/", "block"), urls.Rule("example.net/en/", "allow"),
+    urls.Rule("example.com/de/", "block"), urls.Rule("org/fr/", "allow"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document its path names by number: bad if it is toxic or
+    of low quality."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.groupBy("doc_id").agg(
+        F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad")
+    )
+    number = F.try_to_number(F.regexp_extract(F.col("url"), r"://[^/?#]*/[a-z]*/([0-9]{1,18})", 1), F.lit("9" * 18))
+    labelled = pages.select("url", number.cast("long").alias("doc_id")).join(bad, "doc_id").select("url", "bad")
+    return urls.judge(pages, labelled, OP1_RULES)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"))
 
@@ -69,6 +87,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_packing": op4_packing,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, jaccard, licenses, packing, quality, suffix_dedup, urls, vafile, wordpiece
+from breachlens.llm import bpe, hpylm, jaccard, licenses, packing, quality, suffix_dedup, urls, vafile, wordpiece
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op5_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -91,6 +95,7 @@ OPERATORS: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_packing": op4_packing,
+    "op5_hierarchical_pitman_yor": op5_hierarchical_pitman_yor,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.functions.scalars import (
@@ -12,7 +12,7 @@ from breachlens.functions.scalars import (
 )
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import Scope, findings, matching_outputs, scope, with_outputs
-from breachlens.operators.sizing import FEW_ROWS, broadcast_if, checkpointed
+from breachlens.operators.sizing import FEW_ROWS, broadcast_if
 from breachlens.sources.tables import Tables
 
 DETAIL_LIMIT = 1000
@@ -60,44 +60,59 @@ def _described(rows: DataFrame, sc: Scope) -> DataFrame:
     })
 
 
+def _narrow(sc: Scope) -> DataFrame:
+    """Findings with a known plugin, with no more than the report order needs."""
+    narrow = list(dict.fromkeys((
+        *sc.tables.finding_key, "plugin_id", "severity", "scan_start", "scan_name", "host_ip", "host_fqdn",
+    )))
+    return findings(sc, required=True).select(*narrow)
+
+
 def _limited(tables: Tables, spec: FilterSpec, limit: int) -> tuple[DataFrame, Scope]:
     """The first `limit` rows in report order, with plugin texts.
 
     Every finding has at least one row, so the first rows come from the first
-    findings. These are chosen on narrow columns and kept. Their outputs, however many,
-    and the plugin texts are then found by broadcasting no more than `limit` rows.
+    findings. These are chosen on narrow columns and kept, as they are read twice. Their
+    outputs, however many, and the plugin texts are then found by broadcasting no more than
+    `limit` rows. Nothing runs before the result is asked for.
     """
+    if limit < 1:
+        raise ValueError(f"limit must be at least 1, not {limit}")
     sc = scope(tables, spec)
     key, few = list(tables.finding_key), limit <= FEW_ROWS
-    narrow = list(dict.fromkeys((
-        *key, "plugin_id", "severity", "scan_start", "scan_name", "host_ip", "host_fqdn",
-    )))
     order = _ordering(sc, "port")
-    first = findings(sc, required=True).select(*narrow).orderBy(*_ordering(sc)).limit(limit)
-    first = checkpointed(first)
+    first = _narrow(sc).orderBy(*_ordering(sc)).limit(limit).persist()
     shown = matching_outputs(tables, spec).select(*key, "port").join(broadcast_if(first, few), key)
     shown = shown.orderBy(*order).limit(limit)
     if not spec.port:
         # A finding whose outputs all lie beyond the limit looks silent here, but its
         # row then lies beyond the limit, too.
-        shown = checkpointed(shown)
+        shown = shown.persist()
         silent = first.join(shown.select(*key).distinct(), key, "left_anti")
         shown = shown.unionByName(silent, allowMissingColumns=True).orderBy(*order).limit(limit)
     return _described(broadcast_if(shown, few), sc).orderBy(*order), sc
 
 
+def _rows(tables: Tables, spec: FilterSpec, limit: int | None) -> tuple[DataFrame, Scope]:
+    """The first `limit` rows of the detail, or all of them, unordered."""
+    if limit is not None:
+        return _limited(tables, spec, limit)
+    sc = scope(tables, spec)
+    return _described(with_outputs(_narrow(sc), sc, "port"), sc), sc
+
+
 def vulnerability_detail(
-    tables: Tables, spec: FilterSpec = FilterSpec(), limit: int = DETAIL_LIMIT
+    tables: Tables, spec: FilterSpec = FilterSpec(), limit: int | None = DETAIL_LIMIT
 ) -> DataFrame:
-    """The worst and newest findings, a row per output."""
-    return _limited(tables, spec, limit)[0].select(*BASE_COLUMNS)
+    """The worst and newest findings, a row per output; without a limit all, in no order."""
+    return _rows(tables, spec, limit)[0].select(*BASE_COLUMNS)
 
 
 def vulnerability_detail_extended(
-    tables: Tables, spec: FilterSpec = FilterSpec(), limit: int = DETAIL_LIMIT
+    tables: Tables, spec: FilterSpec = FilterSpec(), limit: int | None = DETAIL_LIMIT
 ) -> DataFrame:
     """As vulnerability_detail, with descriptions, references and dates of the plugin."""
-    return _limited(tables, spec, limit)[0].select(*EXTENDED_COLUMNS)
+    return _rows(tables, spec, limit)[0].select(*EXTENDED_COLUMNS)
 
 
 def vulnerability_list(tables: Tables, spec: FilterSpec = FilterSpec()) -> DataFrame:
@@ -122,24 +137,34 @@ def matches_anywhere(term: str, columns) -> Column:
     return reduce(Column.__or__, tests)
 
 
+# Which of the searched columns belong to a row, and which to its plugin.
+_ROW_TEXTS = ("scan_name", "host_ip", "host_fqdn", "port", "scan_date_text")
+_PLUGIN_TEXTS = tuple(c for c in EXTENDED_COLUMNS if c not in (*_ROW_TEXTS, "scan_date"))
+
+
 def detail_search(
-    tables: Tables, term: str, spec: FilterSpec = FilterSpec(),
-    limit: int = DETAIL_LIMIT, before_limit: bool = False,
+    tables: Tables, term: str, spec: FilterSpec = FilterSpec(), limit: int | None = None,
 ) -> DataFrame:
-    """Rows of the extended detail that contain a term in any shown text.
+    """Rows of the extended detail that contain a term in any shown text, in report order.
 
-    The term is looked for among the first `limit` rows, or, with `before_limit`,
-    among all rows, of which the first `limit` hits are kept.
+    The term is looked for in all rows; a limit keeps the first hits. Every plugin's texts
+    are searched once, not once per finding, and join the hits last.
     """
-    searched = [c for c in EXTENDED_COLUMNS if c != "scan_date"]  # its shown text is searched
-    if not before_limit:
-        rows, sc = _limited(tables, spec, limit)
-        found = rows.filter(matches_anywhere(term, searched)) if term else rows
-        return found.select(*EXTENDED_COLUMNS)
     sc = scope(tables, spec)
-    rows = _described(with_outputs(findings(sc, required=True), sc, "port"), sc)
-    found = rows.filter(matches_anywhere(term, searched)) if term else rows
-    return found.orderBy(*_ordering(sc, "port")).limit(limit).select(*EXTENDED_COLUMNS)
+    rows = with_outputs(_narrow(sc), sc, "port")
+    if term:
+        texts = tables.plugin.select(
+            "plugin_id", "severity", severity_label().alias("severity_text"),
+            vulnerability_name("name").alias("vulnerability_name"), F.col("family").alias("plugin_family"),
+            "cvss3_base_score", "description", "solution", "cvss3_vector", "ref", "pub_date", "mod_date",
+        )
+        hits = texts.select("plugin_id", matches_anywhere(term, _PLUGIN_TEXTS).alias("hit"))
+        dated = rows.withColumn("scan_date_text", turkish_date(F.timestamp_seconds("scan_start")))
+        rows = dated.join(hits, "plugin_id").filter(F.col("hit") | matches_anywhere(term, _ROW_TEXTS))
+        rows = rows.drop("hit", "scan_date_text")
+    if limit is not None:
+        rows = rows.orderBy(*_ordering(sc, "port")).limit(limit)
+    return _described(rows, sc).orderBy(*_ordering(sc, "port")).select(*EXTENDED_COLUMNS)
 
 
 _COMPARISONS = {
@@ -165,20 +190,61 @@ def filter_columns(df: DataFrame, conditions: list[tuple[str, str, object]]) ->
     return df
 
 
+def _page_order(df: DataFrame, sort: list[tuple[str, bool]] | None) -> dict[str, bool]:
+    """All columns with whether they ascend; those not asked for complete the order."""
+    chosen = dict(sort or [])
+    unknown = set(chosen) - set(df.columns)
+    if unknown:
+        raise ValueError(f"no such column: {sorted(unknown)}")
+    return chosen | {c: True for c in df.columns if c not in chosen}
+
+
 def page(
     df: DataFrame, number: int, size: int = PAGE_SIZE, sort: list[tuple[str, bool]] | None = None
 ) -> DataFrame:
     """Page `number` (from 0) of `df` sorted by (column, ascending) pairs.
 
-    The other columns complete the order, so that pages neither overlap nor miss rows.
+    The other columns complete the order, so that pages neither overlap nor miss rows. All
+    rows up to the page's end are ranked, so for deep pages `page_after` is the better way.
     """
-    chosen = dict(sort or [])
-    unknown = set(chosen) - set(df.columns)
-    if unknown:
-        raise ValueError(f"no such column: {sorted(unknown)}")
-    order = [F.asc(c) if ascending else F.desc(c) for c, ascending in chosen.items()]
-    order += [F.asc(c) for c in df.columns if c not in chosen]
-    return df.orderBy(*order).offset(number * size).limit(size)
+    order = _page_order(df, sort)
+    return df.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order.items()]).offset(number * size).limit(size)
+
+
+def page_after(
+    df: DataFrame, last: dict[str, object] | None, size: int = PAGE_SIZE,
+    sort: list[tuple[str, bool]] | None = None,
+) -> DataFrame:
+    """The `size` rows that follow the row `last`, however deep; the first ones without it.
+
+    Rows have a number among equal rows, `copy` (from 1), so that each has a place of its
+    own; `last` is a row of the page before as a dict. A NULL sorts before all values.
+    """
+    equal = Window.partitionBy(*df.columns).orderBy(F.lit(1))
+    order = _page_order(df, sort) | {"copy": True}
+    if last is not None:
+        missing = set(order) - set(last)
+        if missing:
+            raise ValueError(f"the last row lacks {sorted(missing)}")
+        # All columns before are as in the last row, and this one comes later.
+        past, same = F.lit(False), F.lit(True)
+        for column, up in order.items():
+            value = F.lit(last[column])
+            if column == "copy":
+                break
+            past = past | (same & _later(F.col(column), value, last[column] is None, up))
+            same = same & F.col(column).eqNullSafe(value)
+        df = df.filter(past | same)
+        df = df.withColumn("copy", F.row_number().over(equal)).filter(past | (F.col("copy") > last["copy"]))
+    else:
+        df = df.withColumn("copy", F.row_number().over(equal))
+    return df.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order.items()]).limit(size)
+
+
+def _later(column: Column, value: Column, is_null: bool, up: bool) -> Column:
+    if up:
+        return column.isNotNull() if is_null else F.coalesce(column > value, F.lit(False))
+    return F.lit(False) if is_null else column.isNull() | F.coalesce(column < value, F.lit(False))
 
 
 def plugin_detail(tables: Tables, plugin_ids: list[int] | None = None) -> DataFrame:

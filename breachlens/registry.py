@@ -86,14 +86,23 @@ def _run_times(tables: Tables) -> DataFrame:
 
 def _detail_filtered(tables: Tables) -> DataFrame:
     return details.filter_columns(
-        details.vulnerability_detail(tables),
+        details.vulnerability_detail(tables, limit=None),
         [("cvss3_base_score", ">=", 5.0), ("port", "contains", "TCP"), ("plugin_family", "!=", "SMALL")],
     )
 
 
+PAGE_SORT = [("severity", False), ("host_ip", True)]
+
+
 def _detail_page(tables: Tables) -> DataFrame:
-    rows = details.vulnerability_detail(tables)
-    return details.page(rows, 2, sort=[("severity", False), ("host_ip", True)])
+    return details.page(details.vulnerability_detail(tables, limit=None), 2, sort=PAGE_SORT)
+
+
+def _detail_page_after(tables: Tables) -> DataFrame:
+    """The page that follows a place deep in the list."""
+    columns = ["scan_name", "host_ip", "host_fqdn", "vulnerability_name", "severity", "severity_text", "port"]
+    last = dict.fromkeys(columns) | {"severity": 2, "host_ip": "10.0.2.1", "copy": 1}
+    return details.page_after(details.vulnerability_detail(tables, limit=None).select(*columns), last, sort=PAGE_SORT)
 
 
 def _saved_filter_counts(tables: Tables) -> DataFrame:
@@ -277,9 +286,10 @@ def queries() -> dict[str, Query]:
         "cvss_band": _report(details.cvss_bands),
         "reference_links": _report(details.reference_links),
         "detail_search": _report(details.detail_search, "Widget"),
-        "detail_search_all": _report(details.detail_search, "h7.example", before_limit=True),
+        "detail_search_all": _report(details.detail_search, "h7.example", limit=1000),
         "detail_column_filter": _report(_detail_filtered),
         "detail_page": _report(_detail_page),
+        "detail_page_after": _report(_detail_page_after),
         "turkish_dates": _report(_turkish_dates),
         "run_times": _report(_run_times),
         "saved_filter_counts": _report(_saved_filter_counts),

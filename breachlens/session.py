@@ -56,14 +56,24 @@ def build_session(
 _made: dict[str, str] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the driver is the only process, so that its folders are everybody's."""
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and streaming output.
 
-    A cluster names a shared one in spark.checkpoint.dir. Only where that is unset,
-    as in tests, is a local folder made, one per application.
+    A cluster names a shared one in spark.checkpoint.dir. Only where that is unset and
+    the master is local, as in tests, is a local folder made, one per application.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not is_local(spark):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder that the driver and all executors share"
+            )
         application = spark.sparkContext.applicationId
         if application not in _made:
             _made[application] = tempfile.mkdtemp(prefix="breachlens-")

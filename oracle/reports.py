@@ -77,6 +77,7 @@ _DETAIL = f"""
     FROM fact WHERE plugin_id IS NOT NULL AND {{where}}
     ORDER BY severity DESC, scan_start DESC, host_vuln_id, port NULLS FIRST"""
 
+_PAGED = "scan_name, host_ip, host_fqdn, vulnerability_name, severity, severity_text, port"
 _BASE = """scan_name, host_ip, host_fqdn, vulnerability_name, severity, severity_text, plugin_family,
     port, cvss3_base_score, scan_date, scan_date_text"""
 _EXTENDED = f"{_BASE}, description, solution, cvss3_vector, ref, pub_date, mod_date, plugin_id"
@@ -93,14 +94,13 @@ _SEARCHED = [
 ]
 
 
-def search(term: str, before_limit: bool) -> str:
+def search(term: str, limit: int | None = None) -> str:
+    """The term is looked for in all rows; a limit keeps the first hits."""
     hit = " OR ".join(f"COALESCE(contains(lower(CAST({c} AS VARCHAR)), '{term}'), FALSE)" for c in _SEARCHED)
-    rows = _DETAIL.format(where="TRUE")
-    if before_limit:
-        return over(f"""
-            SELECT {_EXTENDED} FROM (SELECT * FROM ({rows}) WHERE {hit}
-            ORDER BY severity DESC, scan_start DESC, host_vuln_id, port NULLS FIRST LIMIT 1000)""")
-    return over(f"SELECT {_EXTENDED} FROM ({rows} LIMIT 1000) WHERE {hit}")
+    kept = f"LIMIT {limit}" if limit else ""
+    return over(f"""
+        SELECT {_EXTENDED} FROM (SELECT * FROM ({_DETAIL.format(where="TRUE")}) WHERE {hit}
+        ORDER BY severity DESC, scan_start DESC, host_vuln_id, port NULLS FIRST {kept})""")
 
 
 _PORTS_OF_IP = """
@@ -228,13 +228,21 @@ def reports() -> dict[str, str]:
                          generate_subscripts(string_split(ref, chr(10)), 1) AS i
                   FROM plugin WHERE ref IS NOT NULL)
             WHERE trim(link) <> ''"""),
-        "detail_search": search("widget", before_limit=False),
-        "detail_search_all": search("h7.example", before_limit=True),
+        "detail_search": search("widget"),
+        "detail_search_all": search("h7.example", 1000),
         "detail_column_filter": over(f"""
-            SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")} LIMIT 1000)
+            SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")})
             WHERE cvss3_base_score >= 5 AND contains(lower(port), 'tcp') AND plugin_family <> 'SMALL'"""),
         "detail_page": over(f"""
-            SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")} LIMIT 1000) {pages} LIMIT 50 OFFSET 100"""),
+            SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")}) {pages} LIMIT 50 OFFSET 100"""),
+        "detail_page_after": over(f"""
+            SELECT {_PAGED}, row_number() OVER (PARTITION BY {_PAGED})::INTEGER AS copy
+            FROM ({_DETAIL.format(where="TRUE")})
+            WHERE severity < 2 OR severity IS NULL OR (severity = 2 AND host_ip > '10.0.2.1')
+               OR (severity = 2 AND host_ip = '10.0.2.1' AND scan_name IS NOT NULL)
+            ORDER BY severity DESC NULLS LAST, host_ip NULLS FIRST, scan_name NULLS FIRST, host_fqdn NULLS FIRST,
+                     vulnerability_name NULLS FIRST, severity_text NULLS FIRST, port NULLS FIRST, copy
+            LIMIT 50"""),
         "turkish_dates": over(f"""
             SELECT scan_run_id, {turkish_date(at("scan_start"))} AS date_text,
                    {turkish_date(at("scan_start"))} || strftime({at("scan_start")}, ' %H:%M') AS datetime_text

@@ -158,8 +158,8 @@ def test_search_and_pages(case):
             )
         ]
         assert details.detail_search(tables, term, spec).collect() == want
-        assert details.detail_search(tables, term, spec, before_limit=True).collect() == want
-    base = details.vulnerability_detail(tables, spec)
+        assert details.detail_search(tables, term, spec, limit=2).collect() == want[:2]
+    base = details.vulnerability_detail(tables, spec, limit=None)
     size = len(full) // 3 + 1
     pages = [
         details.page(base, i, size, [("severity", False)]).collect() for i in range(len(full) // size + 2)
@@ -170,6 +170,57 @@ def test_search_and_pages(case):
     assert levels == sorted(levels, reverse=True)
 
 
+def test_pages_after_a_row(spark):
+    """However deep, with NULLs, and with equal rows over the border of a page."""
+    rows = [(i % 3 or None, "ab"[i % 2], i // 8) for i in range(24)] + [(1, "b", 0)] * 5
+    df = spark.createDataFrame(rows, "a INT, b STRING, c INT")
+    for size in (1, 4, 7):
+        last, seen = None, []
+        while page := details.page_after(df, last, size, [("a", False), ("b", True)]).collect():
+            seen += page
+            last = page[-1].asDict()
+        assert sorted(map(str, [(r.a, r.b, r.c) for r in seen])) == sorted(map(str, rows))
+        assert [(r.a is None, -(r.a or 0), r.b, r.c, r.copy) for r in seen] == sorted(
+            (r.a is None, -(r.a or 0), r.b, r.c, r.copy) for r in seen
+        )
+        if size == 1:
+            break
+    with pytest.raises(ValueError, match="lacks"):
+        details.page_after(df, {"a": 1}, 2)
+
+
+def test_search_looks_beyond_the_report_limit(spark):
+    """A hit behind the first thousand rows is found, and so is a page there."""
+    n = 1100
+    rows = {
+        "scan": [(1, None, "t", "s")], "scan_run": [(10, 1, 900, 0)],
+        "host": [(h, 10, 1, f"10.0.0.{h}", "needle" if h == n - 1 else "h") for h in range(n)],
+        "host_vuln": [(h, h, 10, 5) for h in range(n)], "plugin": [(5, 4) + ("p",) + (None,) * 8],
+        "vuln_output": [(h, "80") for h in range(n)],
+    }
+    tables = make(spark, rows)
+    assert details.vulnerability_detail(tables).count() == 1000
+    assert [r.host_fqdn for r in details.detail_search(tables, "NEEDLE").collect()] == ["needle"]
+    every = details.vulnerability_detail(tables, limit=None)
+    assert details.filter_columns(every, [("host_fqdn", "=", "needle")]).count() == 1
+    assert details.page(every, 10, 100).count() == 100
+
+
+def test_orders(spark):
+    """Of the summary, the names and the host report, which row checks do not see."""
+    rows = random_rows(5)
+    tables = make(spark, rows, natural=True)
+    high = summaries.scan_summary(tables, FilterSpec(severity=[1, 3])).collect()
+    assert [r.total_high for r in high] == sorted((r.total_high for r in high), reverse=True)
+    hosts = [(r.last_scan_date is None, -(epoch(r.last_scan_date) or 0), -r.total_vulnerabilities)
+             for r in summaries.host_report(tables).collect()]
+    assert hosts == sorted(hosts)
+    newest = [epoch(r.last_scan_date) for r in summaries.scan_summary(tables).collect()]
+    assert newest == sorted(newest, key=lambda t: (t is None, -(t or 0)))
+    names = [r.scan_name for r in tops.scan_names(tables).collect()]
+    assert names == sorted(names, key=lambda x: (x is not None, x))
+
+
 def test_saved_filters(spark):
     rows = random_rows(3)
     tables = make(spark, rows, natural=True)

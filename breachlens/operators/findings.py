@@ -21,13 +21,18 @@ from breachlens.sources.tables import Tables
 
 
 def latest_runs(scan_run: DataFrame) -> DataFrame:
-    """The run with the highest id of every scan, and its start."""
+    """The run with the highest id of every scan, its start, and its load if that is known."""
+    kept = [c for c in ("scan_start", LOAD) if c in scan_run.columns]
     return scan_run.groupBy("scan_id").agg(
         F.max("scan_run_id").alias("scan_run_id"),
-        F.max_by("scan_start", "scan_run_id").alias("scan_start"),
+        *[F.max_by(c, "scan_run_id").alias(c) for c in kept],
     )
 
 
+# The column that tables of our own store are partitioned by.
+LOAD = "load_id"
+
+
 @dataclass(frozen=True)
 class Scope:
     """What a filter leaves of the latest runs, and of the hosts in them."""
@@ -45,16 +50,21 @@ class Scope:
         """
         if not self.few_runs or "scan_run_id" not in df.columns:
             return df
-        return df.join(F.broadcast(self.runs.select("scan_run_id")), "scan_run_id", "left_semi")
+        key = [c for c in (LOAD, "scan_run_id") if c in df.columns and c in self.runs.columns]
+        runs = self.runs.select(*key)
+        if LOAD in key:
+            # All loads pass. Spark skips partitions only for the sake of a side that is filtered.
+            runs = runs.filter(F.col(LOAD) >= 0)
+        return df.join(F.broadcast(runs), key, "left_semi")
 
     @cached_property
     def hosts(self) -> DataFrame:
         """Hosts that pass the filters on scans and addresses, with their scan."""
-        hosts = self.prune(self.tables.host.select(*HOST_KEY, "host_ip", "host_fqdn"))
+        hosts = self.prune(self.tables.host).select(*HOST_KEY, "host_ip", "host_fqdn")
         condition = self.spec.host_condition("host_ip")
         if condition is not None:
             hosts = hosts.filter(condition)
-        return hosts.join(broadcast_if(self.runs, self.few_runs), "scan_run_id")
+        return hosts.join(broadcast_if(self.runs.drop(LOAD), self.few_runs), "scan_run_id")
 
 
 def scope(tables: Tables, spec: FilterSpec, folder: str | None = None) -> Scope:
@@ -66,7 +76,7 @@ def scope(tables: Tables, spec: FilterSpec, folder: str | None = None) -> Scope:
     if condition is not None:
         scans = scans.filter(condition)
     runs = latest_runs(tables.scan_run).join(scans, "scan_id")
-    columns = ["scan_run_id", "scan_start", "scan_name"]
+    columns = [*([LOAD] if LOAD in runs.columns else []), "scan_run_id", "scan_start", "scan_name"]
     if folder:
         folders = tables.folder.select("folder_id", F.col("name").alias("folder_name"))
         runs = runs.join(folders, "folder_id", folder)
@@ -94,7 +104,7 @@ def matching_outputs(tables: Tables, spec: FilterSpec) -> DataFrame:
 
 def located_findings(sc: Scope, match_ports: bool = True) -> DataFrame:
     """One row per finding on a host in scope, before its plugin is known."""
-    found = sc.prune(sc.tables.host_vuln.select(*_key_columns(sc)))
+    found = sc.prune(sc.tables.host_vuln).select(*_key_columns(sc))
     found = found.join(sc.hosts, list(HOST_KEY))
     if sc.spec.port and match_ports:
         # distinct() merges a finding's outputs before the shuffle the join needs anyway.
@@ -126,7 +136,7 @@ def findings(sc: Scope, *columns: str, required: bool = False, match_ports: bool
 
 def idle_hosts(sc: Scope) -> DataFrame:
     """Hosts in scope without any finding."""
-    busy = sc.prune(sc.tables.host_vuln.select(*HOST_KEY)).distinct()
+    busy = sc.prune(sc.tables.host_vuln).select(*HOST_KEY).distinct()
     return sc.hosts.join(busy, list(HOST_KEY), "left_anti")
 
 

@@ -4,27 +4,51 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.functions.scalars import port_number, reference_list
 from breachlens.schemas import COUNT_COLUMNS, REQUEST_IDS
 
 
+def _with_landing(payload: DataFrame) -> list[str]:
+    return ["landed_at"] if "landed_at" in payload.columns else []
+
+
 def folders(payload: DataFrame) -> DataFrame:
-    return payload.select(F.inline("folders")).select(F.col("id").alias("folder_id"), "type", "name")
+    found = payload.select(F.inline("folders"), *_with_landing(payload))
+    return found.select(F.col("id").alias("folder_id"), "type", "name", *_with_landing(payload))
 
 
 def scans(payload: DataFrame) -> DataFrame:
     """The listed scans; `position` is their place in the list."""
-    return payload.select(F.posexplode("scans").alias("position", "scan")).select(
-        F.col("scan.id").alias("scan_id"), "scan.folder_id", "scan.type", "scan.name", "position"
+    landed = _with_landing(payload)
+    return payload.select(F.posexplode("scans").alias("position", "scan"), *landed).select(
+        F.col("scan.id").alias("scan_id"), "scan.folder_id", "scan.type", "scan.name", "position", *landed
     )
 
 
 def history(payload: DataFrame) -> DataFrame:
     """One row per known run. A scan without history has none."""
-    return payload.select("scan_id", F.inline("history"))
+    return payload.select("scan_id", F.inline("history"), *_with_landing(payload))
+
+
+def newest_listed(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows that were listed several times the newest listing, without its time; of equal
+    times the largest row."""
+    if "landed_at" not in rows.columns:
+        return rows
+    others = [c for c in rows.columns if c not in (*key, "landed_at")]
+    newest = F.max(F.struct("landed_at", *others)).alias("newest")
+    return rows.groupBy(*key).agg(newest).select(*key, *[f"newest.{c}" for c in others])
+
+
+def newest_payloads(payload: DataFrame, *request: str) -> DataFrame:
+    """Of several answers to one request the newest."""
+    if "landed_at" not in payload.columns:
+        return payload
+    place = Window.partitionBy(*request).orderBy(F.desc("landed_at"))
+    return payload.withColumn("place", F.row_number().over(place)).filter("place = 1").drop("place", "landed_at")
 
 
 def severity_counts(vulnerabilities="vulnerabilities") -> dict[str, Column]:
@@ -62,7 +86,9 @@ def skip_scans(scan_rows: DataFrame, folder_rows: DataFrame, names: list[str]) -
 
 
 def newest_runs(history_rows: DataFrame) -> DataFrame:
-    """The newest run of every scan, in whatever state; equal dates go to the higher id."""
+    """The newest run of every scan, in the state it was last listed in; equal dates go to the
+    higher id."""
+    history_rows = newest_listed(history_rows, "scan_id", "history_id")
     newest = F.max(F.struct("creation_date", "history_id", "status"))
     return history_rows.groupBy("scan_id").agg(newest.alias("newest")).select("scan_id", "newest.*")
 

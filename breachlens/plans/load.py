@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from breachlens.operators import ingest
 from breachlens.operators.sizing import checkpointed
+from breachlens.operators.checks import key_collisions, pk_duplicates
 from breachlens.operators.upsert import upsert, upsert_metrics, versioned_upsert
+from breachlens.schemas import HOST_KEY, NATURAL_FINDING_KEY, REQUEST_IDS
 from breachlens.sources.landing import Payloads
 from breachlens.sources.store import Store
 
@@ -26,7 +28,7 @@ def choose_runs(
 
 def arrival_order(scans: DataFrame, run: DataFrame, host: DataFrame) -> DataFrame:
     """The place of each finding in a pass: by scan, then host, then finding."""
-    scans = ingest.scans(scans).select("scan_id", F.col("position").alias("scan_position"))
+    scans = scans.select("scan_id", F.col("position").alias("scan_position"))
     hosts = run.select(
         "scan_id", F.col("history_id").alias("scan_run_id"),
         F.posexplode("hosts").alias("host_position", "h"),
@@ -47,14 +49,16 @@ def load_pass(
 ) -> dict[str, DataFrame]:
     """Load every scan's newest completed run that is not stored yet.
 
-    A run with a payload that is missing or incomplete is left out whole, and its
+    The landing may hold several answers to one request; the newest counts. A run with a payload that is missing or incomplete is left out whole, and its
     rejected requests are returned. The pass can be repeated under its `load_id`.
     Passes are numbered upwards, one at a time.
     """
+    store.accept(load_id)
     names = skip_folder_names or []
-    all_folders = ingest.folders(payloads.folders)
+    all_folders = ingest.newest_listed(ingest.folders(payloads.folders), "folder_id")
     folders = ingest.skip_folders(all_folders, names)
-    scans = ingest.skip_scans(ingest.scans(payloads.scans), all_folders, names)
+    all_scans = ingest.newest_listed(ingest.scans(payloads.scans), "scan_id")
+    scans = ingest.skip_scans(all_scans, all_folders, names)
 
     loaded = store.read_loads("scan_run", without=load_id)
     # Needed many times below, and it must not change while the pass writes.
@@ -66,11 +70,13 @@ def load_pass(
         return payload.join(runs, ["scan_id", "history_id"], "left_semi")
 
     staged = {
-        kind: store.stage(kind, of_chosen(getattr(payloads, kind), chosen))
+        kind: store.stage(
+            kind, ingest.newest_payloads(of_chosen(getattr(payloads, kind), chosen), *REQUEST_IDS[kind])
+        )
         for kind in ("run", "host", "finding")
     }
     answered = staged["run"].select("scan_id", "history_id")
-    order = arrival_order(payloads.scans, staged["run"], staged["host"])
+    order = arrival_order(all_scans, staged["run"], staged["host"])
     run, bad_run = ingest.split_required(staged["run"], "run")
     host, bad_host = ingest.split_required(staged["host"], "host")
     finding, bad_finding = ingest.split_required(staged["finding"], "finding")
@@ -107,11 +113,21 @@ def load_pass(
     store.write_load("host", ingest.host_rows(host), load_id)
     # The runs make the load visible, so they come last.
     store.write_load("scan_run", ingest.run_rows(run), load_id)
+    tables = store.tables()
+    collisions = [
+        key_collisions(frame, column, list(key)).select(F.lit(column).alias("id"), F.col(column).alias("value"), "n_keys")
+        for frame, column, key in (
+            (tables.host, "host_id", HOST_KEY), (tables.host_vuln, "host_vuln_id", NATURAL_FINDING_KEY),
+        )
+    ]
     return {
         "rejects": rejects,
+        # Checks of what is now stored, run when they are asked for.
+        "key_collisions": collisions[0].union(collisions[1]),
+        "duplicates": pk_duplicates(tables).filter("n_duplicate_keys > 0"),
         "folder_metrics": upsert_metrics(old_folders, folders, "folder_id", FOLDER_COLUMNS),
         "ingest_metrics": ingest.ingest_metrics(
-            folders=all_folders, scans=ingest.scans(payloads.scans), chosen_runs=chosen,
+            folders=all_folders, scans=all_scans, chosen_runs=chosen,
             loaded_runs=accepted,
         ),
     }

@@ -1,16 +1,21 @@
 """From JSON files to stored tables, with hand-made edge cases."""
 
 import json
+import os
+import re
+from datetime import UTC, datetime
 
 import pytest
 
 from breachlens.operators import ingest
+from breachlens.operators.filters import FilterSpec
 from breachlens.plans.load import load_pass
 from breachlens.plans.summaries import scan_summary
 from breachlens.plans.tops import ip_ports
 from breachlens.session import shared_dir
 from breachlens.sources.landing import read_landing
 from breachlens.sources.store import Store, append
+from tests.small import settings
 
 
 def plugin(number, modified, name="p", **extra):
@@ -88,23 +93,28 @@ DOCUMENTS = [
 IDS = ("scan_id", "history_id", "host_id", "plugin_id")
 
 
-def land(root, documents, lines):
+def land(root, documents, lines, landed=None):
+    """`landed`, a Unix time, is when the documents are landed at; by default now."""
     for number, (kind, ids, payload) in enumerate(documents):
         if lines:
             folder = root / kind
             folder.mkdir(parents=True, exist_ok=True)
             with open(folder / "all.json", "a") as out:
-                out.write(json.dumps({**dict(zip(IDS, ids)), "payload": payload}) + "\n")
+                at = {} if landed is None else {"landed_at": f"{datetime.fromtimestamp(landed, UTC):%FT%TZ}"}
+                out.write(json.dumps({**dict(zip(IDS, ids)), **at, "payload": payload}) + "\n")
         else:
             folder = root.joinpath(kind, *[f"{n}={v}" for n, v in zip(IDS, ids)])
             folder.mkdir(parents=True, exist_ok=True)
-            (folder / f"{number}.json").write_text(json.dumps(payload, indent=1))
+            name = folder / f"{number}-{landed}.json"
+            name.write_text(json.dumps(payload, indent=1))
+            if landed is not None:
+                os.utime(name, (landed, landed))
     return str(root)
 
 
 def stored(store):
     tables = store.tables()
-    return {name: sorted(map(str, df.collect())) for name, df in tables.as_dict().items()}
+    return {name: sorted(map(str, df.drop("load_id").collect())) for name, df in tables.as_dict().items()}
 
 
 @pytest.mark.parametrize("lines", [False, True])
@@ -167,6 +177,87 @@ def test_a_missing_answer_holds_a_run_back_until_it_arrives(spark, tmp_path):
     assert {r.plugin_id for r in tables.plugin.collect()} == {101, 104}
 
 
+LISTINGS = [d for d in DOCUMENTS if d[0] in ("folders", "scans", "history")]
+
+
+@pytest.mark.parametrize("lines", [False, True])
+def test_a_landing_that_is_listed_again(spark, tmp_path, lines):
+    """Repeated answers double nothing, and the newest state of a run counts, whatever its text."""
+    root = tmp_path / "in"
+    store = Store(spark, str(tmp_path / "store"))
+    land(root, DOCUMENTS, lines, 1_000)
+    load_pass(read_landing(spark, str(root), lines), store, 1, ["test1"])
+    before = stored(store)
+    land(root, DOCUMENTS, lines, 2_000)
+    load_pass(read_landing(spark, str(root), lines), store, 2, ["test1"])
+    assert stored(store) == before
+    # Run 52 was listed as running, which is the larger text, and is now completed; a folder
+    # and a scan have new names.
+    later = [
+        ("folders", (), {"folders": [{"id": 1, "type": "main", "name": "renamed"}]}),
+        ("scans", (), {"scans": [{"id": 5, "folder_id": 1, "type": "x", "name": "done"}]}),
+        ("history", (5,), {"history": [{"history_id": 52, "creation_date": 2, "status": "completed"}]}),
+        ("run", (5, 52), {"info": RUN, "vulnerabilities": [], "hosts": [{"host_id": 7}]}),
+        ("host", (5, 52, 7), {"info": {"host-ip": "10.0.0.5"}, "vulnerabilities": []}),
+        ("host", (5, 52, 7), {"info": {"host-ip": "10.0.0.55"}, "vulnerabilities": []}),
+    ]
+    land(root, later[:-1], lines, 3_000)
+    land(root, later[-1:], lines, 4_000)
+    out = load_pass(read_landing(spark, str(root), lines), store, 3, ["test1"])
+    tables = store.tables()
+    assert {r.folder_id: r.name for r in tables.folder.collect()} == {1: "renamed", 3: None}
+    assert {r.scan_id: r.name for r in tables.scan.collect()}[5] == "done"
+    assert sorted(r.scan_run_id for r in tables.scan_run.collect()) == [11, 32, 52]
+    assert [r.host_ip for r in tables.host.filter("scan_run_id = 52").collect()] == ["10.0.0.55"]
+    assert out["duplicates"].collect() == [] and out["key_collisions"].collect() == []
+
+
+class Broken(Store):
+    def write_load(self, name, rows, load_id):
+        if name == "scan_run":
+            raise RuntimeError("power cut")
+        super().write_load(name, rows, load_id)
+
+
+def test_a_broken_load_is_not_seen_whatever_follows(spark, tmp_path):
+    landing = read_landing(spark, land(tmp_path / "in", DOCUMENTS, True), True)
+    root = str(tmp_path / "store")
+    with pytest.raises(RuntimeError, match="power cut"):
+        load_pass(landing, Broken(spark, root), 1)
+    store = Store(spark, root)
+    assert store.tables().host.count() == 0 and ip_ports(store.tables(), "10.0.0.7").count() == 0
+    load_pass(landing, store, 2)
+    assert store.tables().host_vuln.count() == 4
+    summary = {r.scan_name: r.total_low for r in scan_summary(store.tables()).collect()}
+    assert summary["one"] == 2
+    with pytest.raises(ValueError, match="load 1"):
+        load_pass(landing, store, 1)
+
+
+def test_repeating_a_load_with_nothing_leaves_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    load_pass(read_landing(spark, land(tmp_path / "a", DOCUMENTS, True), True), store, 1)
+    assert store.tables().host.count() == 3
+    nothing = [d if d[0] != "history" else ("history", d[1], {"history": None}) for d in DOCUMENTS]
+    load_pass(read_landing(spark, land(tmp_path / "b", nothing, True), True), store, 1)
+    assert {name: df.count() for name, df in store.tables().as_dict().items() if name not in ("folder", "scan", "plugin")} == {
+        "scan_run": 0, "host": 0, "host_vuln": 0, "vuln_output": 0,
+    }
+
+
+def test_reports_skip_loads_without_a_latest_run(spark, tmp_path):
+    """Of the three large tables only the loads that hold latest runs are read."""
+    store = Store(spark, str(tmp_path / "store"))
+    load_pass(read_landing(spark, land(tmp_path / "in", DOCUMENTS, True), True), store, 1)
+    text = scan_summary(store.tables(), FilterSpec(port="1-500"))._jdf.queryExecution().executedPlan().toString()
+    for columns in ("host_ip", "plugin_id", "port_number"):
+        scans = re.findall(rf"FileScan parquet \[[^\]]*{columns}[^\]]*\][^\n]*PartitionFilters: \[([^\]]*)", text)
+        assert any("dynamicpruning" in f for f in scans), (columns, text)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        shuffled = scan_summary(store.tables()).collect()
+    assert shuffled == scan_summary(store.tables()).collect()
+
+
 def test_append_adds_to_partitions(spark, tmp_path):
     rows = spark.createDataFrame([(1, 10), (2, 20)], "a BIGINT, scan_run_id BIGINT")
     for _ in range(2):

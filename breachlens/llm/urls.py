@@ -5,8 +5,9 @@ Explicit rules come first. All other URLs are judged by the template their path
 1. Every host has a tree of path segments. Digits and long hexadecimal runs within a segment are
    variable by their form; a node with many children of few pages each has a variable segment
    by its counts. Both become wildcards.
-2. Sibling branches whose labelled shares do not differ (two-proportion z-test against their
-   siblings taken together) are merged into one.
+2. Sibling branches whose labelled shares do not differ from that of their siblings taken
+   together (two-proportion z-test) are merged into one, `~`, those that are significantly
+   lower into another, `~-`, and those that are higher into a third, `~+`.
 3. A template's purity is its share of bad labels, smoothed towards its host's share, which is
    smoothed towards the share of all. Templates of a purity of at least `threshold` are blocked.
 
@@ -100,13 +101,18 @@ def grown(forms: DataFrame) -> DataFrame:
         ).withColumn("children", F.max(F.when(F.col("part").isNotNull(), F.col("number"))).over(node))
         own, rest = F.col("own_labelled"), F.col("all_labelled") - F.col("own_labelled")
         share = F.col("all_bad") / F.nullif(F.col("all_labelled"), F.lit(0))
-        gap = F.abs(F.col("own_bad") / F.nullif(own, F.lit(0)) - (F.col("all_bad") - F.col("own_bad")) / F.nullif(rest, F.lit(0)))
+        gap = F.col("own_bad") / F.nullif(own, F.lit(0)) - (F.col("all_bad") - F.col("own_bad")) / F.nullif(rest, F.lit(0))
         error = F.sqrt(share * (1 - share) * (1 / F.nullif(own, F.lit(0)) + 1 / F.nullif(rest, F.lit(0))))
-        variable = (F.col("children") >= CHILDREN) & (F.col("all_n") < PAGES * F.col("children"))
         # Branches without labels, or without labelled siblings, have nothing to differ by.
-        similar = (F.col("children") > 1) & ~F.coalesce(gap >= DIFFERENT * error, F.lit(False))
-        kept = F.when(variable, F.lit("*")).when(similar, F.lit("~")).otherwise(F.col("part"))
-        tree = counted.withColumn(
+        differs = F.coalesce(F.abs(gap) >= DIFFERENT * error, F.lit(False)) & (gap != 0)
+        side = F.when(F.col("part").isNull(), "").when(differs & (gap < 0), "~-").when(differs & (gap > 0), "~+").otherwise("~")
+        same = Window.partitionBy("host", "template", "side")
+        sided = counted.withColumn("side", side).withColumn(
+            "place", F.dense_rank().over(same.orderBy("part"))
+        ).withColumn("together", F.max("place").over(same))
+        variable = (F.col("children") >= CHILDREN) & (F.col("all_n") < PAGES * F.col("children"))
+        kept = F.when(variable, F.lit("*")).when(F.col("together") > 1, F.col("side")).otherwise(F.col("part"))
+        tree = sided.withColumn(
             "template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), kept))
         ).select("host", "form", "n", "labelled", "bad", "parts", "template")
     return tree.select("host", "form", "labelled", "bad", "template")

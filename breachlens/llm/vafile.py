@@ -50,6 +50,8 @@ def borders(rows: DataFrame, dims: int) -> np.ndarray:
     values = np.zeros((len(sample), dims))
     for i, v in enumerate(sample):
         values[i, :len(v)] = v
+    if not len(values):
+        return np.zeros((dims, CELLS - 1))
     return np.quantile(values, np.arange(1, CELLS) / CELLS, axis=0).T.copy()
 
 

@@ -51,27 +51,25 @@ def newest_payloads(payload: DataFrame, *request: str) -> DataFrame:
     return payload.withColumn("place", F.row_number().over(place)).filter("place = 1").drop("place", "landed_at")
 
 
-def severity_counts(vulnerabilities="vulnerabilities") -> dict[str, Column]:
-    """Hits per severity in one payload. Adds the `count` fields, not the entries."""
-    entries = F.col(vulnerabilities)
+def severity_counts(vulnerabilities="vulnerabilities") -> Column:
+    """Hits per severity in one payload, as a struct. Adds the `count` fields, not the entries;
+    the entries are gone through once."""
+    start = F.struct(*[F.lit(0).cast("bigint").alias(name) for name in COUNT_COLUMNS])
 
-    def total(level: int) -> Column:
-        return F.aggregate(
-            F.filter(entries, lambda v: v["severity"] == level),
-            F.lit(0).cast("bigint"),
-            lambda sofar, v: sofar + v["count"],
-        )
+    def add(sofar, v):
+        return F.struct(*[
+            F.when(v["severity"] == 4 - i, sofar[name] + v["count"]).otherwise(sofar[name]).alias(name)
+            for i, name in enumerate(COUNT_COLUMNS)
+        ])
 
-    return {name: F.coalesce(total(4 - i), F.lit(0)) for i, name in enumerate(COUNT_COLUMNS)}
+    entries = F.col(vulnerabilities)
+    return F.coalesce(F.aggregate(entries, start, add), start).alias("hits")
 
 
 def count_severities(payload: DataFrame, *key: str) -> DataFrame:
     """Hits per severity over all payloads of a run or host."""
-    entries = payload.select(*key, F.explode_outer("vulnerabilities").alias("v"))
-    return entries.groupBy(*key).agg(*[
-        F.expr(f"sum(if(v.severity = {4 - i}, v.count, 0))").alias(name)
-        for i, name in enumerate(COUNT_COLUMNS)
-    ])
+    hits = payload.select(*key, severity_counts())
+    return hits.groupBy(*key).agg(*[F.sum(f"hits.{name}").alias(name) for name in COUNT_COLUMNS])
 
 
 def skip_folders(folder_rows: DataFrame, names: list[str]) -> DataFrame:
@@ -105,14 +103,14 @@ def unloaded_runs(runs: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def run_rows(payload: DataFrame) -> DataFrame:
-    return payload.select(
+    return payload.select("*", severity_counts()).select(
         F.col("history_id").alias("scan_run_id"),
         "scan_id",
         F.col("info.scanner_start").alias("scan_start"),
         F.col("info.scanner_end").alias("scan_end"),
         "info.targets",
         F.col("info.hostcount").alias("host_count"),
-        *[column.alias(name) for name, column in severity_counts().items()],
+        "hits.*",
     )
 
 
@@ -125,7 +123,7 @@ def surrogate_key(*natural: str) -> Column:
 
 
 def host_rows(payload: DataFrame) -> DataFrame:
-    rows = payload.select(
+    rows = payload.select("*", severity_counts()).select(
         F.col("host_id").alias("scanner_host_id"),
         F.col("history_id").alias("scan_run_id"),
         "scan_id",
@@ -134,7 +132,7 @@ def host_rows(payload: DataFrame) -> DataFrame:
         "info.host_start",
         "info.host_end",
         F.col("info.operating-system").alias("os"),
-        *[column.alias(name) for name, column in severity_counts().items()],
+        "hits.*",
     )
     return rows.select(surrogate_key("scan_run_id", "scanner_host_id").alias("host_id"), "*")
 

@@ -14,10 +14,12 @@ from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import latest_runs
 from breachlens.operators.upsert import upsert, upsert_metrics, versioned_upsert
 from breachlens.plans import details, hierarchies, saved, summaries, tops
-from breachlens.plans.load import FOLDER_COLUMNS, SCAN_COLUMNS, choose_runs
+from breachlens.plans.load import FOLDER_COLUMNS, SCAN_COLUMNS, choose_runs, load_pass
 from breachlens.schemas import PAYLOADS
 from breachlens.session import configure, shared_dir
-from breachlens.sources import sample
+from breachlens.sources import sample, sample_landing
+from breachlens.sources.landing import read_landing
+from breachlens.sources.store import Store
 from breachlens.sources.tables import Tables
 from breachlens.streaming import jobs
 
@@ -213,6 +215,30 @@ def _upsert_scan(build, spark, sf_dir):
     return build(stored, feed, "scan_id", SCAN_COLUMNS)
 
 
+_STORES: dict[tuple[str, str], tuple[Store, DataFrame]] = {}
+
+
+def _pass(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """The test tables landed as JSON and loaded, once in an application: the store and what
+    was rejected."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        root = _new_path(spark, "loaded")
+        landing = read_landing(spark, sample_landing.land(spark, sf_dir, f"{root}/landing"), lines=True)
+        store = Store(spark, f"{root}/store")
+        _STORES[key] = store, load_pass(landing, store, 1, SKIPPED)["rejects"]
+    return _STORES[key]
+
+
+def _stored(table: str, *without: str) -> Query:
+    """A stored table without ids that are hashes."""
+    return _frames(lambda s, d: getattr(_pass(s, d)[0].tables(), table).drop("load_id", *without))
+
+
+def _rejected_runs(spark, sf_dir):
+    return _pass(spark, sf_dir)[1].select(F.col("history_id").alias("scan_run_id")).distinct()
+
+
 def _new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -311,6 +337,14 @@ def queries() -> dict[str, Query]:
         "upsert_scan": _frames(lambda s, d: _upsert_scan(upsert, s, d)),
         "upsert_scan_metrics": _frames(lambda s, d: _upsert_scan(upsert_metrics, s, d)),
         "plugin_upsert": _frames(_plugin_upsert),
+        "loaded_folders": _stored("folder"),
+        "loaded_scans": _stored("scan"),
+        "loaded_runs": _stored("scan_run"),
+        "loaded_hosts": _stored("host", "host_id", "host_start", "host_end", "os"),
+        "loaded_findings": _stored("host_vuln", "host_vuln_id"),
+        "loaded_plugins": _stored("plugin", "cvss_base_score", "cvss_vector", "cvss3_vector", "pub_date"),
+        "loaded_outputs": _stored("vuln_output", "vuln_output_id", "host_vuln_id"),
+        "rejected_runs": _frames(_rejected_runs),
         "stream_latest_run": _frames(_stream_latest_run),
         "stream_severity_counts": _frames(_stream_severity_counts),
         "stream_new_runs": _frames(_stream_new_runs),

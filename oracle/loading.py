@@ -97,6 +97,67 @@ _KEYS = {
 }
 
 
+# What a loading pass over the landed test tables stores: of each scan outside of the skipped
+# folders the newest run, if it is completed and all its findings have a known plugin.
+_KEPT = {
+    "kept_scan": """
+        SELECT s.* FROM scan s LEFT JOIN folder f ON f.folder_id = s.folder_id
+        WHERE COALESCE(f.name NOT IN ('NATION_3', 'NATION_12', 'NATION_99'), TRUE)""",
+    "history": _HISTORY,
+    "newest": _NEWEST,
+    "due": """SELECT scan_id, history_id AS scan_run_id FROM newest
+              WHERE status = 'completed' AND scan_id IN (SELECT scan_id FROM kept_scan)""",
+    "broken": "SELECT DISTINCT scan_run_id FROM host_vuln WHERE plugin_id NOT IN (SELECT plugin_id FROM plugin)",
+    "kept": "SELECT * FROM due WHERE scan_run_id NOT IN (SELECT scan_run_id FROM broken)",
+    "hits": """SELECT scan_run_id, scanner_host_id, severity, 1 + plugin_id % 3 AS n
+               FROM host_vuln JOIN plugin USING (plugin_id)""",
+}
+
+
+def _hits(key: str) -> str:
+    names = {4: "critical", 3: "high", 2: "medium", 1: "low", 0: "info"}
+    sums = ", ".join(
+        f"CAST(COALESCE(SUM(n) FILTER (WHERE severity = {level}), 0) AS BIGINT) AS {name}_count"
+        for level, name in names.items()
+    )
+    return f"SELECT {key}, {sums} FROM hits GROUP BY {key}"
+
+
+_NAMES = ["critical_count", "high_count", "medium_count", "low_count", "info_count"]
+_ZEROED = ", ".join(f"COALESCE({name}, 0) AS {name}" for name in _NAMES)
+
+
+def _stored() -> dict[str, str]:
+    return {
+        "loaded_folders": "SELECT * FROM folder WHERE name NOT IN ('NATION_3', 'NATION_12', 'NATION_99')",
+        "loaded_scans": "SELECT * FROM kept_scan",
+        "loaded_runs": f"""
+            SELECT scan_run_id, r.scan_id, scan_start, scan_end, targets, host_count, {_ZEROED}
+            FROM kept JOIN scan_run r USING (scan_run_id)
+            JOIN (SELECT scan_run_id, COUNT(*) AS host_count FROM host GROUP BY scan_run_id) USING (scan_run_id)
+            LEFT JOIN ({_hits("scan_run_id")}) USING (scan_run_id)""",
+        "loaded_hosts": f"""
+            SELECT scanner_host_id, scan_run_id, h.scan_id, host_ip, host_fqdn, {_ZEROED}
+            FROM kept JOIN host h USING (scan_run_id)
+            LEFT JOIN ({_hits("scan_run_id, scanner_host_id")}) USING (scan_run_id, scanner_host_id)""",
+        "loaded_findings": "SELECT scanner_host_id, scan_run_id, plugin_id FROM host_vuln JOIN kept USING (scan_run_id)",
+        "loaded_plugins": """
+            SELECT plugin_id, CAST(severity AS INTEGER) AS severity, name, family, synopsis,
+                   COALESCE(description, '') AS description, solution, cvss3_base_score, ref, mod_date
+            FROM plugin WHERE plugin_id IN (SELECT plugin_id FROM host_vuln JOIN kept USING (scan_run_id))""",
+        "loaded_outputs": r"""
+            SELECT scanner_host_id, scan_run_id, plugin_id,
+                   CAST(CASE WHEN plugin_id % 3 = 2 THEN output_no ELSE 0 END AS INTEGER) AS output_no, port,
+                   CAST(regexp_extract(port, '^\d+') AS DOUBLE) AS port_number,
+                   'output ' || CAST(output_no AS VARCHAR) AS output
+            FROM vuln_output JOIN kept USING (scan_run_id) WHERE port IS NOT NULL""",
+        # A run without hosts was not answered.
+        "rejected_runs": """
+            SELECT scan_run_id FROM due WHERE scan_run_id IN (SELECT scan_run_id FROM broken)
+               OR scan_run_id NOT IN (SELECT scan_run_id FROM host)""",
+    }
+
+
 def loading() -> dict[str, str]:
     orphans = [
         f"""SELECT '{name}' AS constraint_name, CAST({column} AS VARCHAR) AS key_value, COUNT(*) AS n
@@ -139,6 +200,7 @@ def loading() -> dict[str, str]:
         "upsert_scan": _upsert("scan_id", _SCANS),
         "upsert_scan_metrics": _metrics("scan_id", ["folder_id", "type", "name"], _SCANS),
         "plugin_upsert": _PLUGIN_UPSERT,
+        **{name: over(sql, **_KEPT) for name, sql in _stored().items()},
         "stream_latest_run": over(
             "SELECT scan_id, MAX(scan_run_id) AS scan_run_id FROM scan_run GROUP BY scan_id"
         ),

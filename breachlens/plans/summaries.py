@@ -10,6 +10,7 @@ from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import (
     Scope, findings, idle_hosts, located_findings, outputs, scope, with_plugin,
 )
+from breachlens.plans.tops import merged_case
 from breachlens.sources.tables import Tables
 
 TOTALS = {level: f"total_{name.lower()}" for level, _, name, _ in SEVERITIES}
@@ -114,13 +115,16 @@ def severity_totals(tables: Tables, spec: FilterSpec = FilterSpec()) -> DataFram
 HOST_COUNTS = {level: f"{name.lower()}_count" for level, _, name, _ in SEVERITIES}
 
 
-def host_report(tables: Tables, spec: FilterSpec = FilterSpec()) -> DataFrame:
+def host_report(
+    tables: Tables, spec: FilterSpec = FilterSpec(), merge_case: bool = False
+) -> DataFrame:
     """Findings per severity of every host of a filed scan, newest run first."""
     sc = scope(tables, spec, folder="inner")
     group = ["host_ip", "host_fqdn", "scan_name", "folder_name", "scan_start"]
     found = findings(sc).select(*group, "severity", F.lit(1).alias("weight"))
-    counted = _with_hosts(found, sc).groupBy(*group).agg(
-        *_counts("weight", HOST_COUNTS), F.count("weight").alias("total_vulnerabilities")
+    counted = merged_case(
+        _with_hosts(found, sc), group[:4], group[4:], *_counts("weight", HOST_COUNTS),
+        F.count("weight").alias("total_vulnerabilities"), merge=merge_case,
     )
     order = [F.desc("scan_start"), F.desc("total_vulnerabilities"), *group[:4]]
     return counted.orderBy(*order).select(

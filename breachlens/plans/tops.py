@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachlens.functions.scalars import severity_label, usable_port, vulnerability_name
@@ -16,11 +16,23 @@ from breachlens.sources.tables import Tables
 TOP = 10
 
 
-def top_vulnerabilities(tables: Tables, spec: FilterSpec = FilterSpec(), k: int = TOP) -> DataFrame:
+def merged_case(df: DataFrame, texts: list[str], others: list[str], *counts: Column, merge: bool = True) -> DataFrame:
+    """Group by texts and other columns; with `merge`, texts that differ only in case are one,
+    shown as the smallest of them."""
+    if not merge:
+        return df.groupBy(*texts, *others).agg(*counts)
+    keys = {c: f"{c}_key" for c in texts}
+    grouped = df.withColumns({key: F.lower(c) for c, key in keys.items()}).groupBy(*keys.values(), *others)
+    return grouped.agg(*[F.min(c).alias(c) for c in texts], *counts).drop(*keys.values())
+
+
+def top_vulnerabilities(
+    tables: Tables, spec: FilterSpec = FilterSpec(), k: int = TOP, merge_case: bool = False
+) -> DataFrame:
     """The vulnerabilities with most findings per filed scan.
 
     Findings are counted per plugin before plugins are joined. Ties are cut by the
-    full group key.
+    full group key. With `merge_case` names that differ only in case are one.
     """
     sc = scope(tables, spec, folder="inner")
     scan = ["folder_name", "scan_name"]
@@ -32,8 +44,9 @@ def top_vulnerabilities(tables: Tables, spec: FilterSpec = FilterSpec(), k: int
         named = named.unionByName(none, allowMissingColumns=True)
     group = [*scan, "known_plugin_id", "name", "severity"]
     return (
-        named.groupBy(*group)
-        .agg(F.sum("n").alias("finding_count"))
+        merged_case(
+            named, [*scan, "name"], ["known_plugin_id", "severity"], F.sum("n").alias("finding_count"), merge=merge_case
+        )
         .orderBy(F.desc("finding_count"), *group)
         .limit(k)
         .select(
@@ -46,7 +59,7 @@ def top_vulnerabilities(tables: Tables, spec: FilterSpec = FilterSpec(), k: int
     )
 
 
-def port_counts(tables: Tables, spec: FilterSpec = FilterSpec()) -> DataFrame:
+def port_counts(tables: Tables, spec: FilterSpec = FilterSpec(), merge_case: bool = False) -> DataFrame:
     """Findings per port text. A finding counts once per port, however many outputs."""
     sc = scope(tables, spec)
     key = list(tables.finding_key)
@@ -54,42 +67,38 @@ def port_counts(tables: Tables, spec: FilterSpec = FilterSpec()) -> DataFrame:
     if spec.on_plugin:
         found = with_plugin(found, sc)
     shown = outputs(sc, "port").filter(F.col("port").isNotNull())
-    return (
-        shown.join(found.select(*key), key, "left_semi")
-        .distinct()
-        .groupBy("port")
-        .agg(F.count("*").alias("finding_count"))
-    )
+    shown = shown.join(found.select(*key), key, "left_semi")
+    per_finding = merged_case(shown, ["port"], key, F.count("*").alias("n")) if merge_case else shown.distinct()
+    return merged_case(per_finding, ["port"], [], F.count("*").alias("finding_count"), merge=merge_case)
 
 
-def top_ports(tables: Tables, spec: FilterSpec = FilterSpec(), k: int = TOP) -> DataFrame:
-    return port_counts(tables, spec).orderBy(F.desc("finding_count"), "port").limit(k)
+def top_ports(
+    tables: Tables, spec: FilterSpec = FilterSpec(), k: int = TOP, merge_case: bool = False
+) -> DataFrame:
+    return port_counts(tables, spec, merge_case).orderBy(F.desc("finding_count"), "port").limit(k)
 
 
-def scan_names(tables: Tables) -> DataFrame:
+def scan_names(tables: Tables, merge_case: bool = False) -> DataFrame:
     """Names of the scans that have a run."""
     started = tables.scan_run.select("scan_id").distinct()
-    return (
-        tables.scan.join(started, "scan_id", "left_semi")
-        .select(F.col("name").alias("scan_name"))
-        .distinct()
-        .orderBy("scan_name")
-    )
+    names = tables.scan.join(started, "scan_id", "left_semi").select(F.col("name").alias("scan_name"))
+    return _distinct(names, "scan_name", merge_case).orderBy("scan_name")
+
+
+def _distinct(df: DataFrame, column: str, merge_case: bool) -> DataFrame:
+    if not merge_case:
+        return df.select(column).distinct()
+    return merged_case(df, [column], [], F.count("*").alias("n")).select(column)
 
 
-def ip_ports(tables: Tables, ip_address: str) -> DataFrame:
+def ip_ports(tables: Tables, ip_address: str, merge_case: bool = False) -> DataFrame:
     """All ports ever seen on exactly this address, in any run, in text order."""
     key = list(tables.finding_key)
     hosts = tables.host.filter(F.col("host_ip") == ip_address).select(*HOST_KEY).distinct()
     columns = list(dict.fromkeys((*key, *HOST_KEY)))
     found = tables.host_vuln.select(*columns).join(hosts, list(HOST_KEY), "left_semi")
-    return (
-        tables.vuln_output.select(*key, "port")
-        .join(found.select(*key), key, "left_semi")
-        .select("port")
-        .distinct()
-        .orderBy("port")
-    )
+    ports = tables.vuln_output.select(*key, "port").join(found.select(*key), key, "left_semi")
+    return _distinct(ports, "port", merge_case).orderBy("port")
 
 
 def usable_ip_ports(tables: Tables, ip_address: str) -> DataFrame:

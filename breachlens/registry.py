@@ -52,6 +52,20 @@ def _report(build: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf_dir: build(sample.load(configure(spark), sf_dir), *args, **kwargs)
 
 
+def _merge_case(build: Callable[..., DataFrame], *args) -> Query:
+    """A report that ignores case, over tables in which every third scan's name, and the ports
+    of every other run, are in the other case."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = sample.load(configure(spark), sf_dir).as_dict()
+        name, port = F.col("name"), F.col("port")
+        frames["scan"] = frames["scan"].withColumn("name", F.when(F.col("scan_id") % 3 == 0, F.lower(name)).otherwise(name))
+        frames["vuln_output"] = frames["vuln_output"].withColumn(
+            "port", F.when(F.col("scan_run_id") % 2 == 0, F.upper(port)).otherwise(port)
+        )
+        return build(Tables(**frames), *args, merge_case=True)
+    return query
+
+
 def _frames(build: Query) -> Query:
     return lambda spark, sf_dir: build(configure(spark), sf_dir)
 
@@ -308,6 +322,12 @@ def queries() -> dict[str, Query]:
         "top_vulnerability_hierarchy": _report(hierarchies.top_vulnerability_hierarchy),
         "top_port_hierarchy": _report(hierarchies.top_port_hierarchy),
         "host_report": _report(summaries.host_report),
+        "scan_summary_merge_case": _merge_case(summaries.scan_summary),
+        "top_vulnerabilities_merge_case": _merge_case(tops.top_vulnerabilities),
+        "scan_names_merge_case": _merge_case(tops.scan_names),
+        "top_ports_merge_case": _merge_case(tops.top_ports),
+        "ip_ports_merge_case": _merge_case(tops.ip_ports, SOME_IP),
+        "host_report_merge_case": _merge_case(summaries.host_report),
         "plugin_detail": _report(details.plugin_detail),
         "cvss_band": _report(details.cvss_bands),
         "reference_links": _report(details.reference_links),

@@ -1,6 +1,6 @@
 """The test tables as scan data, and the outer-joined rows that filters apply to."""
 
-_DOMAIN = {
+DOMAIN = {
     "folder": """
         SELECT n_nationkey AS folder_id, r_name AS type, n_name AS name
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
@@ -73,7 +73,7 @@ _DOMAIN = {
 
 def over(select: str, **more: str) -> str:
     """`select` over the domain tables; `more` adds named subqueries of its own."""
-    parts = {**_DOMAIN, **more}
+    parts = {**DOMAIN, **more}
     named = ",\n".join(f"{name} AS ({body})" for name, body in parts.items())
     return f"WITH {named}\n{select}"
 

@@ -1,6 +1,6 @@
 """Expected results of the reports and of the filters."""
 
-from oracle.domain import COLOR, LABEL, LEVELS, at, over, turkish_date
+from oracle.domain import COLOR, DOMAIN, LABEL, LEVELS, at, over, turkish_date
 
 # The filters used by the registered queries, as conditions on the fact rows.
 FILTERS = {
@@ -129,6 +129,54 @@ _SAVED = {
 }
 
 
+# Tables in which every third scan's name, and every other run's ports, are in the other case.
+_MIXED = {
+    "scan": f"""SELECT * REPLACE (CASE WHEN scan_id % 3 = 0 THEN lower(name) ELSE name END AS name)
+                FROM ({DOMAIN["scan"]})""",
+    "vuln_output": f"""SELECT * REPLACE (CASE WHEN scan_run_id % 2 = 0 THEN upper(port) ELSE port END AS port)
+                       FROM ({DOMAIN["vuln_output"]})""",
+}
+
+
+def _merged_case() -> dict[str, str]:
+    """Texts that differ only in case are one group, shown as the smallest of them."""
+    distinct = "COUNT(DISTINCT host_vuln_id) FILTER (WHERE severity = {level}) AS "
+    found = {
+        "scan_summary_merge_case": f"""
+            SELECT MIN(scan_name) AS scan_name, MIN(folder_name) AS folder_name,
+                   {at("MAX(scan_start)")} AS last_scan_date, COUNT(DISTINCT host_ip) AS total_hosts,
+                   {_levels(distinct + "total_{name}")}
+            FROM fact GROUP BY lower(scan_name), lower(folder_name)""",
+        "top_vulnerabilities_merge_case": f"""
+            SELECT *, {LABEL} AS severity_text FROM (
+                SELECT MIN(folder_name) AS folder_name, MIN(scan_name) AS scan_name,
+                       COALESCE(MIN(plugin_name), 'Bilinmeyen Zafiyet') AS vulnerability_name,
+                       severity, COUNT(DISTINCT host_vuln_id) AS finding_count
+                FROM fact WHERE folder_name IS NOT NULL
+                GROUP BY lower(folder_name), lower(scan_name), plugin_id, lower(plugin_name), severity
+                ORDER BY finding_count DESC, folder_name NULLS FIRST, scan_name NULLS FIRST,
+                         plugin_id NULLS FIRST, MIN(plugin_name) NULLS FIRST, severity NULLS FIRST
+                LIMIT 10)""",
+        "scan_names_merge_case": """
+            SELECT MIN(name) AS scan_name FROM scan WHERE scan_id IN (SELECT scan_id FROM scan_run)
+            GROUP BY lower(name)""",
+        "top_ports_merge_case": """
+            SELECT MIN(port) AS port, COUNT(DISTINCT host_vuln_id) AS finding_count
+            FROM fact WHERE port IS NOT NULL
+            GROUP BY lower(port) ORDER BY finding_count DESC, port LIMIT 10""",
+        "ip_ports_merge_case": """
+            SELECT MIN(port) AS port FROM host JOIN host_vuln USING (scan_run_id, scanner_host_id)
+            JOIN vuln_output USING (host_vuln_id) WHERE host_ip = '10.0.1.1' GROUP BY lower(port)""",
+        "host_report_merge_case": f"""
+            SELECT MIN(host_ip) AS host_ip, MIN(host_fqdn) AS host_fqdn, MIN(scan_name) AS scan_name,
+                   MIN(folder_name) AS folder_name, {at("scan_start")} AS last_scan_date,
+                   {_levels(distinct + "{name}_count")}, COUNT(DISTINCT host_vuln_id) AS total_vulnerabilities
+            FROM fact WHERE folder_name IS NOT NULL
+            GROUP BY lower(host_ip), lower(host_fqdn), lower(scan_name), lower(folder_name), scan_start""",
+    }
+    return {name: over(sql, **_MIXED) for name, sql in found.items()}
+
+
 def reports() -> dict[str, str]:
     by_filter = {name: distribution(where) for name, where in FILTERS.items()}
     pages = f"ORDER BY severity DESC NULLS LAST, host_ip NULLS FIRST, " + ", ".join(
@@ -145,6 +193,7 @@ def reports() -> dict[str, str]:
             SELECT s.scan_id, r.scan_run_id FROM scan s JOIN scan_run r ON r.scan_id = s.scan_id
             WHERE r.scan_run_id = (SELECT MAX(x.scan_run_id) FROM scan_run x WHERE x.scan_id = s.scan_id)"""),
         **by_filter,
+        **_merged_case(),
         "scan_summary": summary(),
         "scan_summary_by_severity": summary("severity IN (3, 2)"),
         "scan_summary_filtered": summary(FILTERS["filter_all"]),

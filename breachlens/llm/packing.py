@@ -14,6 +14,8 @@ besides the id and the text are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.llm.common import arrow_schema, as_batch, map_batches, staged
-from breachlens.llm.vocab import WORD_BPE, chunked, library_tokenizer, public_path, read, slices
+from breachlens.llm.vocab import (
+    WORD_BPE, ChunkMemo, WordEncoder, in_worker, public_path, read, slices, special_tokens,
+)
 
 #: Up to so many partitions their totals (16 bytes each) are broadcast; beyond, joined.
 BROADCAST_PARTITIONS = 1_000_000
@@ -36,7 +40,15 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, end_id: int, path: st
     schema = arrow_schema(ddl)
 
     def make():
-        library, memo = library_tokenizer(shared.value), {}
+        def learned() -> ChunkMemo:
+            words = WordEncoder(shared.value)
+
+            def encode(missing: list[str]) -> list[bytes]:
+                return [np.array(ids, dtype="<u4").tobytes() for ids in words(missing)]
+
+            return ChunkMemo(encode, bytes.__add__, special_tokens(words.library))
+
+        memo = in_worker(f"packing {zlib.crc32(shared.value)}", learned)
         end = np.array([end_id], dtype="<u4").tobytes()
         part, total = TaskContext.get().partitionId(), 0
 
@@ -44,16 +56,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, end_id: int, path: st
             nonlocal total
             texts = batch.column(1).to_pylist()
             for start, stop in slices(texts):
-                lists = [chunked(t) for t in texts[start:stop]]
-                if len(memo) > 300_000:
-                    memo.clear()
-                missing = list(set().union(*lists).difference(memo))
-                found = library.encode_batch(
-                    [c.decode("utf-8", "surrogatepass") for c in missing], add_special_tokens=False
-                )
-                for chunk, e in zip(missing, found):
-                    memo[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = [b"".join(map(memo.__getitem__, chunks)) + end for chunks in lists]
+                ids = [b"".join(parts) + end for parts in memo.lists(texts[start:stop])]
                 sizes = np.fromiter((len(i) // 4 for i in ids), dtype=np.int64, count=len(ids))
                 yield as_batch({
                     id_col: batch.column(0).slice(start, stop - start),

@@ -22,15 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breachlens.llm.common import Memo, arrow_schema, as_batch, map_batches
-from breachlens.llm.vocab import BYTE_BPE, chunked, public_path, read
-
-
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte: itself if it can be printed, else one of the
-    characters from U+0100 on, in turn."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+from breachlens.llm.vocab import BYTE_BPE, byte_alphabet, chunked, public_path, read
 
 
 class LongestMatch:

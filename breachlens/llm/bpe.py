@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breachlens.llm.common import arrow_schema, as_batch, map_batches
-from breachlens.llm.vocab import WORD_BPE, chunked, library_tokenizer, public_path, read, slices
+from breachlens.llm.vocab import (
+    WORD_BPE, ChunkMemo, byte_alphabet, in_worker, is_plain, library_tokenizer, public_path, read, slices,
+)
 
-NO_MERGE = np.int64(1) << 40
+NEVER = 1 << 40
+NO_MERGE = np.int64(NEVER)
 
 
 class Bpe:
@@ -53,6 +57,7 @@ class Bpe:
         library = library_tokenizer(data)
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
+        self.shown = dict(enumerate(byte_alphabet()))
         self.apart = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     def propose(self, word: str) -> list[int]:
@@ -97,22 +102,21 @@ class Bpe:
         return self.symbols(int(self.left[token])) + self.symbols(int(self.right[token]))
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging: the earliest merge first, from left to right."""
-        ids = list(ids)
-        while len(ids) > 1:
-            best = min((self.rank.get(p, NO_MERGE) for p in zip(ids, ids[1:])))
-            if best == NO_MERGE:
+        """Exact merging: the earliest merge first, from left to right. A merged token's own
+        merges come later than the one that made it."""
+        ids, rank = list(ids), self.rank
+        ranks = [rank.get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            a, b = int(self.left[best]), int(self.right[best])
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(int(best))
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            at = ranks.index(best)
+            ids[at:at + 2] = [best]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank.get((ids[at - 1], best), NEVER)
+            if at < len(ranks):
+                ranks[at] = rank.get((best, ids[at + 1]), NEVER)
         return ids
 
     def is_reachable(self, token: int) -> bool:
@@ -144,6 +148,8 @@ class Bpe:
 
     def words(self, text: str) -> list[str | int]:
         """A text as words in the byte alphabet, with special tokens as ids."""
+        if is_plain(text):
+            return [text if text.isascii() else text.encode().decode("latin-1").translate(self.shown)]
         out: list[str | int] = []
         start = 0
         for found in [*self.apart.finditer(text), None]:
@@ -155,9 +161,9 @@ class Bpe:
                 start = found.end()
         return out
 
-    def encode(self, chunks: list[bytes]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of many texts; each distinct word is encoded once."""
-        cut = [self.words(c.decode("utf-8", "surrogatepass")) for c in chunks]
+        cut = [self.words(t) for t in texts]
         distinct = list({w for ws in cut for w in ws if isinstance(w, str)})
         ids = dict(zip(distinct, self.encode_words(distinct)))
         return [[i for w in ws for i in (ids[w] if isinstance(w, str) else [w])] for ws in cut]
@@ -167,12 +173,12 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def _known_chunks(bpe: Bpe, memo: dict, lists: list[list[bytes]], value, most: int = 300_000) -> None:
-    if len(memo) > most:
-        memo.clear()
-    missing = list(set().union(*lists).difference(memo))
-    for chunk, ids in zip(missing, bpe.encode(missing)):
-        memo[chunk] = value(ids)
+def _digest_parts(bpe: Bpe, ids: list[int]) -> tuple[int, bytes, bytes]:
+    return len(ids), " ".join(map(str, ids)).encode(), bpe.decode(ids).encode()
+
+
+def _joined(a: tuple[int, bytes, bytes], b: tuple[int, bytes, bytes]) -> tuple[int, bytes, bytes]:
+    return (a[0] + b[0], a[1] + b" " + b[1], a[2] + b" " + b[2]) if a[0] and b[0] else a if a[0] else b
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -184,14 +190,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     schema = arrow_schema(ddl)
 
     def make():
-        bpe, memo = Bpe(shared.value), {}
+        bpe = Bpe(shared.value)
+        memo = ChunkMemo(bpe.encode, list.__add__, list(bpe.special))
 
         def step(batch: pa.RecordBatch):
             texts = batch.column(1).to_pylist()
             for start, stop in slices(texts):
-                lists = [chunked(t) for t in texts[start:stop]]
-                _known_chunks(bpe, memo, lists, lambda ids: ids)
-                ids = [[i for c in chunks for i in memo[c]] for chunks in lists]
+                lists = memo.lists(texts[start:stop])
+                ids = [[i for part in parts for i in part] for parts in lists]
                 yield as_batch({id_col: batch.column(0).slice(start, stop - start), "ids": ids}, schema)
 
         return step
@@ -227,19 +233,22 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = arrow_schema(ddl)
 
     def make():
-        bpe, memo = Bpe(shared.value), {}
+        def learned() -> ChunkMemo:
+            bpe = Bpe(shared.value)
+
+            def encode(words: list[str]):
+                return [_digest_parts(bpe, ids) for ids in bpe.encode(words)]
+
+            return ChunkMemo(encode, _joined, list(bpe.special))
 
-        def value(ids: list[int]):
-            return len(ids), " ".join(map(str, ids)).encode(), bpe.decode(ids).encode()
+        memo = in_worker(f"bpe {zlib.crc32(shared.value)}", learned)
 
         def step(batch: pa.RecordBatch):
             texts = batch.column(1).to_pylist()
             counts, digests, decoded = [], [], []
             for start, stop in slices(texts):
-                lists = [chunked(t) for t in texts[start:stop]]
-                _known_chunks(bpe, memo, lists, value)
-                for chunks in lists:
-                    parts = [p for p in map(memo.__getitem__, chunks) if p[0]]
+                for parts in memo.lists(texts[start:stop]):
+                    parts = [p for p in parts if p[0]]
                     counts.append(sum(p[0] for p in parts))
                     digests.append(hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest())
                     decoded.append(hashlib.sha256(b" ".join([p[2] for p in parts])).hexdigest())

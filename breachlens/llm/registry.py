@@ -79,7 +79,45 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    """Without the name of the rejecting rule, which depends on the order of the cascade."""
+    return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, shingle) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, t, lines, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+         len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         len(list_distinct(w)) AS n_distinct, len(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters,
+         len(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS capitals
+  FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 10 > n_words * 3 OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+            OR (len(lines) >= 3 AND n_dup_lines * 2 > len(lines)) OR letters * 2 < word_chars
+            OR capitals * 2 > letters OR n_distinct * 5 < n_words - 20
+            OR (len(lines) >= 3 AND len(list_filter(lines, lambda x: regexp_matches(trim(x), '^[-*•●]'))) * 10 > len(lines) * 9)
+            OR (len(lines) >= 3 AND len(list_filter(lines, lambda x: regexp_matches(trim(x), '(\.\.\.|…)$'))) * 10 > len(lines) * 3)
+           ) AS kept
+FROM b
+"""
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +128,27 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LETTERS}), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM d
+), u AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.c = links.a
+)
+SELECT s.doc_id, len(s) AS n_shingles, min(c) AS component_id FROM s JOIN reach ON reach.doc_id = s.doc_id GROUP BY 1, 2
+"""
+
+
 OPERATORS: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -109,7 +168,7 @@ def queries(pipeline) -> dict[str, Query]:
 
 
 def oracle_sql(pipeline) -> dict[str, str]:
-    known = {"op3_exact_top_k": OP3_SQL}
+    known = {"op3_exact_top_k": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}
     if pipeline.ORACLE_SQL is not None:
         known["pipeline"] = pipeline.ORACLE_SQL
     return known

@@ -51,9 +51,7 @@ def versioned_upsert(
     rows are ever gathered or sorted in one place.
     """
     last_of_version = feed.groupBy(key, version).agg(F.max(order).alias("seen"))
-    last = last_of_version.groupBy(key).agg(
-        F.max("seen").alias("last_seen"), F.max_by(version, "seen").alias("last_version")
-    )
+    last = last_of_version.groupBy(key).agg(F.max("seen").alias("last_seen"))
     broken = (
         last_of_version.join(last, key)
         .filter(F.col("seen") < F.col("last_seen"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,22 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bloom_joins(spark: SparkSession) -> Iterator[None]:
+    """Inner joins that are run within may drop rows without a partner before they shuffle, by a
+    Bloom filter of a fixed size, also if the large side has less than the usual 10 GB."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}

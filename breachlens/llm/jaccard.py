@@ -9,8 +9,12 @@ last; sets that link must share a shingle among the first few of that order, the
 2. Groups that share a prefix shingle are candidates, unless their sizes or the places of the
    shingle rule a link out. Each group is first held against the lowest group it shares a list
    with, which ties large groups of near copies together without pairing all of them.
-3. All other candidates are verified only if their groups are not yet in one component. So no
+3. All other candidates are looked at only if their groups are not yet in one component. So no
    link between components is lost, and links within one are not needed.
+   Candidates are held against each other by odd sketches first: bit i of a sketch tells whether
+   an odd number of shingles falls on i, so sets differ in at least as many shingles as their
+   sketches differ in bits. A sketch has two bits for each shingle and can be folded to fewer.
+   Only pairs that pass are verified on whole sets.
 4. Components are expanded to the members of the groups.
 
 Two shingles collide with a chance of 2^-64; a collision changes a size or an intersection by
@@ -33,13 +37,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.llm.common import Memo, arrow_schema, as_batch, lower_bytes, map_batches, staged
+from breachlens.llm.common import (
+    Memo, arrow_schema, as_batch, bloom_joins, lower_bytes, map_batches, staged,
+)
 from breachlens.llm.components import components
 
 #: So many of the most frequent shingles come last in the order (8 bytes each are broadcast).
 FREQUENT = 1 << 17
 #: A list of groups that share a shingle is paired in blocks of about this many groups.
 BLOCK = 20_000
+#: Bits of the smallest sketch, which lists carry, and of the largest.
+SKETCH, LARGEST_SKETCH = 512, 1 << 20
+#: Lists up to this length are looked through for rows without a possible partner.
+SHORT = 256
+#: Pairs that are looked at together.
+PAIRS = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -92,7 +104,28 @@ def in_order(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np
     return np.concatenate([shingles[~often], late[np.argsort(rank[place[often]], kind="stable")]])
 
 
-DOCS = "rid bigint, doc_id {kind}, n bigint, set_key binary, text binary, counts binary"
+DOCS = "rid bigint, doc_id {kind}, n bigint, set_key binary, sketch binary, text binary, counts binary"
+
+
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    bits = min(LARGEST_SKETCH, max(SKETCH, 1 << (2 * len(shingles)).bit_length()))
+    falls = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((falls & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of fewer bits, `size` bytes, as 64-bit words: the parts of the larger one added up."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def close(apart, n1, n2, percent: int):
+    """Whether sets of sizes n1, n2 that differ in `apart` shingles or more can link."""
+    return (n1 + n2 - apart) // 2 >= -(-percent * (n1 + n2) // (100 + percent))
+
+
+def smallest(column: pa.Array) -> np.ndarray:
+    """The smallest sketches of a column of sketches, as rows."""
+    return np.array([folded(s, SKETCH // 8) for s in column.to_pylist()], dtype=np.uint64).reshape(-1, SKETCH // 64)
 
 
 def _read_documents(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -117,11 +150,12 @@ def _read_documents(docs: DataFrame, id_col: str, text_col: str, words: int) ->
             for i in range(0, len(tokens), 1 << 15):
                 blob = np.concatenate([tokens[i:i + (1 << 15)], counts[i:i + (1 << 15)]]).tobytes()
                 yield as_batch({
-                    "rid": [None], "doc_id": [None], "n": [None], "set_key": [None], "text": [None], "counts": [blob],
+                    "rid": [None], "doc_id": [None], "n": [None], "set_key": [None], "sketch": [None], "text": [None],
+                    "counts": [blob],
                 }, schema)
 
         for batch in batches:
-            rids, sizes, keys, texts = [], [], [], []
+            rids, sizes, keys, sketches, texts = [], [], [], [], []
             for text in batch.column(1):
                 plain = text.as_py()
                 shingles = shingle_set(word_hashes(lower_bytes(plain), memo), words)
@@ -129,6 +163,7 @@ def _read_documents(docs: DataFrame, id_col: str, text_col: str, words: int) ->
                 row += 1
                 sizes.append(len(shingles))
                 keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                sketches.append(odd_sketch(shingles))
                 texts.append(None if plain is None else squeeze.compress(plain.encode("utf-8", "surrogatepass")))
                 held.append(shingles)
                 size += len(shingles)
@@ -136,7 +171,7 @@ def _read_documents(docs: DataFrame, id_col: str, text_col: str, words: int) ->
                     yield from often()
                     held, size = [], 0
             yield as_batch({
-                "rid": rids, "doc_id": batch.column(0), "n": sizes, "set_key": keys, "text": texts,
+                "rid": rids, "doc_id": batch.column(0), "n": sizes, "set_key": keys, "sketch": sketches, "text": texts,
                 "counts": [None] * len(rids),
             }, schema)
         if held:
@@ -212,9 +247,39 @@ def possible(n1, p1, n2, p2, percent: int):
     return (most >= least) & (100 * small >= percent * large)
 
 
+def pairs_of_lists(new: np.ndarray, closed: np.ndarray):
+    """Of lists that begin where `new` is set, all pairs of rows of the closed ones: each row
+    with the later rows of its list."""
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(new))
+    partners = np.zeros(len(new), dtype=np.int64)
+    rows = np.arange(begins[0], len(new))
+    partners[begins[0]:] = np.where(np.repeat(closed, ends - begins), np.repeat(ends, ends - begins) - rows - 1, 0)
+    left = np.repeat(np.arange(len(new)), partners)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(partners) - partners, partners)
+
+
+def _without_partner(new, n, pos, percent: int) -> np.ndarray:
+    """Rows of short lists that cannot link with any other of their list by size and place."""
+    begins = np.flatnonzero(new)
+    none = np.zeros(len(new), dtype=bool)
+    if not len(begins):
+        return none
+    sizes = np.diff(np.append(begins, len(new)))
+    closed = (sizes > 1) & (sizes <= SHORT)
+    closed[-1] = False  # it may go on
+    left, right = pairs_of_lists(new, closed)
+    good = possible(n[left].astype(np.int64), pos[left], n[right].astype(np.int64), pos[right], percent)
+    none[begins[0]:] = np.repeat(closed, sizes)
+    none[left[good]] = False
+    none[right[good]] = False
+    return none
+
+
 def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     """(token, rid, n, pos, hub, likely): rows of shingles that several groups share, with the
-    lowest of those groups. Streams over rows in order, so a long list takes no memory."""
+    lowest of those groups. Streams over rows in order, so a long list takes no memory; of short
+    lists, rows without any possible partner are left out."""
     ddl = "token bigint, rid bigint, n int, pos int, hub bigint, likely boolean"
     schema = arrow_schema(ddl)
 
@@ -239,7 +304,7 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
             if not new[0]:
                 own = at == 0
                 h_rid, h_n, h_pos = (np.where(own, v, a) for v, a in zip(hub[:3], (h_rid, h_n, h_pos)))
-            keep = ~(new & ends)
+            keep = ~(new & ends) & ~_without_partner(new, n, pos, percent)
             keep[-1] = False
             yield as_batch({
                 "token": pa.array(token[keep]), "rid": pa.array(rid[keep]),
@@ -260,100 +325,155 @@ def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(task, ddl)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): the pairs whose sets link, by exact intersections."""
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can link by their sketches."""
     ddl = "a bigint, b bigint"
     schema = arrow_schema(ddl)
 
     def make():
-        import zstandard
-
-        expand, memo = zstandard.ZstdDecompressor(), Memo(word_hash)
-
-        def value(blob: bytes) -> np.ndarray:
-            return shingle_set(word_hashes(lower_bytes(expand.decompress(blob)), memo), words)
-
-        sets = Memo(value, 64)
-
         def step(batch):
-            a, b = [], []
-            for i, j, x, y in zip(*(batch.column(k) for k in range(4))):
-                s, t = sets[x.as_py()], sets[y.as_py()]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    a.append(i.as_py())
-                    b.append(j.as_py())
-            return as_batch({"a": a, "b": b}, schema)
-
+            good = []
+            for n1, s1, n2, s2 in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                size = min(len(s1), len(s2))
+                apart = int(np.bitwise_count(folded(s1, size) ^ folded(s2, size)).sum(dtype=np.int64))
+                good.append(close(apart, n1, n2, percent))
+            good = np.array(good, dtype=bool)
+            return as_batch({
+                "a": pa.array(batch.column(0).to_numpy()[good]), "b": pa.array(batch.column(1).to_numpy()[good]),
+            }, schema)
         return step
 
-    second = texts.select(F.col("rid").alias("b"), F.col("text").alias("y"))
-    first = texts.select(F.col("rid").alias("a"), F.col("text").alias("x"))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return map_batches(joined, make, ddl)
+    def side(name: str) -> DataFrame:
+        return sketches.select(F.col("rid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
+    met = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return map_batches(met, make, ddl)
 
-def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+
+def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b): possible pairs of a list whose groups lie in different components.
 
     A long list is cut into blocks, and each pair of blocks is a task's work of its own."""
-    named = lists.join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").withColumn(
-        "label", F.coalesce("label", "rid")
+    small_ddl = "rid bigint, sketch binary"
+    small_schema = arrow_schema(small_ddl)
+
+    def make_small():
+        return lambda batch: as_batch({
+            "rid": batch.column(0), "sketch": [row.tobytes() for row in smallest(batch.column(1))],
+        }, small_schema)
+
+    small = map_batches(sketches.select("rid", "sketch"), make_small, small_ddl)
+    known = small.hint("merge").join(labels.select(F.col("node").alias("rid"), "label"), "rid", "left").select(
+        "rid", "sketch", F.coalesce("label", "rid").alias("label")
     )
-    sizes = named.groupBy("token").agg(
+    labelled = lists.select("token", "rid", "n", "pos").hint("merge").join(known.select("rid", "label"), "rid")
+    sizes = labelled.groupBy("token").agg(
         F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-    ).where(F.col("lo") != F.col("hi"))
+    ).where(F.col("lo") != F.col("hi")).select("token", "m")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    dealt = named.join(sizes.select("token", "m"), "token").select(
-        "token", "rid", "n", "pos", "label", own.alias("own"), blocks.alias("blocks"),
+    dealt = labelled.hint("merge").join(sizes, "token").hint("merge").join(known.select("rid", "sketch"), "rid").select(
+        "token", "rid", "n", "pos", "label", "sketch", own.alias("own"), blocks.alias("blocks"),
     ).select(
-        "token", "rid", "n", "pos", "label", "own",
+        "token", "rid", "n", "pos", "label", "sketch", "own",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
         "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "rid", "n", "pos", "label", "own",
+        "rid", "n", "pos", "label", "own", "sketch",
     )
     ddl = "a bigint, b bigint"
     schema = arrow_schema(ddl)
 
-    def pairs(rows):
-        rid, n, pos, label, own, i, j = rows
-        if i[0] == j[0]:
-            left, right = np.arange(len(rid)), np.arange(len(rid))
-        else:
-            left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
-        for x in left:
-            y = right[rid[right] > rid[x]] if i[0] == j[0] else right
-            good = (label[y] != label[x]) & possible(n[x], pos[x], n[y], pos[y], percent)
-            y = y[good]
-            if len(y):
-                yield as_batch({
-                    "a": pa.array(np.maximum(rid[x], rid[y])), "b": pa.array(np.minimum(rid[x], rid[y])),
-                }, schema)
+    def pairs(rows, new):
+        """Of whole lists: every row with the later rows of its list, in bounded portions."""
+        _, i, j, rid, n, pos, label, own, sketch = rows
+        count = len(rid)
+        stops = np.append(np.flatnonzero(new)[1:], count)[np.cumsum(new) - 1]
+        partners = stops - np.arange(count) - 1
+        totals = np.cumsum(partners)
+        start = 0
+        while start < count:
+            done = totals[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(totals, done + PAIRS, side="right")))
+            own_partners = partners[start:stop]
+            left = np.repeat(np.arange(start, stop), own_partners)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own_partners) - own_partners, own_partners)
+            # Pairs within a block belong to the task of that block alone.
+            good = (label[left] != label[right]) & ((i[left] == j[left]) | (own[left] != own[right]))
+            left, right = left[good], right[good]
+            good = possible(n[left], pos[left], n[right], pos[right], percent)
+            left, right = left[good], right[good]
+            apart = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64)
+            good = close(apart, n[left].astype(np.int64), n[right].astype(np.int64), percent)
+            if good.any():
+                a, b = rid[left[good]], rid[right[good]]
+                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+                yield as_batch({"a": pa.array(both[0]), "b": pa.array(both[1])}, schema)
+            start = stop
 
     def task(batches):
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(k).to_numpy() for k in range(8)]
+            rows = [*(batch.column(k).to_numpy() for k in range(8)), smallest(batch.column(8))]
             if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
-            token, i, j = cols[:3]
-            cut = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for s, e in zip([0, *cut[:-1]], cut):
-                if e - s > 1:
-                    yield from pairs([c[s:e] for c in cols[3:]] + [cols[1][s:e], cols[2][s:e]])
-            start = cut[-1] if len(cut) else 0
-            rest = [c[start:] for c in cols]
-        if rest is not None and len(rest[0]) > 1:
-            yield from pairs([c for c in rest[3:]] + [rest[1], rest[2]])
+                rows = [np.concatenate([r, c]) for r, c in zip(rest, rows)]
+            token, i, j = rows[:3]
+            new = np.ones(len(token), dtype=bool)
+            new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                yield from pairs([r[:last] for r in rows], new[:last])
+            rest = [r[last:] for r in rows]
+        if rest is not None:
+            new = np.zeros(len(rest[0]), dtype=bool)
+            new[0] = True
+            yield from pairs(rest, new)
 
     sorted_rows = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return sorted_rows.mapInArrow(task, ddl).distinct()
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the pairs whose sets link, by exact intersections. `pairs` is a written table."""
+    spark = pairs.sparkSession
+    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+    ids = staged(spark, ids, "jaccard-ids").where(F.col("rid") >= 0)
+    # All ids pass. Spark filters ahead of a shuffle only for the sake of a side that is filtered.
+    with bloom_joins(spark):
+        texts = staged(spark, rows.select("rid", "text").join(ids, "rid"), "jaccard-texts")
+    ddl = "a bigint, b bigint"
+    schema = arrow_schema(ddl)
+
+    def make():
+        import zstandard
+
+        expand, memo = zstandard.ZstdDecompressor(), Memo(word_hash)
+
+        def value(blob: bytes) -> np.ndarray:
+            return shingle_set(word_hashes(lower_bytes(expand.decompress(blob)), memo), words)
+
+        sets = Memo(value, 64)
+
+        def step(batch):
+            a, b = [], []
+            for i, j, x, y in zip(*(batch.column(k) for k in range(4))):
+                s, t = sets[x.as_py()], sets[y.as_py()]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    a.append(i.as_py())
+                    b.append(j.as_py())
+            return as_batch({"a": a, "b": b}, schema)
+
+        return step
+
+    second = texts.select(F.col("rid").alias("b"), F.col("text").alias("y"))
+    first = texts.select(F.col("rid").alias("a"), F.col("text").alias("x"))
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
+    return staged(spark, map_batches(joined, make, ddl), "jaccard-links")
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The staged documents, and (set_key, label) of every group: the lowest rid it can reach."""
     spark = docs.sparkSession
@@ -363,16 +483,20 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     groups = staged(
         spark, rows.where(F.col("n") > 0).groupBy("set_key").agg(F.min("rid").alias("rid")), "jaccard-groups"
     )
-    lead = rows.join(groups.select("rid"), "rid").select("rid", "text")
+    # The hints in this module keep plans the same at every size: all sides grow with the input.
+    lead = rows.hint("merge").join(groups.select("rid"), "rid").select("rid", "text")
     lists = staged(spark, _lists(_prefixes(lead, words, percent, frequent, rank), percent), "jaccard-lists")
     starred = lists.where((F.col("rid") != F.col("hub")) & F.col("likely")).groupBy(F.col("rid").alias("a")).agg(
         F.min("hub").alias("b")
     )
     candidates = lists.select("rid").distinct()
-    texts = staged(spark, rows.join(candidates, "rid").select("rid", "text"), "jaccard-texts")
-    links = staged(spark, _verified(starred, texts, words, percent), "jaccard-links")
+    sketches = rows.select("rid", "n", "sketch").hint("merge").join(candidates, "rid")
+    sketches = staged(spark, sketches, "jaccard-sketches")
+    close_pairs = staged(spark, _sketched(starred, sketches, percent), "jaccard-pairs")
+    links = _verified(close_pairs, rows, words, percent)
     labels = components(links, "jaccard-labels")
-    more = staged(spark, _verified(_across(lists, labels, percent), texts, words, percent), "jaccard-links")
+    close_pairs = _sketched(_across(lists, labels, sketches, percent), sketches, percent)
+    more = _verified(staged(spark, close_pairs, "jaccard-pairs"), rows, words, percent)
     if more.limit(1).count():
         labels = components(links.union(more), "jaccard-labels")
     return rows, groups.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
@@ -402,9 +526,11 @@ def deduplicate(docs: DataFrame, text_col: str = "text", words: int = 5, percent
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("rest"), F.col(f"`{text_col}`").alias("text"))
     rows, labels = _labelled(packed, "rest", "text", words, percent)
-    kept = rows.join(labels, (rows["set_key"] == labels["set_key"]) & (rows["n"] > 0), "left").where(
-        (rows["n"] == 0) | (rows["rid"] == labels["label"])
-    ).select(rows["doc_id"].alias("rest"), rows["text"])
+    linked = rows.where(F.col("n") > 0).select("rid", "set_key").join(labels, "set_key")
+    # Written, so that Spark knows how many go: texts only shuffle if they are too many to broadcast.
+    gone = staged(docs.sparkSession, linked.where(F.col("rid") != F.col("label")).select("rid"), "jaccard-gone")
+    kept = rows.select("rid", F.col("doc_id").alias("rest"), "text").join(gone, "rid", "left_anti").select("rest", "text")
+
     def make():
         import zstandard
 

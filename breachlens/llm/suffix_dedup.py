@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.llm.anchors import anchored
-from breachlens.llm.common import arrow_schema, as_batch, map_batches, staged
+from breachlens.llm.common import arrow_schema, as_batch, bloom_joins, map_batches, staged
 from breachlens.llm.suffixes import repeated_starts
 
 #: So many different stretches of an anchor are sorted in one task at most.
@@ -99,7 +99,7 @@ def _read_documents(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     def make():
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         base, row = TaskContext.get().partitionId() << 33, 0
 
         def step(batch):
@@ -146,12 +146,16 @@ def _occurrences(read: DataFrame) -> DataFrame:
 
 
 def _pieces(kinds: DataFrame, read: DataFrame, length: int) -> DataFrame:
-    """(anchor, part, content, first, windows, piece): the bytes of one stretch of each kind;
-    of crowded anchors a row per window, whose part is the window's hash."""
+    """(anchor, part, content, first, windows, known, piece): the bytes of one stretch of each
+    kind; of crowded anchors a row per window, whose part is the window's hash. Of the known
+    ones, which occur twice, all windows are repeated; they are there for the others' sake."""
     wanted = kinds.where(F.col("different") > 1).groupBy("rid").agg(F.collect_list(
-        F.struct("start", "windows", "anchor", "content", (F.col("different") > GROUP).alias("crowded"))
+        F.struct(
+            "start", "windows", "anchor", "content", (F.col("different") > GROUP).alias("crowded"),
+            (F.col("c") > 1).alias("known"),
+        )
     ).alias("wanted"))
-    ddl = "anchor bigint, part bigint, content bigint, first int, windows int, piece binary"
+    ddl = "anchor bigint, part bigint, content bigint, first int, windows int, known boolean, piece binary"
     schema = arrow_schema(ddl)
 
     def make():
@@ -166,16 +170,20 @@ def _pieces(kinds: DataFrame, read: DataFrame, length: int) -> DataFrame:
                 for w in wanted.as_py():
                     a, n = w["start"], w["windows"]
                     if w["crowded"]:
-                        rows += [(w["anchor"], content_hash(text[a + k:a + k + length]) or 1, w["content"], k, 1, None)
+                        rows += [(w["anchor"], content_hash(text[a + k:a + k + length]) or 1, w["content"], k, 1, w["known"], None)
                                  for k in range(n)]
                     else:
-                        rows.append((w["anchor"], 0, w["content"], 0, n, text[a:a + n - 1 + length]))
+                        rows.append((w["anchor"], 0, w["content"], 0, n, w["known"], text[a:a + n - 1 + length]))
                 for i in range(0, len(rows), 10_000):
                     yield as_batch(dict(zip(schema.names, map(list, zip(*rows[i:i + 10_000])))), schema)
 
         return step
 
-    return map_batches(read.join(wanted, "rid").select("text", "wanted"), make, ddl)
+    # All pass. Spark filters ahead of a shuffle only for the sake of a side that is filtered, and
+    # only if that is a plain table.
+    rids = staged(read.sparkSession, wanted.select("rid"), "suffix-rids").where(F.col("rid") >= 0)
+    texts = read.select("rid", "text").join(rids, "rid")
+    return map_batches(texts.join(wanted, "rid").select("text", "wanted"), make, ddl)
 
 
 def _repeats(pieces: DataFrame, length: int) -> DataFrame:
@@ -194,29 +202,27 @@ def _repeats(pieces: DataFrame, length: int) -> DataFrame:
         group, key, lone = [], None, None
 
         def ended():
-            out = []
-            if len(group) > 1:
-                marked = repeated_starts([g[1] for g in group], [g[2] for g in group], length)
-                out = [(key[0], g[0], a, b) for g, m in zip(group, marked) for a, b in ranges(m)]
-            return out
+            if len(group) < 2:
+                return []
+            marked = repeated_starts([g[1] for g in group], [g[2] for g in group], length)
+            return [(key[0], g[0], a, b) for g, m in zip(group, marked) if not g[3] for a, b in ranges(m)]
 
         for batch in batches:
             out = []
-            rows = zip(*(batch.column(i).to_pylist() for i in range(6)))
-            for anchor, part, content, first, windows, piece in rows:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(7)))
+            for anchor, part, content, first, windows, known, piece in rows:
+                own = [] if known else [(anchor, content, first, first + length)]
                 if (anchor, part) != key:
                     out += ended()
                     group, key, lone = [], (anchor, part), None
                     if part:
-                        lone = (anchor, content, first, first + length)
+                        lone = own
                         continue
                 elif part:
-                    if lone:
-                        out.append(lone)
-                        lone = None
-                    out.append((anchor, content, first, first + length))
+                    out += (lone or []) + own
+                    lone = None
                     continue
-                group.append((content, piece, windows))
+                group.append((content, piece, windows, known))
             if out:
                 yield as_batch(dict(zip(schema.names, map(list, zip(*out)))), schema)
         out = ended()
@@ -247,6 +253,10 @@ def _covered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
     marks = repeats.union(whole).groupBy("anchor", "content").agg(
         F.collect_list(F.struct("first", "stop")).alias("ranges")  # at most one for each window
     )
+    # Written, so that the join below has nothing but shuffles on either side: one stretch may
+    # have a large share of all occurrences, and only such a join is split.
+    with bloom_joins(spark):
+        marks = staged(spark, marks, "suffix-marks")
     of_doc = occurrences.join(marks, ["anchor", "content"]).groupBy("rid").agg(
         F.collect_list(F.struct("start", "ranges")).alias("marks")
     )

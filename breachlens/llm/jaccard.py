@@ -43,7 +43,7 @@ from breachlens.llm.common import (
 from breachlens.llm.components import components
 
 #: So many of the most frequent shingles come last in the order (8 bytes each are broadcast).
-FREQUENT = 1 << 17
+FREQUENT = 1 << 16
 #: A list of groups that share a shingle is paired in blocks of about this many groups.
 BLOCK = 20_000
 #: Bits of the smallest sketch, which lists carry, and of the largest.
@@ -197,8 +197,7 @@ def _frequent(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     counts = map_batches(read.where(F.col("counts").isNotNull()).select("counts"), make, ddl)
     top = counts.groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") > 8).orderBy(F.desc("c"), "token").limit(FREQUENT)
-    rows = top.toPandas()
-    tokens = rows["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    tokens = np.array([row.token for row in top.collect()], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     rank = -np.arange(len(tokens))
     return tokens[order], rank[order]
@@ -407,11 +406,10 @@ def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
             good = close(apart, n[left].astype(np.int64), n[right].astype(np.int64), percent)
             if good.any():
                 a, b = rid[left[good]], rid[right[good]]
-                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield as_batch({"a": pa.array(both[0]), "b": pa.array(both[1])}, schema)
+                yield np.stack([np.maximum(a, b), np.minimum(a, b)])
             start = stop
 
-    def task(batches):
+    def found(batches):
         rest = None
         for batch in batches:
             if not batch.num_rows:
@@ -431,6 +429,22 @@ def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
             new[0] = True
             yield from pairs(rest, new)
 
+    def task(batches):
+        """Each pair once from a task, however many shingles it shares, as long as memory allows."""
+        held, size = [], 0
+        for both in found(batches):
+            held.append(both)
+            size += both.shape[1]
+            if size > 2 * PAIRS:
+                held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                size = held[0].shape[1]
+                if size > PAIRS:
+                    yield as_batch({"a": pa.array(held[0][0]), "b": pa.array(held[0][1])}, schema)
+                    held, size = [], 0
+        if held:
+            both = np.unique(np.concatenate(held, axis=1), axis=1)
+            yield as_batch({"a": pa.array(both[0]), "b": pa.array(both[1])}, schema)
+
     sorted_rows = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return sorted_rows.mapInArrow(task, ddl).distinct()
 

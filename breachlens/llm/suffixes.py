@@ -39,13 +39,15 @@ def sorted_suffixes(pieces: list[bytes], starts: list[int], length: int) -> tupl
     piece_end = np.repeat(ends, sizes + 1)
     seeds = np.flatnonzero(wanted[:-1] & direct)
     stops = np.minimum(seeds + length, piece_end[seeds])
-    keys = [text[i:j] for i, j in zip(seeds.tolist(), stops.tolist())]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    positions = seeds.tolist()
     front: list[list[int]] = [[] for _ in range(256)]
     back: list[list[int]] = [[] for _ in range(256)]
-    for k in order:
-        back[keys[k][0]].append(positions[k])
+    # A bucket at a time, so that the keys of one first byte are held and not those of all.
+    firsts = arr[seeds]
+    for byte in np.unique(firsts).tolist():
+        own = np.flatnonzero(firsts == byte)
+        positions = seeds[own].tolist()
+        keys = [text[i:j] for i, j in zip(positions, stops[own].tolist())]
+        back[byte] = [positions[k] for k in sorted(range(len(keys)), key=keys.__getitem__)]
     induced = np.zeros(len(text) + 1, dtype=np.uint8)
     induced[1:-1] = wanted[:-1] & ~direct  # shifted by one: asked for the suffix before j
     induced = induced.tobytes()

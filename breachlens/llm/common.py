@@ -51,6 +51,22 @@ def bloom_joins(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind: they go as soon as it is written, and
+    not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}

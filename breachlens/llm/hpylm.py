@@ -1,22 +1,25 @@
 """Operator 5: language-model scores by a hierarchical Pitman-Yor model.
 
-The context of a word is the end of the word before it: its last two bytes. Each context is a
-restaurant; contexts with the same last byte share a parent, and these share the restaurant of
-all words, whose parent is uniform over the training words and one for all unknown ones. A table
-of a restaurant is a customer of its parent.
-
-A Gibbs sweep seats the customers of each word anew in all its restaurants, given the tables
-that the other words held there after the sweep before. All restaurants of a word are in one
-row, and of the others only the totals of each context are needed, at most 65,537 and 257
-numbers, whatever the size of the corpus. After some sweeps the predictive probabilities are
+The context of a word is the whole word before it. Each context is a restaurant; without the
+word before, it is the restaurant of all words, whose parent is uniform over the training words
+and one for all unknown ones.
+
+A Gibbs sweep seats the customers of each word anew in all restaurants, given the tables that
+were held there after the sweep before. After some sweeps the predictive probabilities are
 averaged over the next ones. Draws are functions of word, context and sweep, so a lost task is
 repeated to the letter. Customers of a dish after the 64th are seated in blocks.
 
-Counts cover all training documents: each unit of documents has its own list of words in
-contexts, the lists are summed up by word, and the results go back to the units.
+Pairs of a context and a word are dealt out by their hash to parts, as many as the text asks
+for, so neither a frequent word nor a frequent context makes one part large. After each sweep
+the parts send the tables of their contexts and words to those contexts' and words' owners, which
+sum them up, seat the words in the restaurant of all words, and send the totals back to the
+parts that asked. No total is broadcast, however many contexts there are.
+
+Counts cover all training documents: each unit of documents has its own list of pairs, the lists
+are summed up by part, and the results go back to the units.
 
 Tokens: A-Z lower-cased; words `[^\\x20\\x09-\\x0D]+`, then one end, which is the empty word. The
-first word's context is the end of a document.
+first word's context is the end of a document. Words are told apart by hashes of 63 bits.
 
 Defined cases: a null or empty text is its end alone; a null id counts as the empty text for the
 remainder; without training documents there is one unknown word, of probability 1; repeated rows
@@ -25,6 +28,7 @@ are scored, and learned from, each; columns besides the id and the text are not
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 
@@ -34,26 +38,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.llm.common import arrow_schema, as_batch, lower_bytes, staged
+from breachlens.llm.common import arrow_schema, as_batch, lower_bytes, released, staged
 from breachlens.llm.seating import discount_of, seated
 
 #: Tokens of a unit of documents, which has one list.
 UNIT_TOKENS = 1 << 22
 SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
-#: The context of a document's first word, and its parent.
-START, PARENT_START = 1 << 16, 1 << 8
-CONTEXT_BITS = np.int64(17)
+#: Characters of all texts for each part: some two million pairs at most.
+PART_CHARS = 16_000_000
+PLACE_BITS = np.int64(32)
+#: The lowest bit of a hash tells contexts from words.
+CONTEXT = np.uint64(1)
+#: The parents of contexts given as numbers, see Restaurants.
+PARENTS, PARENT_START = 1 << 16, 1 << 8
+
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") & ~1
 
-def context_of(word: bytes) -> int:
-    """The last two bytes of the word before."""
-    return int.from_bytes(word[-2:], "big") if word else START
+
+def pair_hash(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = contexts * np.uint64(0x9E3779B97F4A7C15) + words
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
 
 
 def parent_of(contexts: np.ndarray) -> np.ndarray:
-    """The last byte alone."""
-    return np.where(contexts == START, PARENT_START, contexts & 255)
+    """The parent of a context that is given as a number."""
+    return np.where(contexts == PARENTS, PARENT_START, contexts & 255)
+
+
+def predictive(c, t, discount, customers, tables, parent):
+    """The probability of dishes with c customers at t tables, by their restaurant's totals."""
+    return (c - discount * t + (STRENGTH + discount * tables) * parent) / (STRENGTH + customers)
 
 
 class Unit:
@@ -79,12 +98,11 @@ class Unit:
         self.size += len(words)
 
     def listed(self):
-        """(pairs, tokens): the words in their contexts as ascending codes, place and context,
+        """(pairs, tokens): the pairs of a context and a word as ascending codes of their places,
         and for each token its number among them."""
         flat = np.concatenate(self.docs)
-        contexts = np.fromiter(map(context_of, self.places), dtype=np.int64, count=len(self.places))
         before = np.concatenate([[0], flat[:-1]])  # every document ends with the empty word
-        pairs, tokens = np.unique(flat << CONTEXT_BITS | contexts[before], return_inverse=True)
+        pairs, tokens = np.unique(before << PLACE_BITS | flat, return_inverse=True)
         return pairs, tokens
 
     def document_tokens(self):
@@ -92,28 +110,21 @@ class Unit:
         ends = np.cumsum([len(d) for d in self.docs])
         return [tokens[a:b].astype(np.int32) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def dealt(self, buckets: int):
-        """(bucket, words, pairs of each, contexts, numbers, training counts), by word."""
+    def dealt(self, parts: int):
+        """(part, contexts, words, numbers of the pairs, training counts)."""
         pairs, tokens = self.listed()
         trained = ~np.repeat(np.array(self.out, dtype=bool), [len(d) for d in self.docs])
         counts = np.bincount(tokens[trained], minlength=len(pairs)).astype(np.int32)
-        place = pairs >> CONTEXT_BITS
-        contexts = (pairs & ((1 << 17) - 1)).astype(np.int32)
-        sizes = np.bincount(place, minlength=len(self.places))
-        starts = np.cumsum(sizes) - sizes
-        words = list(self.places)
-        order = sorted(range(len(words)), key=words.__getitem__)
-        bucket = np.fromiter((zlib.crc32(words[i]) % buckets for i in order), dtype=np.int64, count=len(order))
-        order = np.array(order)
-        by_bucket = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = order[by_bucket[cuts[b]:cuts[b + 1]]]
+        hashes = np.fromiter(map(word_hash, self.places), dtype=np.uint64, count=len(self.places))
+        contexts = hashes[pairs >> PLACE_BITS] | CONTEXT
+        words = hashes[pairs & ((1 << PLACE_BITS) - 1)]
+        part = ((pair_hash(contexts, words) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        for k in range(parts):
+            own = order[cuts[k]:cuts[k + 1]]
             if len(own):
-                n = sizes[own]
-                numbers = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                yield (b, b" ".join([words[i] for i in own.tolist()]), n.astype(np.int32), contexts[numbers],
-                       numbers.astype(np.int32), counts[numbers])
+                yield k, contexts[own], words[own], own.astype(np.int32), counts[own]
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, ddl: str, emit) -> DataFrame:
@@ -137,22 +148,32 @@ def _units(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, d
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(task, ddl)
 
 
-def _lists(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, buckets: int) -> DataFrame:
-    ddl = "unit bigint, bucket int, words binary, sizes binary, contexts binary, numbers binary, counts binary"
+def _lists(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, parts: int) -> DataFrame:
+    ddl = "unit bigint, part int, contexts binary, words binary, numbers binary, counts binary"
     schema = arrow_schema(ddl)
 
     def emit(number, unit, ids):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b, words, *arrays in unit.dealt(buckets):
-            yield as_batch(dict(zip(
-                schema.names, [[number], [b], [squeeze(words)], *([squeeze(a.tobytes())] for a in arrays)]
-            )), schema)
+        for part, contexts, words, numbers, counts in unit.dealt(parts):
+            # Pairs lie in order of their context's place, so that one context's are neighbours.
+            yield as_batch(dict(zip(schema.names, [[number], [part], *([packed(a)] for a in (
+                contexts, words, np.diff(numbers, prepend=np.int32(0)), counts
+            ))])), schema)
 
     return _units(docs, id_col, text_col, folds, held, ddl, emit)
 
 
+def packed(array: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array).tobytes())
+
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
 def _documents(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"unit bigint, doc_id {kind}, held_out boolean, tokens binary"
@@ -172,70 +193,52 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, folds: int, held: in
     return _units(docs, id_col, text_col, folds, held, ddl, emit)
 
 
-def _cut(values: np.ndarray, ends: np.ndarray, start: int, stop: int) -> pa.Array:
-    """Rows start to stop of joined values, as one binary value each."""
-    first = ends[start - 1] if start else 0
-    offsets = ((np.concatenate([[first], ends[start:stop]]) - first) * values.itemsize).astype(np.int32)
-    part = np.ascontiguousarray(values[first:ends[stop - 1]])
-    return pa.Array.from_buffers(
-        pa.binary(), stop - start, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(part.tobytes())]
-    )
-
-
-def _summed(lists: DataFrame) -> DataFrame:
-    """A row per word: (key, c, contexts, counts, units, which, numbers): its training count, the
-    contexts it occurs in with their counts, and which of them has which number in which unit."""
-    ddl = "key bigint, c bigint, contexts binary, counts binary, units binary, which binary, numbers binary"
+def _by(column: str, batches):
+    """(value, its rows) of batches that are sorted by the column of that name."""
+    value, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row[column] != value:
+                yield value, rows
+                rows = []
+            value = row[column]
+            rows.append(row)
+    if rows:
+        yield value, rows
+
+
+def _parts(lists: DataFrame, owners: int) -> DataFrame:
+    """A row for each part: (part, once, twice, keys, ends, contexts, words, counts, units, sizes,
+    which, numbers): its contexts and words by owner, where each owner's end, which of them make
+    up each pair, the pairs' training counts, and which pair has which number in which unit."""
+    ddl = ("part int, once bigint, twice bigint, keys binary, ends binary, contexts binary, words binary, "
+           "counts binary, units binary, sizes binary, which binary, numbers binary")
     schema = arrow_schema(ddl)
 
     def task(batches):
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor().decompress
-        bucket, held = None, []
-
-        def ended():
-            words = pa.array([w for h in held for w in h[1]], pa.binary()).dictionary_encode()
-            n = len(words.dictionary)
-            word = np.repeat(words.indices.to_numpy().astype(np.int64), np.concatenate([h[2] for h in held]))
-            codes = word << CONTEXT_BITS | np.concatenate([h[3] for h in held])
-            numbers = np.concatenate([h[4] for h in held])
-            units = np.repeat(np.array([h[0] for h in held], dtype=np.int64), [len(h[4]) for h in held])
-            pairs, index = np.unique(codes, return_inverse=True)
-            counts = np.bincount(index, weights=np.concatenate([h[5] for h in held])).astype(np.int64)
-            of_word = pairs >> CONTEXT_BITS
-            contexts = (pairs & ((1 << 17) - 1)).astype(np.int32)
-            pair_ends = np.cumsum(np.bincount(of_word, minlength=n))
-            totals = np.bincount(of_word, weights=counts, minlength=n).astype(np.int64)
-            order = np.argsort(word, kind="stable")
-            ends = np.cumsum(np.bincount(word, minlength=n))
-            which = (index - (pair_ends - np.bincount(of_word, minlength=n))[word]).astype(np.int32)[order]
-            units, numbers = units[order], numbers[order]
-            keys = np.fromiter((zlib.crc32(w) | zlib.adler32(w) << 32 for w in words.dictionary.to_pylist()), np.uint64, n)
-            for start in range(0, n, 20_000):
-                stop = min(n, start + 20_000)
-                yield as_batch({
-                    "key": pa.array(keys[start:stop].view(np.int64)), "c": pa.array(totals[start:stop]),
-                    "contexts": _cut(contexts, pair_ends, start, stop), "counts": _cut(counts, pair_ends, start, stop),
-                    "units": _cut(units, ends, start, stop), "which": _cut(which, ends, start, stop),
-                    "numbers": _cut(numbers, ends, start, stop),
-                }, schema)
-
-        for batch in batches:
-            for unit, number, words, *arrays in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket is not None and number != bucket:
-                    yield from ended()
-                    held = []
-                bucket = number
-                held.append((unit, expand(words).split(b" "), *(np.frombuffer(expand(a), np.int32) for a in arrays)))
-        if held:
-            yield from ended()
-
-    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(task, ddl)
+        for part, rows in _by("part", batches):
+            contexts, words = (np.concatenate([unpacked(r[k], np.uint64) for r in rows]) for k in ("contexts", "words"))
+            numbers = [unpacked(r["numbers"], np.int32) for r in rows]
+            counts = np.concatenate([unpacked(r["counts"], np.int32) for r in rows])
+            _, first, which = np.unique(pair_hash(contexts, words), return_index=True, return_inverse=True)
+            counts = np.bincount(which, weights=counts, minlength=len(first)).astype(np.int64)
+            keys, places = np.unique(np.concatenate([contexts[first], words[first]]), return_inverse=True)
+            owner = ((keys >> np.uint64(20)) % np.uint64(owners)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            at = np.empty(len(keys), np.int32)
+            at[order] = np.arange(len(keys), dtype=np.int32)
+            yield as_batch(dict(zip(schema.names, [[part], [int((counts == 1).sum())], [int((counts == 2).sum())], *([packed(a)] for a in (
+                keys[order], np.cumsum(np.bincount(owner, minlength=owners)), at[places[:len(first)]], at[places[len(first):]],
+                counts, np.array([r["unit"] for r in rows], np.int64), np.array([len(n) for n in numbers], np.int64),
+                which.astype(np.int32), np.concatenate(numbers),
+            ))])), schema)
+
+    return lists.repartition(owners, "part").sortWithinPartitions("part").mapInArrow(task, ddl)
 
 
 class Restaurants:
-    """The seating of a batch of words in all their restaurants."""
+    """The seating of a batch of words in three levels of restaurants, all held in one place, whose
+    contexts are numbers. The queries seat by parts instead."""
 
     def __init__(self, keys: np.ndarray, contexts: list[bytes], counts: list[bytes], model: dict):
         self.model = model
@@ -261,8 +264,7 @@ class Restaurants:
         self.t0 = np.minimum(self.c0, 1) if t0 is None else t0(self.c0)
 
     def _level(self, c, t, discount, context, totals, parent):
-        customers, tables = totals
-        return (c - discount * t + (STRENGTH + discount * tables[context]) * parent) / (STRENGTH + customers[context])
+        return predictive(c, t, discount, totals[0][context], totals[1][context], parent)
 
     def root(self, totals) -> np.ndarray:
         zero = np.zeros(len(self.key0), np.int64)
@@ -288,91 +290,164 @@ class Restaurants:
         )
 
 
-LEVELS = (1, PARENT_START + 1, START + 1)
+class Part:
+    """The pairs of a part. A pair's dish is its word, its restaurant the context."""
 
+    def __init__(self, row: dict, model: dict):
+        self.model = model
+        self.keys, self.ends = unpacked(row["keys"], np.uint64), unpacked(row["ends"], np.int64)
+        self.context, self.word = unpacked(row["contexts"], np.int32), unpacked(row["words"], np.int32)
+        self.c = unpacked(row["counts"], np.int64)
+        self.pair = pair_hash(self.keys[self.context], self.keys[self.word])
+
+    def root(self, number: int, totals: list) -> np.ndarray:
+        """The probability of each pair's word in the restaurant of all words after a sweep."""
+        customers, tables = self.model["history"][number]
+        first, second = totals[number]
+        p = predictive(first, second, self.model["d0"], customers, tables, 1 / self.model["words"])
+        return p[self.word]
+
+    def seat(self, number: int, totals: list) -> np.ndarray:
+        """The tables of each pair after a sweep, by the totals of the one before."""
+        if not number:
+            return np.minimum(self.c, 1)
+        opening = (STRENGTH + self.model["d1"] * totals[number - 1][0][self.context]) * self.root(number - 1, totals)
+        return seated(self.c, opening, self.model["d1"], self.pair, number * 3)
+
+    def leaves(self, number: int, totals: list, tables: np.ndarray) -> np.ndarray:
+        """The predictive probability of each pair after a sweep."""
+        customers = totals[-1][0][self.context]
+        return predictive(self.c, tables, self.model["d1"], customers, totals[number][0][self.context], self.root(number, totals))
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """Totals of the pairs' values by context and by word."""
+        n = len(self.keys)
+        return (np.bincount(self.context, values, n) + np.bincount(self.word, values, n)).astype(np.int64)
+
+
+def _totals_of(rows: list[dict], last: int) -> list:
+    """For each sweep from 0 to `last`, and then for the training counts as they are, the totals by
+    key as (customers, tables) of words in the restaurant of all words; of contexts both are their
+    tables, or their customers in the last one. Those that no row has are left out."""
+    found: list = [None] * (last + 2)
+    for row in sorted(rows, key=lambda r: r["owner"]):
+        at = row["sweep"]
+        found[at] = found[at] or ([], [])
+        for into, name in zip(found[at], ("first", "second")):
+            into.append(unpacked(row[name], np.int64))
+    return [f and tuple(np.concatenate(x) for x in f) for f in found]
 
-def _totals(words: DataFrame, model: dict, history: list) -> tuple[list, dict]:
-    """Customers and tables of every restaurant after as many sweeps as there is history, and
-    how many dishes have one customer and two, by level."""
-    shared = words.sparkSession.sparkContext.broadcast(history)  # bounded by the contexts
-    ddl = "level int, context int, customers bigint, tables bigint, once bigint, twice bigint"
+
+TOTALS = "sweep int, part int, owner int, first binary, second binary, customers bigint, tables bigint, once bigint, twice bigint"
+
+
+def _sent(parts: DataFrame, totals: DataFrame | None, model: dict, number: int) -> DataFrame:
+    """(owner, part, keys, tables, counts): of each part for each owner the sums after a sweep;
+    the training counts only come with the first."""
+    ddl = "owner int, part int, keys binary, tables binary, counts binary"
     schema = arrow_schema(ddl)
 
+    def batches_of(row: dict, rows: list[dict]):
+        own = Part(row, model)
+        tables = own.summed(own.seat(number, _totals_of(rows, number)))
+        counts = own.summed(own.c) if not number else None
+        cuts = [0, *own.ends.tolist()]
+        for owner, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                yield as_batch(dict(zip(schema.names, [
+                    [owner], [row["part"]], [packed(own.keys[a:b])], [packed(tables[a:b])],
+                    [None if counts is None else packed(counts[a:b])],
+                ])), schema)
+
+    narrow = parts.select("part", "keys", "ends", "contexts", "words", "counts")
+    if totals is None:
+        def task(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from batches_of(row, [])
+
+        return narrow.mapInArrow(task, ddl)
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [b for row in left.to_pylist() for b in batches_of(row, right.to_pylist())]
+        return pa.Table.from_batches(found, schema)
+
+    before = totals.where((F.col("part") >= 0) & (F.col("sweep") == number - 1))
+    return narrow.groupBy("part").cogroup(before.groupBy("part")).applyInArrow(both, ddl)
+
+
+def _owned(sent: DataFrame, owners: int, model: dict, number: int, last: int) -> DataFrame:
+    """The totals after a sweep for each part that asked, and as part -1 the sums of each owner."""
+    schema = arrow_schema(TOTALS)
+
     def task(batches):
-        sums = [[np.zeros(n, np.int64) for _ in range(4)] for n in LEVELS]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = Restaurants(batch.column(0).to_numpy(), *(batch.column(i).to_pylist() for i in (1, 2)), model)
-            for number, totals in enumerate(shared.value, 1):
-                own.sweep(totals, number)
-            zero = np.zeros(len(own.key0), np.int64)
-            for level, (at, c, t) in enumerate([(zero, own.c0, own.t0), (own.parent, own.c1, own.t1), (own.context, own.c2, own.t2)]):
-                for into, weight in zip(sums[level], (c, t, c == 1, c == 2)):
-                    into += np.bincount(at, weights=weight, minlength=LEVELS[level]).astype(np.int64)
-        for level, (c, t, once, twice) in enumerate(sums):
-            at = np.flatnonzero(c)
-            if len(at):
-                yield as_batch(dict(zip(schema.names, map(pa.array, (
-                    np.full(len(at), level, np.int32), at.astype(np.int32), c[at], t[at], once[at], twice[at],
-                )))), schema)
-
-    known = words.where(F.col("c") > 0).select("key", "contexts", "counts")
-    rows = known.mapInArrow(task, ddl).groupBy("level", "context").agg(
-        *[F.sum(c).alias(c) for c in ("customers", "tables", "once", "twice")]
-    ).toPandas()
-    totals, discounts = [], {}
-    for level, n in enumerate(LEVELS):
-        part = rows[rows["level"] == level]
-        arrays = [np.zeros(n) for _ in range(2)]
-        for into, name in zip(arrays, ("customers", "tables")):
-            into[part["context"].to_numpy(np.int64)] = part[name].to_numpy(np.float64)
-        totals.append(tuple(arrays))
-        discounts[f"d{level}"] = discount_of(int(part["once"].sum()), int(part["twice"].sum()))
-    return totals, discounts
-
-
-def _returned(words: DataFrame, model: dict, history: list, burn_in: int) -> DataFrame:
-    """(unit, numbers, counts, logs): for each unit the words' counts and, averaged over the
-    sweeps after the burn-in, the logarithms of their probabilities in their contexts."""
-    shared = words.sparkSession.sparkContext.broadcast(history)
+        for owner, rows in _by("owner", batches):
+            asked = [unpacked(r["keys"], np.uint64) for r in rows]
+            keys, places = np.unique(np.concatenate(asked), return_inverse=True)
+            is_word = (keys & CONTEXT) == 0
+
+            def total(name):
+                return np.bincount(places, np.concatenate([unpacked(r[name], np.int64) for r in rows]), len(keys)).astype(np.int64)
+
+            first = total("tables")
+            second = first.copy()
+            c = first[is_word]
+            if number:
+                weight = (STRENGTH + model["d0"] * model["history"][number - 1][1]) / model["words"]
+                second[is_word] = seated(c, np.full(len(c), weight), model["d0"], keys[is_word], number * 3 + 2)
+            else:
+                second[is_word] = np.minimum(c, 1)
+            counts = total("counts") if not number else None
+            cuts = np.cumsum([0, *map(len, asked)])
+            for r, a, b in zip(rows, cuts.tolist(), cuts[1:].tolist()):
+                own = places[a:b]
+                yield as_batch(dict(zip(schema.names, [
+                    [number], [r["part"]], [owner], [packed(first[own])], [packed(second[own])], *[[None]] * 4
+                ])), schema)
+                if counts is not None:
+                    blob = packed(counts[own])
+                    yield as_batch(dict(zip(schema.names, [
+                        [last + 1], [r["part"]], [owner], [blob], [blob], *[[None]] * 4
+                    ])), schema)
+            n = 0 if counts is None else int(counts[is_word].sum())
+            yield as_batch(dict(zip(schema.names, [
+                [number], [-1], [owner], [None], [None], [int(c.sum())], [int(second[is_word].sum())],
+                [int((c == 1).sum())], [int((c == 2).sum())],
+            ])), schema)
+            yield as_batch(dict(zip(schema.names, [
+                [last + 1], [-1], [owner], [None], [None], [n], [int((c > 0).sum())], [0], [0]
+            ])), schema)
+
+    return sent.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(task, TOTALS)
+
+
+def _returned(parts: DataFrame, totals: DataFrame, model: dict, sweeps: int, burn_in: int) -> DataFrame:
+    """(unit, numbers, counts, logs): for each unit the pairs' words' counts and, averaged over
+    the sweeps after the burn-in, the logarithms of the pairs' probabilities."""
     ddl = "unit bigint, numbers binary, counts binary, logs binary"
     schema = arrow_schema(ddl)
 
-    def task(batches):
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own = Restaurants(keys, *(batch.column(i).to_pylist() for i in (2, 3)), model)
-            mean = np.zeros(len(own.context))
-            for number, totals in enumerate(shared.value[:-1], 1):
-                own.sweep(totals, number)
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for row in left.to_pylist():
+            own, held = Part(row, model), _totals_of(right.to_pylist(), sweeps)
+            mean = np.zeros(len(own.c))
+            for number in range(1, sweeps + 1):
                 if number > burn_in:
-                    mean += own.leaves(shared.value[number])
-            logs = np.log10(mean / (len(shared.value) - 1 - burn_in)).astype(np.float32)
-            units = batch.column(4).to_pylist()
-            word = np.repeat(np.arange(len(units)), [len(u) // 8 for u in units])
-            unit = np.frombuffer(b"".join(units), np.int64)
-            which = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int32)
-            number = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int32)
-            starts = np.concatenate([[0], np.cumsum(np.bincount(own.word, minlength=len(units)))[:-1]])
-            order = np.lexsort((number, unit))
-            unit, number, word = unit[order], number[order], word[order]
-            pair = (starts[word] + which[order])
-            cuts = [0, *(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
-            out = [[], [], [], []]
-            for a, b in zip(cuts, cuts[1:]):
-                out[0].append(int(unit[a]))
-                out[1].append(squeeze(np.diff(number[a:b], prepend=np.int32(0)).tobytes()))
-                out[2].append(squeeze(counts[word[a:b]].tobytes()))
-                out[3].append(squeeze(logs[pair[a:b]].tobytes()))
-            yield as_batch(dict(zip(schema.names, out)), schema)
-
-    return words.select("key", "c", "contexts", "counts", "units", "which", "numbers").mapInArrow(task, ddl)
+                    mean += own.leaves(number, held, own.seat(number, held))
+            logs = np.log10(mean / (sweeps - burn_in)).astype(np.float32)
+            counts = held[-1][0][own.word]
+            which, numbers = unpacked(row["which"], np.int32), unpacked(row["numbers"], np.int32)
+            at = 0
+            for unit, n in zip(unpacked(row["units"], np.int64).tolist(), unpacked(row["sizes"], np.int64).tolist()):
+                pairs = which[at:at + n]
+                found.append(as_batch(dict(zip(schema.names, [
+                    [unit], [packed(numbers[at:at + n])], [packed(counts[pairs])], [packed(logs[pairs])]
+                ])), schema))
+                at += n
+        return pa.Table.from_batches(found, schema)
+
+    return parts.groupBy("part").cogroup(totals.where("part >= 0").groupBy("part")).applyInArrow(both, ddl)
 
 
 def score(
@@ -384,18 +459,27 @@ def score(
     Documents whose crc32(id) has the remainder `held` by `folds` are not learned from.
     """
     spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = staged(spark, _summed(_lists(docs, id_col, text_col, folds, held, buckets)), "lm-words")
-    known = words.where(F.col("c") > 0).agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, types = known["n"] or 0, known["v"]
-    model = {"words": types + 1, "d0": 0.5, "d1": 0.5, "d2": 0.5}
-    history: list = []
+    chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = max(8, -(-chars // PART_CHARS))
+    with released(spark):
+        parts = staged(spark, _parts(_lists(docs, id_col, text_col, folds, held, buckets), buckets), "lm-parts")
+    single = parts.agg(F.sum("once"), F.sum("twice")).first()
+    model = {"words": 1, "d0": 0.5, "d1": discount_of(single[0] or 0, single[1] or 0), "history": []}
+    total = types = 0
+    held_totals = None
     for number in range(sweeps + 1):
-        totals, found = _totals(words, model, history)
-        if not number:
-            model |= found
-        history.append(totals)
-    back = _returned(words, model, history, burn_in)
+        with released(spark):
+            new = staged(spark, _owned(_sent(parts, held_totals, model, number), buckets, model, number, sweeps), "lm-totals")
+        sums = {r["sweep"]: r for r in new.where("part < 0").groupBy("sweep").agg(
+            *[F.sum(c).alias(c) for c in ("customers", "tables", "once", "twice")]
+        ).collect()}
+        if not number and sums:
+            total, types = sums[sweeps + 1]["customers"], sums[sweeps + 1]["tables"]
+            model |= {"words": types + 1, "d0": discount_of(sums[0]["once"], sums[0]["twice"])}
+        model = model | {"history": [*model["history"], (sums[number]["customers"], sums[number]["tables"]) if sums else (0, 0)]}
+        held_totals = new if held_totals is None else held_totals.union(new)
+    with released(spark):
+        back = staged(spark, _returned(parts, held_totals, model, sweeps, burn_in), "lm-back")
     documents = _documents(docs, id_col, text_col, folds, held)
     kind = documents.schema["doc_id"].dataType.simpleString()
     ddl = (f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

@@ -220,3 +220,63 @@ def test_predictive_probabilities_sum_to_one():
         assert own.root(before).sum() == pytest.approx(1)
         unseen = own.leaves(before)[own.context == 65]
         assert unseen.sum() == pytest.approx(1)
+
+
+def plain_scores(rows, held, sweeps, burn_in):
+    """The model over whole words as contexts by dictionaries, each sweep over all pairs."""
+    tokens = [(i, [w.encode() for w in [*words(lower(t)), ""]]) for i, t in rows]
+    pairs, learned = Counter(), Counter()
+    for i, ws in tokens:
+        for pair in zip([b"", *ws], ws):
+            pairs[pair] += not held[i]
+            learned[pair[1]] += not held[i]
+    listed, vocabulary = sorted(pairs), sorted(learned)
+    c = np.array([pairs[p] for p in listed])
+    hashes = {w: np.uint64(hpylm.word_hash(w)) for w in vocabulary}
+    of_context = np.array([vocabulary.index(u) for u, _ in listed])
+    of_word = np.array([vocabulary.index(w) for _, w in listed])
+    key0 = np.array([hashes[w] for w in vocabulary])
+    key1 = hpylm.pair_hash(key0[of_context] | np.uint64(1), key0[of_word])
+    size, n = 1 + sum(x > 0 for x in learned.values()), len(vocabulary)
+
+    def totals(t1):
+        return np.bincount(of_context, t1, n), np.bincount(of_word, t1, n).astype(int)
+
+    t1 = np.minimum(c, 1)
+    tables, c0 = totals(t1)
+    t0 = np.minimum(c0, 1)
+    customers = np.bincount(of_context, c, n)
+    d1 = hpylm.discount_of(sum(c == 1), sum(c == 2))
+    d0 = hpylm.discount_of(sum(c0 == 1), sum(c0 == 2))
+    mean = np.zeros(len(listed))
+    for number in range(1, sweeps + 1):
+        root = (c0 - d0 * t0 + (1 + d0 * t0.sum()) / size) / (1 + c0.sum())
+        weight = (1 + d0 * t0.sum()) / size
+        t1 = hpylm.seated(c, (1 + d1 * tables[of_context]) * root[of_word], d1, key1, number * 3)
+        tables, c0 = totals(t1)
+        t0 = hpylm.seated(c0, np.full(n, weight), d0, key0, number * 3 + 2)
+        root = (c0 - d0 * t0 + (1 + d0 * t0.sum()) / size) / (1 + c0.sum())
+        unknown = (1 + d0 * t0.sum()) / size / (1 + c0.sum())
+        assert root[[learned[w] > 0 for w in vocabulary]].sum() + unknown == pytest.approx(1)
+        if number > burn_in:
+            mean += (c - d1 * t1 + (1 + d1 * tables[of_context]) * root[of_word]) / (1 + customers[of_context])
+    logs = dict(zip(listed, np.log10(mean / (sweeps - burn_in))))
+    return sorted((str(i), sum(logs[p] for p in zip([b"", *ws], ws))) for i, ws in tokens)
+
+
+def test_scores_are_those_of_contexts_of_whole_words(spark, monkeypatch):
+    """However the pairs are dealt out; words with one ending do not share a restaurant."""
+    rows = texts() + [(400 + i, "the band plays") for i in range(0, 90, 2)] + [(401 + i, "the hand waves") for i in range(0, 90, 2)]
+    rows += [(600 + i, t) for i in range(14) for t in ("the band plays", "the band waves")]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
+    want = plain_scores(rows, held, hpylm.SWEEPS, hpylm.BURN_IN)
+    for chars, tokens in ((16_000_000, 2000), (2000, 1 << 22)):
+        monkeypatch.setattr(hpylm, "PART_CHARS", chars)
+        monkeypatch.setattr(hpylm, "UNIT_TOKENS", tokens)
+        got = hpylm.score(frame(spark, rows)).collect()
+        found = sorted((str(r.doc_id), r.score) for r in got)
+        assert [i for i, _ in found] == [i for i, _ in want]
+        assert [x for _, x in found] == pytest.approx([x for _, x in want], rel=1e-5)
+    doc = next(i for i in range(600, 614) if held[i])
+    waves, plays = (x for i, x in found if i == str(doc))
+    assert plays > waves + 0.5

@@ -25,6 +25,9 @@ WINDOW = 5
 #: The sample on which the rules' cost and selectivity are estimated: the first rows whose texts
 #: are not longer than this. It decides the order of the rules and nothing else.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
+#: Words among which repetition is judged. The share of distinct words falls as a text grows, so a
+#: longer one is judged by the mean over its consecutive blocks of so many words.
+BLOCK_WORDS = 1000
 
 
 def words_of(text: Column) -> Column:
@@ -89,6 +92,10 @@ def rules() -> list[Rule]:
     n, chars = F.col("n_words"), F.col("word_chars")
     text = F.coalesce(F.col("text"), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    distinct = F.when(n <= BLOCK_WORDS, F.size(F.array_distinct("words"))).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(BLOCK_WORDS)), F.lit(0),
+        lambda acc, at: acc + F.size(F.array_distinct(F.slice("words", at + 1, BLOCK_WORDS))),
+    ))
     return [
         Rule("symbols", F.col("n_symbols") * 10 > n * 3),
         Rule("short_words", chars < 2 * n),
@@ -96,7 +103,7 @@ def rules() -> list[Rule]:
         Rule("same_lines", (F.size("lines") >= 3) & (F.col("n_dup_lines") * 2 > F.size("lines"))),
         Rule("few_letters", letters * 2 < chars),
         Rule("shouting", F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) * 2 > letters),
-        Rule("one_word_repeated", F.size(F.array_distinct("words")) * 5 < n - 20),
+        Rule("one_word_repeated", distinct * 5 < n - 20),
         Rule("bullets", (F.size("lines") >= 3) & (
             F.size(F.filter("lines", lambda x: F.trim(x).rlike(r"^[-*•●]"))) * 10 > F.size("lines") * 9)),
         Rule("cut_lines", (F.size("lines") >= 3) & (

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -140,6 +141,18 @@ def test_clean_documents_keep_their_columns(spark):
     assert multiset(kept.select("doc_id")) == multiset(judged)
 
 
+def test_a_long_clean_text_is_not_taken_for_one_word_repeated(spark):
+    r = random.Random(5)
+    clean = [f"{r.choice('bcdfg')}ord{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(2000)]
+    few = clean[:150]
+    rows = [(n, " ".join(r.choice(clean) for _ in range(n))) for n in (900, 30_001)]
+    rows += [(n + 1, " ".join(r.choice(few) for _ in range(n))) for n in (900, 30_001)]
+    got = {i.doc_id: i for i in quality.judge(frame(spark, rows)).collect()}
+    assert got[900].kept and got[30_001].kept
+    assert got[901].rejected_by == got[30_002].rejected_by == "one_word_repeated"
+    assert [i.doc_id for i in quality.keep_clean(frame(spark, rows)).orderBy("doc_id").collect()] == [900, 30_001]
+
+
 def phrase_places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     at, labels = [], set()

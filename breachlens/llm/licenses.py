@@ -42,18 +42,22 @@ class Rule:
     priority: int
 
 
-#: Label, keyword, and how the license is named (patterns over normalised words).
+#: Label, keyword, and how the license is named (patterns over normalised words). Whatever a pattern
+#: matches must hold its keyword, so names without a common one have a row each.
 NAMES = [
-    ("mit", "mit", "(?:mit|expat)"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
     ("x11", "x11", "x11"),
     ("isc", "isc", "isc"),
-    ("0bsd", "0bsd", "0bsd|zero clause bsd"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "zero clause bsd", "zero clause bsd"),
     ("bsd-2", "bsd", "bsd 2 clause|2 clause bsd|simplified bsd|two clause bsd"),
     ("bsd-3", "bsd", "bsd 3 clause|3 clause bsd|new bsd|revised bsd|three clause bsd|modified bsd"),
     ("bsd-4", "bsd", "bsd 4 clause|4 clause bsd|original bsd|four clause bsd"),
     ("bsd", "bsd", "bsd(?: style)?"),
     ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?|asl 2(?: 0)?"),
+    ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-2", "asl 2", "asl 2(?: 0)?"),
     ("gpl-1", "gpl", "gpl ?v?1(?: 0)?"),
     ("gpl-2", "gpl", "gpl ?v?2(?: 0)?(?: only| or later)?"),
     ("gpl-3", "gpl", "gpl ?v?3(?: 0)?(?: only| or later)?"),

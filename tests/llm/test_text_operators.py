@@ -191,6 +191,48 @@ def test_there_are_hundreds_of_rules_and_each_can_match():
         re.compile(rule.pattern)
 
 
+def examples(pattern):
+    """Every text that a pattern matches, lookaheads left aside."""
+    from re import _parser as parser
+
+    def of(parsed):
+        out = [""]
+        for kind, value in parsed:
+            kind = str(kind)
+            if kind == "LITERAL":
+                more = [chr(value)]
+            elif kind == "IN":
+                more = [chr(c) for k, v in value for c in (range(v[0], v[1] + 1) if str(k) == "RANGE" else [v])]
+            elif kind == "SUBPATTERN":
+                more = of(value[3])
+            elif kind == "BRANCH":
+                more = [x for branch in value[1] for x in of(branch)]
+            elif kind == "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                more = ["", *of(value[2])]
+            else:
+                assert kind == "ASSERT_NOT", kind
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_whatever_a_rule_matches_passes_its_gate():
+    for rule in licenses.rules():
+        found = examples(rule.pattern)
+        assert found and all(f" {rule.keyword}" in f" {x} " for x in found), rule
+
+
+def test_licenses_by_their_other_names(spark):
+    rows = [(1, "released under the Expat license"), (2, "licensed under ASL 2.0"), (3, "zero-clause BSD license"),
+            (4, "the 0BSD license"), (5, "MIT license"), (6, "2-clause BSD license")]
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan(frame(spark, rows)).collect()}
+    assert "mit" in found[1] and "apache-2" in found[2]
+    assert found[3] == found[4] == ["0bsd"] and found[5] == ["mit"] and found[6] == ["bsd-2"]
+
+
 def test_scores_learn_from_training_documents_alone(spark, monkeypatch):
     monkeypatch.setattr(hpylm, "UNIT_TOKENS", 2000)
     rows = texts()

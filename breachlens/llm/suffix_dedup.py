@@ -12,6 +12,11 @@ in one document or several, is removed. Passages are judged on the input.
    the hashes of the windows instead, so that no task holds an unbounded group.
 4. Marked windows go back to every occurrence of their stretch, and to the documents.
 
+Passages of `words` words are found the same way, if asked for instead: each word is put as the 8 bytes
+of its hash, and the passages searched for are then 8 * words bytes long. White space between
+words does not count. A window that begins within a word's hash adds no passage: it holds words - 1
+whole words, and of the two at its ends 8 bytes together, which only agree if one of them does.
+
 Stretches are held for equal by 64-bit hashes of their bytes beside the 64-bit hash of their
 anchor.
 
@@ -23,6 +28,7 @@ documents of their own; columns besides the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.llm.anchors import anchored
-from breachlens.llm.common import arrow_schema, as_batch, bloom_joins, map_batches, staged
+from breachlens.llm.common import Memo, arrow_schema, as_batch, bloom_joins, map_batches, staged
 from breachlens.llm.suffixes import repeated_starts
 
 #: So many different stretches of an anchor are sorted in one task at most.
@@ -45,6 +51,23 @@ def content_hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def lettering():
+    """A function that puts each word of a text as the 8 bytes of its hash."""
+    hashes = Memo(content_hash)
+
+    def letters(text: bytes) -> bytes:
+        words = text.split()
+        return np.fromiter(map(hashes.__getitem__, words), dtype="<i8", count=len(words)).tobytes()
+
+    return letters
+
+
+def of_words(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bytes of the words whose 8 bytes the runs cover whole."""
+    places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)] if runs else []
+    return [(places[-(-a // 8)][0], places[b // 8 - 1][1]) for a, b in runs]
+
+
 def stretches(texts: list[bytes], length: int) -> list[np.ndarray]:
     """The stretches of each text. A text longer than SEGMENT is looked at in segments that
     overlap by length - 1 bytes, so that each window lies in just one."""
@@ -90,7 +113,7 @@ def stretches(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.empty(0, dtype=STRETCH) for f in found]
 
 
-def _read_documents(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+def _read_documents(docs: DataFrame, id_col: str, text_col: str, length: int, by_words: bool) -> DataFrame:
     """(rid, doc_id, n_bytes, full_sha, text, stretches) of each document."""
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"rid bigint, doc_id {kind}, n_bytes bigint, full_sha string, text binary, stretches binary"
@@ -99,7 +122,7 @@ def _read_documents(docs: DataFrame, id_col: str, text_col: str, length: int) ->
     def make():
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=6)
+        squeeze, letters = zstandard.ZstdCompressor(level=6), lettering()
         base, row = TaskContext.get().partitionId() << 33, 0
 
         def step(batch):
@@ -117,7 +140,7 @@ def _read_documents(docs: DataFrame, id_col: str, text_col: str, length: int) ->
                     "doc_id": batch.column(0).slice(start, stop - start), "n_bytes": [len(r) for r in raw],
                     "full_sha": [hashlib.sha256(r).hexdigest() for r in raw],
                     "text": [None if t is None else squeeze.compress(r) for t, r in zip(texts[start:stop], raw)],
-                    "stretches": [s.tobytes() for s in stretches(raw, length)],
+                    "stretches": [s.tobytes() for s in stretches([letters(r) for r in raw] if by_words else raw, length)],
                 }, schema)
                 row += len(raw)
                 start = stop
@@ -145,7 +168,7 @@ def _occurrences(read: DataFrame) -> DataFrame:
     return map_batches(read.select("rid", "stretches"), make, ddl)
 
 
-def _pieces(kinds: DataFrame, read: DataFrame, length: int) -> DataFrame:
+def _pieces(kinds: DataFrame, read: DataFrame, length: int, by_words: bool) -> DataFrame:
     """(anchor, part, content, first, windows, known, piece): the bytes of one stretch of each
     kind; of crowded anchors a row per window, whose part is the window's hash. Of the known
     ones, which occur twice, all windows are repeated; they are there for the others' sake."""
@@ -161,11 +184,12 @@ def _pieces(kinds: DataFrame, read: DataFrame, length: int) -> DataFrame:
     def make():
         import zstandard
 
-        expand = zstandard.ZstdDecompressor()
+        expand, letters = zstandard.ZstdDecompressor(), lettering()
 
         def step(batch):
             for blob, wanted in zip(batch.column(0), batch.column(1)):
                 text = expand.decompress(blob.as_py())
+                text = letters(text) if by_words else text
                 rows = []
                 for w in wanted.as_py():
                     a, n = w["start"], w["windows"]
@@ -233,11 +257,11 @@ def _repeats(pieces: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(task, ddl)
 
 
-def _covered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+def _covered(docs: DataFrame, id_col: str, text_col: str, length: int, by_words: bool = False) -> DataFrame:
     """(rid, doc_id, n_bytes, full_sha, text, marks): the staged documents with the byte ranges
     to remove as (start, [(first, stop), ...]) of each stretch; null if there are none."""
     spark = docs.sparkSession
-    read = staged(spark, _read_documents(docs, id_col, text_col, length), "suffix-docs")
+    read = staged(spark, _read_documents(docs, id_col, text_col, length, by_words), "suffix-docs")
     occurrences = _occurrences(read)
     once = occurrences.groupBy("anchor", "content").agg(
         F.count("*").alias("c"), F.min(F.struct("rid", "start", "windows")).alias("one"),
@@ -246,7 +270,7 @@ def _covered(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFr
     kinds = staged(spark, once.withColumn("different", F.count("*").over(of_anchor)).where(
         (F.col("c") > 1) | (F.col("different") > 1)
     ).select("anchor", "content", "c", "different", "one.*"), "suffix-kinds")
-    repeats = _repeats(_pieces(kinds, read, length), length)
+    repeats = _repeats(_pieces(kinds, read, length, by_words), length)
     whole = kinds.where(F.col("c") > 1).select(
         "anchor", "content", F.lit(0).alias("first"), (F.col("windows") - 1 + length).alias("stop"),
     )
@@ -318,12 +342,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.withColumnRenamed("doc_id", id_col)
 
 
-def cleaned(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
-    """The documents without their repeated passages, with the columns they came with. Bytes of
-    a character that is cut go with it; documents of which nothing is left go."""
+def cleaned(docs: DataFrame, text_col: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
+    """The documents without their repeated passages of `length` bytes or, if given, of `words`
+    words, with the columns they came with. Bytes of a character that is cut go with it; documents
+    of which nothing, or white space around repeated words, is left go."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("rest"), F.col(f"`{text_col}`").alias("text"))
-    covered = _covered(packed, "rest", "text", length)
+    covered = _covered(packed, "rest", "text", 8 * words if words else length, bool(words))
     kind = covered.schema["doc_id"].dataType.simpleString()
 
     def make():
@@ -335,9 +360,10 @@ def cleaned(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataF
             texts, keep = [], []
             for i, (blob, marks) in enumerate(zip(batch.column(1), batch.column(2))):
                 blob = blob.as_py()
+                text = b"" if blob is None else expand.decompress(blob)
                 runs = merged(marks.as_py() or [])
-                kept = b"" if blob is None else without(expand.decompress(blob), runs)
-                if kept or not runs:
+                kept = without(text, of_words(text, runs) if words else runs)
+                if (kept.strip() if words else kept) or not runs:
                     keep.append(i)
                     texts.append(None if blob is None else kept.decode("utf-8", "ignore"))
             rest = batch.column(0).take(pa.array(keep, pa.int64()))

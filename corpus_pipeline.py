@@ -29,6 +29,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffix_dedup.cleaned(docs, length=400)
 
 
+def repeated_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the rest, passages of over 50 words that occur twice go, however few bytes they have."""
+    return suffix_dedup.cleaned(docs, words=51)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rest, as pieces of sequences of 2048 tokens."""
     return registry.packed_digests(packing.pack(docs))
@@ -38,6 +43,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard_join", near_duplicates),
     ("suffix_array_dedup", repeated_passages),
+    ("repeated_words", repeated_words),
     ("packing", pack),
 ]
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -201,6 +202,52 @@ def test_repeated_passages(spark, monkeypatch, group, segment):
         assert multiset(kept.select("doc_id", "text")) == plain
 
 
+def without_repeated_words(rows, width):
+    """Each text without the words of any run of `width` words that occurs twice."""
+    split = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for _, t in rows]
+    count = Counter(tuple(m[0] for m in ms[i:i + width]) for ms in split for i in range(len(ms) - width + 1))
+    out = []
+    for (_, t), ms in zip(rows, split):
+        gone = {i + k for i in range(len(ms) - width + 1) if count[tuple(m[0] for m in ms[i:i + width])] > 1 for k in range(width)}
+        cuts = [(ms[i].start(), ms[i].end() if i + 1 not in gone else ms[i + 1].start()) for i in sorted(gone)]
+        kept = "".join(c for i, c in enumerate(t or "") if not any(a <= i < b for a, b in cuts))
+        out.append((kept, bool(gone)))
+    return out
+
+
+@pytest.mark.parametrize("group, segment", [(3000, 8_000_000), (2, 700)])
+def test_passages_of_over_fifty_words_go(spark, monkeypatch, group, segment):
+    """Shorter than 400 bytes or not; two short repeats side by side are no long one."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    r = random.Random(8)
+
+    def some(n):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(r.choice([2, 3, 4, 5]))) for _ in range(n))
+
+    short, long, left, right = some(51), some(50), some(30), some(30)
+    many = [short.replace(" ", "\n", k) for k in range(4)]  # white space does not count
+    rows = [(i, f"{some(60)} {p} {some(40)}") for i, p in enumerate(many)]
+    rows += [(10 + i, f"{some(60)} {long} {some(40)}") for i in range(2)]
+    rows += [(20, f"{some(9)} {left} {right} {some(9)}"), (21, f"{left} {some(9)}"), (22, f"{right} {some(9)}")]
+    rows += [(30, "é " * 70 + some(20)), (31, some(70) + " " + many[1] + " " + some(5) + " " + many[2]), (32, short), (33, None), (34, "")]
+    got = suffix_dedup.cleaned(frame(spark, rows), words=51)
+    want = [(i, t if not gone else kept) for (i, t), (kept, gone) in zip(rows, without_repeated_words(rows, 51)) if kept.strip() or not gone]
+    assert len(short.encode()) < 400 and short not in dict(want)[0] and long in dict(want)[10] and 32 not in dict(want)
+    assert multiset(got.select("doc_id", "text")) == Counter(want)
+
+
+def test_the_pipeline_removes_passages_of_over_fifty_words(spark):
+    r = random.Random(9)
+    passage = " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(55))
+    rows = [(i, f"{prose(r, 90)} {passage} {prose(r, 90)}") for i in range(3)]
+    assert len(passage) < 400
+    docs = frame(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[2:-1]:
+        docs = stage(spark, docs, "")
+    assert docs.count() == 3 and not any(passage in d.text for d in docs.collect())
+
+
 # Operator 10
 
 

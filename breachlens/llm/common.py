@@ -132,3 +132,10 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the folder of a frame that `staged` returned and that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, hpylm, jaccard, licenses, packing, quality, suffix_dedup, urls, vafile, wordpiece
+from breachlens.llm import bpe, clustering, hpylm, jaccard, licenses, packing, quality, suffix_dedup, urls, vafile, wordpiece
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,48 @@ SELECT s.doc_id, len(s) AS n_shingles, min(c) AS component_id FROM s JOIN reach
 """
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, dims=64, seed="2")
+
+
+def _op13_sql(k: int = 40, rounds: int = 5, scale: int = 256, dims: int = 64, seed: str = "2") -> str:
+    """Every round is an assignment to the nearest centroid, by all distances, and the floors of means."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS c, e
+  FROM v ORDER BY c LIMIT {k}
+)"""]
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (
+  SELECT i, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.i, m.c, list_sum(list_transform(list_zip(v.e, m.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        FROM v, c{t} AS m) GROUP BY i
+)""")
+        if t < rounds:
+            steps.append(f"""s{t} AS (
+  SELECT a.c, j, sum(v.e[j]) AS s, count(*) AS n
+  FROM a{t} AS a JOIN v ON v.i = a.i, (SELECT unnest(range(1, {dims + 1})) AS j) GROUP BY a.c, j
+), m{t} AS (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS e FROM s{t} GROUP BY c
+), c{t + 1} AS MATERIALIZED (
+  SELECT c{t}.c, coalesce(m{t}.e, c{t}.e) AS e FROM c{t} LEFT JOIN m{t} ON m{t}.c = c{t}.c
+)""")
+    return f"""WITH {", ".join(steps)}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.e, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN v ON v.i = a.i JOIN c{rounds} AS m ON m.c = a.c
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 OPERATORS: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -160,6 +202,7 @@ OPERATORS: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 
@@ -168,7 +211,8 @@ def queries(pipeline) -> dict[str, Query]:
 
 
 def oracle_sql(pipeline) -> dict[str, str]:
-    known = {"op3_exact_top_k": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}
+    known = {"op3_exact_top_k": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_ngram_jaccard": OP10_SQL,
+             "op13_centroid_clustering": OP13_SQL}
     if pipeline.ORACLE_SQL is not None:
         known["pipeline"] = pipeline.ORACLE_SQL
     return known

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, clustering, hpylm, jaccard, licenses, packing, quality, suffix_dedup, urls, vafile, wordpiece
+from breachlens.llm import bpe, clustering, hpylm, jaccard, licenses, packing, quality, spelling, suffix_dedup, urls, vafile, wordpiece
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,55 @@ SELECT s.doc_id, len(s) AS n_shingles, min(c) AS component_id FROM s JOIN reach
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), least_length=6, least_n=5, times=5)
+
+
+# A crc32 by its definition, a table of 256 steps of eight bits; near words by what is left of them
+# without one code point.
+OP12_SQL = rf"""
+WITH RECURSIVE steps AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), b) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LETTERS}), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY ALL
+), points AS (
+  SELECT *, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: unicode(x)) AS p
+  FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+           flatten(list_transform(p, lambda x: CASE WHEN x < 128 THEN [x] ELSE [192 + (x >> 6), 128 + (x & 63)] END)),
+           lambda c, b: xor(c >> 8, steps.t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h
+  FROM points, steps
+), w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed
+), v AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), cut AS MATERIALIZED (
+  SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    AND length(a.word) = length(b.word)
+  UNION SELECT a.word, v.word, v.n FROM cut a JOIN v ON a.rest = v.word
+  UNION SELECT v.word, a.word, a.n FROM cut a JOIN v ON a.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-n, encode(other))) AS other, max(n) AS n FROM near GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 5 * v.n THEN b.other END AS form,
+         CASE WHEN b.n >= 5 * v.n THEN b.n END AS form_n
+  FROM v LEFT JOIN best b ON b.word = v.word
+), leads AS (
+  SELECT word, word AS goal, 0 AS step FROM formed
+  UNION ALL SELECT l.word, f.form, step + 1 FROM leads l JOIN formed f ON f.word = l.goal WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(goal, step) AS root FROM leads GROUP BY word) l ON l.word = f.word
+"""
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, scale=256, dims=64, seed="2")
 
@@ -202,6 +251,7 @@ OPERATORS: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
@@ -212,7 +262,7 @@ def queries(pipeline) -> dict[str, Query]:
 
 def oracle_sql(pipeline) -> dict[str, str]:
     known = {"op3_exact_top_k": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_ngram_jaccard": OP10_SQL,
-             "op13_centroid_clustering": OP13_SQL}
+             "op12_spelling_variants": OP12_SQL, "op13_centroid_clustering": OP13_SQL}
     if pipeline.ORACLE_SQL is not None:
         known["pipeline"] = pipeline.ORACLE_SQL
     return known

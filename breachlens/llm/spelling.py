@@ -10,7 +10,7 @@ part of the vocabulary has its own small acceptor and is composed in one task.
 
 A part with more than PART words, or with more than MIDDLE code points still to compare, is dealt
 out again in the same way by the middle of what is left, as often as it takes: a part with one
-code point left holds no more words than two of them can spell. Parts of one word are dropped.
+code point left holds no more words than two of them can spell. A word alone in its part ends there.
 
 What a task returns is counted per word and part, so that no pair of words is ever written.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from itertools import chain
 from zlib import crc32
 
@@ -117,17 +118,15 @@ def parts_of(words: DataFrame) -> DataFrame:
         "word", "n", "short", F.lit(0).alias("head"), F.lit(0).alias("tail"),
         F.lit("").alias("head_text"), F.lit("").alias("tail_text"), F.lit(0).alias("unlike"),
     ))
-    done = None
+    done, left = [], F.col("short") - F.col("head") - F.col("tail")
     while True:
         sizes = parts.groupBy(*_KEY).agg(F.count("*").alias("size")).where("size > 1")
-        left = F.col("short") - F.col("head") - F.col("tail")
-        again = (left > 1) & ((F.col("size") > PART) | (left > MIDDLE))
-        sized = staged(spark, parts.join(sizes, list(_KEY)).withColumn("again", again), "spelling-parts")
-        fit = sized.where("not again").drop("size", "again")
-        done = fit if done is None else done.unionByName(fit)
-        if sized.where("again").isEmpty():
-            return done
-        parts = _halved(sized.where("again").drop("size", "again"))
+        again = sizes.where((left > 1) & ((F.col("size") > PART) | (left > MIDDLE))).select(*_KEY)
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, parts])
+        again = staged(spark, again, "spelling-keys")
+        done.append(parts.join(again, list(_KEY), "left_anti"))
+        parts = _halved(staged(spark, parts.join(again, list(_KEY), "left_semi"), "spelling-parts"))
 
 
 def _compared(parts: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breachlens.llm import bpe, clustering, hpylm, jaccard, licenses, packing, quality, spelling, suffix_dedup, urls, vafile, wordpiece
+from breachlens.llm import (
+    bpe, clustering, hpylm, jaccard, licenses, packing, quality, spelling, suffix_dedup, toxicity, urls, vafile, wordpiece,
+)
 from breachlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +151,10 @@ SELECT s.doc_id, len(s) AS n_shingles, min(c) AS component_id FROM s JOIN reach
 """
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"), least_length=6, least_n=5, times=5)
 
@@ -251,6 +257,7 @@ OPERATORS: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_centroid_clustering": op13_centroid_clustering,
 }

@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the
 last return the columns of documents. Between stages the rows are written to the shared folder
 and read again, so that each stage starts from data that no lost executor can take away.
+
+Defined cases: null and empty texts, and all others below ten words, are rejected by the first
+stage; of repeated rows, as of other copies, one stays; very long texts are handled whole; an empty
+table gives no rows; further columns, of whatever names, are handed on up to packing, which returns
+its own.
 """
 
 from __future__ import annotations
@@ -25,12 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes that occur twice go; documents that were nothing else go too."""
-    return suffix_dedup.cleaned(docs, length=400)
-
-
-def repeated_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the rest, passages of over 50 words that occur twice go, however few bytes they have."""
+    """Passages of over 50 words that occur twice go, in all their places and however few bytes they
+    have; documents that were nothing else go too. Repeats of 400 bytes and more are among
+    them unless their words are long: 50 words or fewer stay, whatever their bytes."""
     return suffix_dedup.cleaned(docs, words=51)
 
 
@@ -43,7 +45,6 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard_join", near_duplicates),
     ("suffix_array_dedup", repeated_passages),
-    ("repeated_words", repeated_words),
     ("packing", pack),
 ]
 

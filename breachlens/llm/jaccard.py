@@ -34,7 +34,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachlens.llm.common import (
@@ -50,6 +50,10 @@ BLOCK = 20_000
 SKETCH, LARGEST_SKETCH = 512, 1 << 20
 #: Lists up to this length are looked through for rows without a possible partner.
 SHORT = 256
+#: Rounds in which groups are held against hubs of their lists before all that are still apart are
+#: compared, hubs of a list in each, and rows of a list for which that is worth while. They spare
+#: work and change no result.
+ROUNDS, HUBS, LONG = 4, 6, 64
 #: Pairs that are looked at together.
 PAIRS = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -349,6 +353,27 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return map_batches(met, make, ddl)
 
 
+def _hub_pairs(lists: DataFrame, labels: DataFrame, percent: int, round_: int) -> DataFrame:
+    """(a, b): each group beside up to HUBS others of another component, those that share most of
+    its lists among the hubs of these lists. A list's hubs are drawn by hashes, other ones in
+    each round, so that they are the same in lists that hold the same groups."""
+    known = lists.select("token", "rid", "n", "pos").hint("merge").join(
+        labels.select(F.col("node").alias("rid"), "label"), "rid", "left"
+    ).withColumn("label", F.coalesce("label", "rid"))
+    drawn = known.groupBy("token").agg(F.array(*[
+        F.min(F.struct(F.xxhash64(F.lit(HUBS * round_ + k), "rid").alias("h"), "rid", "n", "pos", "label")) for k in range(HUBS)
+    ]).alias("hubs")).select("token", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("h")))).alias("hub"))
+    n1, p1, n2, p2 = (F.col(c).cast("bigint") for c in ("n", "pos", "hub.n", "hub.pos"))
+    least = F.ceil(percent * (n1 + n2) / F.lit(100.0 + percent) - 1e-9)
+    can = (F.least(p1, p2) + F.least(n1 - p1, n2 - p2) >= least) & (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2))
+    met = known.hint("merge").join(drawn, "token").where((F.col("label") != F.col("hub.label")) & can)
+    shared = met.groupBy(F.col("rid").alias("a"), F.col("hub.rid").alias("b")).agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")  # a group is in few lists, and a list has HUBS hubs
+    return shared.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HUBS).select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    ).distinct()
+
+
 def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b): possible pairs of a list whose groups lie in different components.
 
@@ -509,6 +534,15 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     close_pairs = staged(spark, _sketched(starred, sketches, percent), "jaccard-pairs")
     links = _verified(close_pairs, rows, words, percent)
     labels = components(links, "jaccard-labels")
+    crowded = lists.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= LONG).select("token")
+    long_lists = staged(spark, lists.select("token", "rid", "n", "pos").join(crowded, "token", "left_semi"), "jaccard-long")
+    for round_ in range(0 if long_lists.isEmpty() else ROUNDS):
+        pairs = _hub_pairs(long_lists, labels, percent, round_)
+        more = _verified(staged(spark, _sketched(pairs, sketches, percent), "jaccard-pairs"), rows, words, percent)
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links, "jaccard-labels")
     close_pairs = _sketched(_across(lists, labels, sketches, percent), sketches, percent)
     more = _verified(staged(spark, close_pairs, "jaccard-pairs"), rows, words, percent)
     if more.limit(1).count():

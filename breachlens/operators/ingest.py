@@ -44,11 +44,23 @@ def newest_listed(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def newest_payloads(payload: DataFrame, *request: str) -> DataFrame:
-    """Of several answers to one request the newest."""
+    """Of several answers to one request the newest; of equal times the largest text.
+
+    Requests and times are counted without the answers. Only answers to requests that
+    have several are shuffled and compared.
+    """
     if "landed_at" not in payload.columns:
         return payload
-    place = Window.partitionBy(*request).orderBy(F.desc("landed_at"))
-    return payload.withColumn("place", F.row_number().over(place)).filter("place = 1").drop("place", "landed_at")
+    # The check of the times alone keeps requests that have only one answer as they are.
+    asked = payload.groupBy(*request).agg(F.max("landed_at").alias("newest"), F.count("*").alias("answers"))
+    again = asked.filter("answers > 1").drop("answers")
+    others = [c for c in payload.columns if c not in (*request, "landed_at")]
+    once = payload.join(again.select(*request), list(request), "left_anti")
+    newest = payload.join(again, list(request)).filter(F.col("landed_at") == F.col("newest"))
+    place = Window.partitionBy(*request).orderBy(F.desc("text"))
+    newest = newest.withColumn("text", F.to_json(F.struct(*others))).withColumn("place", F.row_number().over(place))
+    columns = [*request, *others]
+    return once.select(*columns).union(newest.filter("place = 1").select(*columns))
 
 
 def severity_counts(vulnerabilities="vulnerabilities") -> Column:

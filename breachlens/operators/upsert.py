@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from breachlens.operators.sizing import FEW_ROWS, broadcast_if, checkpointed
+
 
 def _paired(stored: DataFrame, feed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Stored and fed versions side by side, as structs that are NULL where absent."""
@@ -49,8 +51,13 @@ def versioned_upsert(
     That stretch starts after the last row of any other version, so that three
     aggregations find it, each of which merges rows before its shuffle: no key's
     rows are ever gathered or sorted in one place.
+
+    They look at keys, versions and places only. The other columns are read for the rows that
+    take effect, at most one of each key: these are few beside the feed, and if they are not
+    too many they are broadcast to it, so that no text but theirs is ever shuffled.
     """
-    last_of_version = feed.groupBy(key, version).agg(F.max(order).alias("seen"))
+    narrow = feed.select(key, version, F.col(order).alias("at"))
+    last_of_version = narrow.groupBy(key, version).agg(F.max("at").alias("seen"))
     last = last_of_version.groupBy(key).agg(F.max("seen").alias("last_seen"))
     broken = (
         last_of_version.join(last, key)
@@ -58,18 +65,21 @@ def versioned_upsert(
         .groupBy(key)
         .agg(F.max("seen").alias("broken_at"))
     )
-    every = list(dict.fromkeys((version, *columns)))
     stretch = (
-        feed.join(broken, key, "left")
-        .filter(F.col("broken_at").isNull() | (F.col(order) > F.col("broken_at")))
+        narrow.join(broken, key, "left")
+        .filter(F.col("broken_at").isNull() | (F.col("at") > F.col("broken_at")))
         .groupBy(key)
-        .agg(
-            F.min_by(F.struct(*every), order).alias("new"),
-            F.max("broken_at").alias("broken_at"),
-        )
+        .agg(F.min(F.struct("at", version)).alias("first"), F.max("broken_at").alias("broken_at"))
     )
+    before = stored.select(key, F.col(version).alias("old_version"), F.lit(True).alias("known"))
+    unchanged = F.col("known") & F.col("broken_at").isNull() & F.col("old_version").eqNullSafe(F.col(f"first.{version}"))
+    winners = checkpointed(
+        stretch.join(before, key, "left").filter(~F.coalesce(unchanged, F.lit(False))).select(key, F.col("first.at").alias("at"))
+    )
+    every = list(dict.fromkeys((version, *columns)))
+    few = winners.count() <= FEW_ROWS
+    texts = feed.withColumn("at", F.col(order)).join(broadcast_if(winners, few), [key, "at"])
+    # One row for each key, unless a place occurs twice in it.
+    new = texts.groupBy(key).agg(F.any_value(F.struct(*every)).alias("new"))
     old = stored.select(key, F.struct(*every).alias("old"))
-    unchanged = F.col("broken_at").isNull() & F.col(f"old.{version}").eqNullSafe(F.col(f"new.{version}"))
-    keep_old = F.col("new").isNull() | (F.col("old").isNotNull() & unchanged)
-    row = F.when(keep_old, F.col("old")).otherwise(F.col("new"))
-    return old.join(stretch, key, "full_outer").select(key, row.alias("row")).select(key, "row.*")
+    return old.join(new, key, "full_outer").select(key, F.coalesce("new", "old").alias("row")).select(key, "row.*")

@@ -49,31 +49,40 @@ def load_pass(
 ) -> dict[str, DataFrame]:
     """Load every scan's newest completed run that is not stored yet.
 
-    The landing may hold several answers to one request; the newest counts. A run with a payload that is missing or incomplete is left out whole, and its
-    rejected requests are returned. The pass can be repeated under its `load_id`.
-    Passes are numbered upwards, one at a time.
+    The landing may hold several answers to one request; the newest counts. A run with a
+    payload that is missing or incomplete is left out whole, and its rejected requests are
+    returned. The pass can be repeated under its `load_id`. Passes are numbered upwards, one
+    at a time.
     """
-    store.accept(load_id)
     names = skip_folder_names or []
-    all_folders = ingest.newest_listed(ingest.folders(payloads.folders), "folder_id")
-    folders = ingest.skip_folders(all_folders, names)
-    all_scans = ingest.newest_listed(ingest.scans(payloads.scans), "scan_id")
-    scans = ingest.skip_scans(all_scans, all_folders, names)
-
+    folders = ingest.newest_listed(ingest.folders(payloads.folders), "folder_id")
+    scans = ingest.newest_listed(ingest.scans(payloads.scans), "scan_id")
     loaded = store.read_loads("scan_run", without=load_id)
     # Needed many times below, and it must not change while the pass writes.
     chosen = checkpointed(
-        choose_runs(ingest.history(payloads.history), loaded, scans).select("scan_id", "history_id")
+        choose_runs(ingest.history(payloads.history), loaded, ingest.skip_scans(scans, folders, names))
+        .select("scan_id", "history_id")
     )
+    answers = {kind: getattr(payloads, kind) for kind in ("run", "host", "finding")}
+    return load_runs(store, load_id, folders, scans, chosen, answers, names)
+
+
+def load_runs(
+    store: Store, load_id: int, all_folders: DataFrame, all_scans: DataFrame, chosen: DataFrame,
+    answers: dict[str, DataFrame], skip_folder_names: list[str],
+) -> dict[str, DataFrame]:
+    """Load the chosen runs (scan_id, history_id) whose answers are complete, with what is now
+    listed, as one load. `chosen` must be a written table."""
+    load = store.begin(load_id)
+    folders = ingest.skip_folders(all_folders, skip_folder_names)
+    scans = ingest.skip_scans(all_scans, all_folders, skip_folder_names)
 
     def of_chosen(payload: DataFrame, runs: DataFrame) -> DataFrame:
         return payload.join(runs, ["scan_id", "history_id"], "left_semi")
 
     staged = {
-        kind: store.stage(
-            kind, ingest.newest_payloads(of_chosen(getattr(payloads, kind), chosen), *REQUEST_IDS[kind])
-        )
-        for kind in ("run", "host", "finding")
+        kind: store.stage(kind, ingest.newest_payloads(of_chosen(payload, chosen), *REQUEST_IDS[kind]))
+        for kind, payload in answers.items()
     }
     answered = staged["run"].select("scan_id", "history_id")
     order = arrival_order(all_scans, staged["run"], staged["host"])
@@ -92,27 +101,21 @@ def load_pass(
     )
     run, host, finding = (of_chosen(p, accepted) for p in (run, host, finding))
 
-    old_folders = store.read_version("folder", before=load_id)
-    old_scans = store.read_version("scan", before=load_id)
-    store.write_version("folder", upsert(old_folders, folders, "folder_id", FOLDER_COLUMNS), load_id)
-    store.write_version("scan", upsert(old_scans, scans, "scan_id", SCAN_COLUMNS), load_id)
-
+    old_folders, old_scans, old_plugins = (store.read_version(name, before=load_id) for name in ("folder", "scan", "plugin"))
     fed = ingest.plugin_rows(finding).join(
         order, ["scan_run_id", "scanner_host_id", "requested_plugin_id"]
     )
-    old_plugins = store.read_version("plugin", before=load_id)
     columns = [c for c in old_plugins.columns if c != "plugin_id"]
-    store.write_version(
-        "plugin",
-        versioned_upsert(old_plugins, fed, "plugin_id", "mod_date", "arrival", columns),
-        load_id,
-    )
-
-    store.write_load("vuln_output", ingest.output_rows(finding), load_id)
-    store.write_load("host_vuln", ingest.finding_rows(host), load_id)
-    store.write_load("host", ingest.host_rows(host), load_id)
-    # The runs make the load visible, so they come last.
-    store.write_load("scan_run", ingest.run_rows(run), load_id)
+    load.write_all({
+        "folder": upsert(old_folders, folders, "folder_id", FOLDER_COLUMNS),
+        "scan": upsert(old_scans, scans, "scan_id", SCAN_COLUMNS),
+        "plugin": versioned_upsert(old_plugins, fed, "plugin_id", "mod_date", "arrival", columns),
+        "vuln_output": ingest.output_rows(finding),
+        "host_vuln": ingest.finding_rows(host),
+        "host": ingest.host_rows(host),
+        "scan_run": ingest.run_rows(run),
+    })
+    load.commit()
     tables = store.tables()
     collisions = [
         key_collisions(frame, column, list(key)).select(F.lit(column).alias("id"), F.col(column).alias("value"), "n_keys")
@@ -122,6 +125,7 @@ def load_pass(
     ]
     return {
         "rejects": rejects,
+        "accepted": accepted,
         # Checks of what is now stored, run when they are asked for.
         "key_collisions": collisions[0].union(collisions[1]),
         "duplicates": pk_duplicates(tables).filter("n_duplicate_keys > 0"),

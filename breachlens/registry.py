@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,11 @@ from breachlens.operators.findings import latest_runs
 from breachlens.operators.upsert import upsert, upsert_metrics, versioned_upsert
 from breachlens.plans import details, hierarchies, saved, summaries, tops
 from breachlens.plans.load import FOLDER_COLUMNS, SCAN_COLUMNS, choose_runs, load_pass
-from breachlens.schemas import PAYLOADS
+from breachlens.schemas import HOST_KEY, NATURAL_FINDING_KEY, PAYLOADS
 from breachlens.session import configure, shared_dir
 from breachlens.sources import sample, sample_landing
 from breachlens.sources.landing import read_landing
-from breachlens.sources.store import Store
+from breachlens.sources.store import MERGED, Store
 from breachlens.sources.tables import Tables
 from breachlens.streaming import jobs
 
@@ -249,6 +250,43 @@ def _stored(table: str, *without: str) -> Query:
     return _frames(lambda s, d: getattr(_pass(s, d)[0].tables(), table).drop("load_id", *without))
 
 
+def _after_a_broken_load(spark, sf_dir):
+    """What readers see after a second load that has written other rows to all seven tables but
+    was not committed: names of the merged tables, rows per run of the others."""
+    store = _pass(spark, sf_dir)[0]
+    frames = store.tables().as_dict()
+    broken = {name: df.withColumn("name", F.concat(F.lit("broken "), "name")) if "name" in df.columns else df
+              for name, df in frames.items()}
+    store.begin(2).write_all(broken)
+    seen = store.tables().as_dict()
+    merged = [
+        df.select(F.lit(name).alias("table_name"), F.col(f"{name}_id").cast("bigint").alias("key"), F.col("name").alias("seen"))
+        for name, df in seen.items() if name in MERGED
+    ]
+    growing = [
+        df.groupBy("scan_run_id").agg(F.count("*").cast("string").alias("seen"))
+        .select(F.lit(name).alias("table_name"), F.col("scan_run_id").alias("key"), "seen")
+        for name, df in seen.items() if name not in MERGED
+    ]
+    return reduce(DataFrame.union, [*merged, *growing])
+
+
+def _surrogate_keys(spark, sf_dir):
+    """Rows, different hashed ids, and ids that stand for several natural keys."""
+    tables = _pass(spark, sf_dir)[0].tables()
+    keys = {
+        "host_id": (tables.host, HOST_KEY), "host_vuln_id": (tables.host_vuln, NATURAL_FINDING_KEY),
+        "vuln_output_id": (tables.vuln_output, (*NATURAL_FINDING_KEY, "output_no", "port")),
+    }
+
+    def counted(name, df, key):
+        ids = df.groupBy(name).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_ids"))
+        clashes = checks.key_collisions(df, name, list(key)).agg(F.count("*").alias("n_collisions"))
+        return ids.crossJoin(clashes).select(F.lit(name).alias("id"), "n_rows", "n_ids", "n_collisions")  # one row each
+
+    return reduce(DataFrame.union, [counted(name, *of) for name, of in keys.items()])
+
+
 def _rejected_runs(spark, sf_dir):
     return _pass(spark, sf_dir)[1].select(F.col("history_id").alias("scan_run_id")).distinct()
 
@@ -365,6 +403,8 @@ def queries() -> dict[str, Query]:
         "loaded_plugins": _stored("plugin", "cvss_base_score", "cvss_vector", "cvss3_vector", "pub_date"),
         "loaded_outputs": _stored("vuln_output", "vuln_output_id", "host_vuln_id"),
         "rejected_runs": _frames(_rejected_runs),
+        "after_a_broken_load": _frames(_after_a_broken_load),
+        "surrogate_keys": _frames(_surrogate_keys),
         "stream_latest_run": _frames(_stream_latest_run),
         "stream_severity_counts": _frames(_stream_severity_counts),
         "stream_new_runs": _frames(_stream_new_runs),

@@ -158,6 +158,29 @@ def _stored() -> dict[str, str]:
     }
 
 
+def _seen(stored: dict[str, str]) -> str:
+    """Names in the merged tables, and rows per run in the others."""
+    of = {"folder": "folders", "scan": "scans", "plugin": "plugins"}
+    merged = [
+        f"SELECT '{t}' AS table_name, CAST({t}_id AS BIGINT) AS key, name AS seen FROM ({stored[f'loaded_{rows}']})"
+        for t, rows in of.items()
+    ]
+    of = {"scan_run": "runs", "host": "hosts", "host_vuln": "findings", "vuln_output": "outputs"}
+    growing = [
+        f"SELECT '{t}', scan_run_id, CAST(COUNT(*) AS VARCHAR) FROM ({stored[f'loaded_{rows}']}) GROUP BY scan_run_id"
+        for t, rows in of.items()
+    ]
+    return " UNION ALL ".join([*merged, *growing])
+
+
+def _ids(stored: dict[str, str]) -> str:
+    of = {"host_id": "hosts", "host_vuln_id": "findings", "vuln_output_id": "outputs"}
+    return " UNION ALL ".join(
+        f"SELECT '{i}' AS id, COUNT(*) AS n_rows, COUNT(*) AS n_ids, 0 AS n_collisions FROM ({stored[f'loaded_{rows}']})"
+        for i, rows in of.items()
+    )
+
+
 def loading() -> dict[str, str]:
     orphans = [
         f"""SELECT '{name}' AS constraint_name, CAST({column} AS VARCHAR) AS key_value, COUNT(*) AS n
@@ -201,6 +224,8 @@ def loading() -> dict[str, str]:
         "upsert_scan_metrics": _metrics("scan_id", ["folder_id", "type", "name"], _SCANS),
         "plugin_upsert": _PLUGIN_UPSERT,
         **{name: over(sql, **_KEPT) for name, sql in _stored().items()},
+        "after_a_broken_load": over(_seen(_stored()), **_KEPT),
+        "surrogate_keys": over(_ids(_stored()), **_KEPT),
         "stream_latest_run": over(
             "SELECT scan_id, MAX(scan_run_id) AS scan_run_id FROM scan_run GROUP BY scan_id"
         ),

@@ -14,7 +14,8 @@ from breachlens.plans.summaries import scan_summary
 from breachlens.plans.tops import ip_ports
 from breachlens.session import shared_dir
 from breachlens.sources.landing import read_landing
-from breachlens.sources.store import Store, append
+from breachlens.schemas import TABLES
+from breachlens.sources.store import Load, Store
 from tests.small import settings
 
 
@@ -212,26 +213,92 @@ def test_a_landing_that_is_listed_again(spark, tmp_path, lines):
     assert out["duplicates"].collect() == [] and out["key_collisions"].collect() == []
 
 
-class Broken(Store):
-    def write_load(self, name, rows, load_id):
-        if name == "scan_run":
+LATER = [
+    ("folders", (), {"folders": [{"id": 1, "type": "main", "name": "renamed"}]}),
+    ("scans", (), {"scans": [{"id": 5, "folder_id": 1, "type": "x", "name": "done"}]}),
+    ("history", (5,), {"history": [{"history_id": 53, "creation_date": 9, "status": "completed"}]}),
+    ("run", (5, 53), {"info": RUN, "vulnerabilities": [], "hosts": [{"host_id": 7}]}),
+    ("host", (5, 53, 7), {"info": {"host-ip": "10.0.0.7"}, "vulnerabilities": [{"severity": 1, "count": 1, "plugin_id": 101}]}),
+    ("finding", (5, 53, 7, 101), {"info": plugin(101, "C", "fourth"), "outputs": [
+        {"plugin_output": "late", "ports": {"99": []}},
+    ]}),
+]
+
+
+def broken(monkeypatch, at):
+    """Let a load fail before it has written the table `at`, or before its manifest is in place."""
+    write, commit = Load.write, Store._commit
+
+    def failing(self, name, rows):
+        if name == at:
             raise RuntimeError("power cut")
-        super().write_load(name, rows, load_id)
+        write(self, name, rows)
 
+    def uncommitted(self, manifest):
+        if at == "manifest":
+            raise RuntimeError("power cut")
+        commit(self, manifest)
+
+    monkeypatch.setattr(Load, "write", failing)
+    monkeypatch.setattr(Store, "_commit", uncommitted)
+
+
+@pytest.mark.parametrize("at", [*TABLES, "manifest"])
+def test_a_load_is_seen_in_all_tables_or_in_none(spark, tmp_path, monkeypatch, at):
+    store, root = Store(spark, str(tmp_path / "store")), tmp_path / "in"
+    land(root, DOCUMENTS, True, 1_000)
+    load_pass(read_landing(spark, str(root), True), store, 1)
+    before = stored(store)
+    land(root, LATER, True, 2_000)
+    with monkeypatch.context() as patch:
+        broken(patch, at)
+        with pytest.raises(RuntimeError, match="power cut"):
+            load_pass(read_landing(spark, str(root), True), store, 2)
+    assert stored(store) == before and store.complete_loads() == [1]
+    assert store.read_version("plugin", before=3).filter("name = 'fourth101'").isEmpty()
+    # Neither does the next load build upon it, nor does its repetition find anything left.
+    load_pass(read_landing(spark, str(root), True), store, 2)
+    after = stored(store)
+    assert {r.scan_run_id for r in store.tables().scan_run.collect()} == {11, 32, 53}
+    assert {r.folder_id: r.name for r in store.tables().folder.collect()}[1] == "renamed"
+    store.expire(keep=1)
+    assert stored(store) == after
 
-def test_a_broken_load_is_not_seen_whatever_follows(spark, tmp_path):
+
+def test_a_first_load_that_breaks_leaves_empty_tables(spark, tmp_path, monkeypatch):
     landing = read_landing(spark, land(tmp_path / "in", DOCUMENTS, True), True)
-    root = str(tmp_path / "store")
-    with pytest.raises(RuntimeError, match="power cut"):
-        load_pass(landing, Broken(spark, root), 1)
-    store = Store(spark, root)
-    assert store.tables().host.count() == 0 and ip_ports(store.tables(), "10.0.0.7").count() == 0
+    store = Store(spark, str(tmp_path / "store"))
+    with monkeypatch.context() as patch:
+        broken(patch, "manifest")
+        with pytest.raises(RuntimeError, match="power cut"):
+            load_pass(landing, store, 1)
+    assert all(rows == [] for rows in stored(store).values())
+    assert ip_ports(store.tables(), "10.0.0.7").count() == 0
     load_pass(landing, store, 2)
     assert store.tables().host_vuln.count() == 4
-    summary = {r.scan_name: r.total_low for r in scan_summary(store.tables()).collect()}
-    assert summary["one"] == 2
     with pytest.raises(ValueError, match="load 1"):
         load_pass(landing, store, 1)
+    assert set(store._parts("host")) != {store.manifest().part}
+    store.expire()
+    assert store._parts("host") == store._parts("plugin") == [store.manifest().part]
+
+
+def test_readers_of_a_load_are_not_disturbed_by_its_repetition(spark, tmp_path):
+    landing = read_landing(spark, land(tmp_path / "in", DOCUMENTS, True), True)
+    store = Store(spark, str(tmp_path / "store"))
+    load_pass(landing, store, 1)
+    reader = store.tables()
+    load_pass(landing, store, 1)
+    assert store.complete_loads() == [1] and store.manifest().part == 2
+    assert reader.host.count() == store.tables().host.count() == 3
+    assert reader.plugin.count() == store.tables().plugin.count() == 2
+
+
+def test_a_load_must_have_all_tables(spark, tmp_path):
+    load = Store(spark, str(tmp_path)).begin(1)
+    load.write("folder", spark.createDataFrame([(1, "t", "n")], TABLES["folder"]))
+    with pytest.raises(RuntimeError, match="scan_run"):
+        load.commit()
 
 
 def test_repeating_a_load_with_nothing_leaves_nothing(spark, tmp_path):
@@ -258,14 +325,6 @@ def test_reports_skip_loads_without_a_latest_run(spark, tmp_path):
     assert shuffled == scan_summary(store.tables()).collect()
 
 
-def test_append_adds_to_partitions(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 10), (2, 20)], "a BIGINT, scan_run_id BIGINT")
-    for _ in range(2):
-        append(rows, str(tmp_path / "t"), "scan_run_id")
-    assert (tmp_path / "t/scan_run_id=10").exists()
-    assert spark.read.parquet(str(tmp_path / "t")).filter("scan_run_id = 20").count() == 2
-
-
 def test_the_shared_folder_is_the_one_the_session_names(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(shared_dir(spark))

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import scope
+from breachlens.operators.upsert import versioned_upsert
 from breachlens.plans import details, summaries, tops
 from breachlens.sources import sample
 from breachlens.sources.tables import from_parquet
@@ -133,3 +134,17 @@ def test_a_hot_host_is_split(spark, tmp_path):
         rows = df.collect()
         assert "isSkewJoin=true" in plan(df, "executedPlan") or "skew=true" in plan(df, "executedPlan")
     assert [(r.total_hosts, r.total_critical + r.total_high + r.total_medium + r.total_low + r.total_info) for r in rows] == [(2000, 300000)]
+
+
+def test_plugin_texts_are_read_late(spark):
+    """Only the rows that take effect are shuffled with their texts."""
+    feed = spark.range(1000).selectExpr(
+        "id % 7 AS plugin_id", "id AS seq", "CAST(id DIV 300 AS STRING) AS mod_date", "repeat('text ', 50) || id AS description"
+    )
+    stored = spark.createDataFrame([(1, "0", "old")], "plugin_id BIGINT, mod_date STRING, description STRING")
+    merged = versioned_upsert(stored, feed, "plugin_id", "mod_date", "seq", ["description"])
+    text = merged._jdf.queryExecution().executedPlan().toString()
+    shuffled = re.findall(r"Exchange hashpartitioning\(([^)]*)\)[^\n]*\n[^\n]*Aggregate", text)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text and len(shuffled) == 1
+    assert merged.count() == 7
+    assert {r.description[:4] for r in merged.collect()} == {"text"}

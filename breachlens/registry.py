@@ -22,7 +22,7 @@ from breachlens.sources import sample, sample_landing
 from breachlens.sources.landing import read_landing
 from breachlens.sources.store import MERGED, Store
 from breachlens.sources.tables import Tables
-from breachlens.streaming import jobs
+from breachlens.streaming import arrivals, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -304,7 +304,7 @@ def _stream_latest_run(spark, sf_dir):
     runs = _stream(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("scan_id"), F.col("o_orderkey").alias("scan_run_id")
     )
-    jobs.keep_changes(jobs.latest_run_stream(runs), path).awaitTermination()
+    jobs.keep_changes(jobs.latest_run_stream(runs), path, "scan_id", "scan_run_id").awaitTermination()
     schema = "scan_id BIGINT, scan_run_id BIGINT"
     return jobs.current_values(spark, path, schema, "scan_id", "scan_run_id")
 
@@ -316,7 +316,7 @@ def _stream_severity_counts(spark, sf_dir):
         F.col("l_partkey").alias("plugin_id"), (1 + F.col("l_partkey") % 3).alias("n")
     )
     counts = jobs.severity_count_stream(hits.join(known, "plugin_id"))
-    jobs.keep_changes(counts, path).awaitTermination()
+    jobs.keep_changes(counts, path, "severity", "n").awaitTermination()
     return jobs.current_values(spark, path, "severity INT, n BIGINT", "severity", "n")
 
 
@@ -328,6 +328,21 @@ def _stream_new_runs(spark, sf_dir):
     return jobs.picked_runs(spark, path, schema).select("scan_id", "history_id")
 
 
+def _stream_loaded_runs(spark, sf_dir):
+    """Loaded as answers land, in two rounds: the findings of every third run come after all else."""
+    path, late = _new_path(spark, "arrivals"), F.col("history_id") % 3 == 0
+    landing, store = f"{path}/landing", Store(spark, f"{path}/store")
+
+    def arrived():
+        arrivals.load_arrivals(spark, landing, store, f"{path}/state", True, SKIPPED).awaitTermination()
+
+    sample_landing.land(spark, sf_dir, landing, late)
+    arrived()
+    sample_landing.land_late(spark, sf_dir, landing, late)
+    arrived()
+    return store.tables().scan_run.drop("load_id")
+
+
 def queries() -> dict[str, Query]:
     def filtered(build, name):
         return _report(build, FILTERS[name])
@@ -408,4 +423,5 @@ def queries() -> dict[str, Query]:
         "stream_latest_run": _frames(_stream_latest_run),
         "stream_severity_counts": _frames(_stream_severity_counts),
         "stream_new_runs": _frames(_stream_new_runs),
+        "stream_loaded_runs": _frames(_stream_loaded_runs),
     }

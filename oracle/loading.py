@@ -233,4 +233,5 @@ def loading() -> dict[str, str]:
             SELECT severity, CAST(SUM(1 + l_partkey % 3) AS BIGINT) AS n
             FROM lineitem JOIN plugin ON plugin_id = l_partkey WHERE l_quantity > 5 GROUP BY severity"""),
         "stream_new_runs": over(_NEW, **runs),
+        "stream_loaded_runs": over(_stored()["loaded_runs"], **_KEPT),
     }

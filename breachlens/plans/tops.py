@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from breachlens.functions.scalars import severity_label, usable_port, vulnerability_name
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import (
-    idle_hosts, located_findings, outputs, scope, with_plugin,
+    LOAD, idle_hosts, located_findings, outputs, scope, with_plugin,
 )
+from breachlens.operators.sizing import FEW_ROWS, broadcast_if
 from breachlens.schemas import HOST_KEY
 from breachlens.sources.tables import Tables
 
@@ -91,13 +92,41 @@ def _distinct(df: DataFrame, column: str, merge_case: bool) -> DataFrame:
     return merged_case(df, [column], [], F.count("*").alias("n")).select(column)
 
 
+#: An address seen in at most so many runs is looked up by the numbers of these runs.
+RUNS = 1000
+
+
+def of_address(tables: Tables, ip_address: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, outputs) that may belong to exactly this address, in any run, found by look-up.
+
+    The hosts come first: their files tell by Bloom filters whether they have the address. If they
+    are not too many their keys are broadcast, with their load, so that of findings and outputs
+    only the loads that hold them are read, and no other row is shuffled. If their runs are few,
+    the numbers of these go to the files as well.
+    """
+    hosts = tables.host.filter(F.col("host_ip") == ip_address)
+    loads = [LOAD] if all(LOAD in df.columns for df in (tables.host, tables.host_vuln, tables.vuln_output)) else []
+    keys = hosts.select(*loads, *HOST_KEY).distinct()
+    runs = [r[0] for r in hosts.select("scan_run_id").distinct().limit(RUNS + 1).collect()]
+    few = len(runs) <= RUNS or keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+
+    def of_hosts(df: DataFrame) -> DataFrame:
+        if not set(HOST_KEY) <= set(df.columns):
+            return df
+        if len(runs) <= RUNS:
+            df = df.filter(F.col("scan_run_id").isin(runs))
+        # All loads pass. Spark skips partitions only for the sake of a side that is filtered.
+        chosen = keys.filter(F.col(LOAD) >= 0) if loads else keys
+        return df.join(broadcast_if(chosen, few), [*loads, *HOST_KEY], "left_semi")
+
+    return of_hosts(tables.host_vuln), of_hosts(tables.vuln_output)
+
+
 def ip_ports(tables: Tables, ip_address: str, merge_case: bool = False) -> DataFrame:
     """All ports ever seen on exactly this address, in any run, in text order."""
     key = list(tables.finding_key)
-    hosts = tables.host.filter(F.col("host_ip") == ip_address).select(*HOST_KEY).distinct()
-    columns = list(dict.fromkeys((*key, *HOST_KEY)))
-    found = tables.host_vuln.select(*columns).join(hosts, list(HOST_KEY), "left_semi")
-    ports = tables.vuln_output.select(*key, "port").join(found.select(*key), key, "left_semi")
+    found, shown = of_address(tables, ip_address)
+    ports = shown.select(*key, "port").join(found.select(*key), key, "left_semi")
     return _distinct(ports, "port", merge_case).orderBy("port")
 
 

@@ -3,13 +3,17 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import scope
 from breachlens.operators.upsert import versioned_upsert
 from breachlens.plans import details, summaries, tops
+from breachlens.schemas import HOST_KEY, NATURAL_FINDING_KEY, TABLES
 from breachlens.sources import sample
+from breachlens.sources.store import Store
 from breachlens.sources.tables import from_parquet
 from tests.small import settings
 
@@ -148,3 +152,76 @@ def test_plugin_texts_are_read_late(spark):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" in text and len(shuffled) == 1
     assert merged.count() == 7
     assert {r.description[:4] for r in merged.collect()} == {"text"}
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, tmp_path_factory):
+    """The same two loads, without buckets and with."""
+    stores = [Store(spark, str(tmp_path_factory.mktemp("plain"))), Store(spark, str(tmp_path_factory.mktemp("dealt")), 4)]
+    frames = _sample(spark).items()
+    for store in stores:
+        for number in (0, 1):
+            load = store.begin(number)
+            load.write_all({
+                name: df.filter(df.scan_run_id % 2 == number) if "scan_run_id" in df.columns else df
+                for name, df in _of_store(dict(frames)).items()
+            })
+            load.commit()
+    return stores
+
+
+def _of_store(frames):
+    """With the columns that the sample leaves out as NULL."""
+    out = {}
+    for name, df in frames.items():
+        schema = T.StructType.fromDDL(TABLES[name])
+        out[name] = df.select(*[
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+        ])
+    return out
+
+
+def test_hosts_findings_and_outputs_lie_together(spark, bucketed):
+    """Joins of stored tables on hosts and findings need no shuffle, over several loads."""
+    plain, dealt = (store.tables() for store in bucketed)
+    outer = lambda t: t.host.join(t.host_vuln, [*HOST_KEY], "left").join(
+        t.vuln_output.drop("host_vuln_id"), [*NATURAL_FINDING_KEY], "left"
+    ).select(*HOST_KEY, "plugin_id", "port")
+    inner = lambda t: t.vuln_output.join(t.host_vuln, [*NATURAL_FINDING_KEY]).select(*HOST_KEY, "port")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}):
+        for join in (outer, inner):
+            assert "Exchange" in plan(join(plain), "executedPlan")
+            text = plan(join(dealt), "executedPlan")
+            assert "Exchange" not in text and text.count("Bucketed: true") == text.count("FileScan")
+            assert sorted(map(str, join(plain).collect())) == sorted(map(str, join(dealt).collect()))
+    for report in (summaries.scan_summary, summaries.scan_summary_rows, details.vulnerability_detail):
+        assert report(plain).collect() == report(dealt).collect()
+    with pytest.raises(ValueError, match="4 buckets"):
+        Store(spark, bucketed[1].root, 8).begin(2)
+
+
+def test_an_address_is_looked_up(spark, bucketed, monkeypatch):
+    """Of findings and outputs only loads and runs with the address are read, and shuffled."""
+    for store in bucketed:
+        tables = store.tables()
+        # An address that only the second load has.
+        ip = tables.host.groupBy("host_ip").agg(F.min("load_id").alias("lo"), F.max("load_id").alias("hi")).filter(
+            "lo = hi"
+        ).first()
+        ip = ip or tables.host.first()
+        everywhere = tables.host.filter(F.col("host_ip") == ip.host_ip).select(*HOST_KEY)
+        found = tables.vuln_output.join(everywhere, [*HOST_KEY], "left_semi").join(
+            tables.host_vuln, [*NATURAL_FINDING_KEY], "left_semi"
+        )
+        want = sorted({r.port for r in found.collect()}, key=lambda p: (p is not None, p or ""))
+        text = plan(tops.ip_ports(tables, ip.host_ip), "executedPlan")
+        for columns in ("plugin_id", "port"):
+            scans = [line for line in text.splitlines() if "FileScan" in line and columns in line]
+            assert scans and all("dynamicpruning" in line and "In(scan_run_id" in line for line in scans), text
+        assert text.count("BroadcastExchange") + text.count("ReusedExchange") >= 2
+        for runs, rows in ((1000, 100_000), (0, 100_000), (0, 0)):
+            monkeypatch.setattr(tops, "RUNS", runs)
+            monkeypatch.setattr(tops, "FEW_ROWS", rows)
+            assert [r.port for r in tops.ip_ports(tables, ip.host_ip).collect()] == want
+        monkeypatch.undo()
+        assert tops.ip_ports(tables, "no address").collect() == []

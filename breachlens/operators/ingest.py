@@ -43,6 +43,11 @@ def newest_listed(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(newest).select(*key, *[f"newest.{c}" for c in others])
 
 
+def asked_again(payload: DataFrame, *request: str) -> bool:
+    """Whether some request has several answers. Looks at requests alone."""
+    return not payload.groupBy(*request).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def newest_payloads(payload: DataFrame, *request: str) -> DataFrame:
     """Of several answers to one request the newest; of equal times the largest text.
 
@@ -51,7 +56,6 @@ def newest_payloads(payload: DataFrame, *request: str) -> DataFrame:
     """
     if "landed_at" not in payload.columns:
         return payload
-    # The check of the times alone keeps requests that have only one answer as they are.
     asked = payload.groupBy(*request).agg(F.max("landed_at").alias("newest"), F.count("*").alias("answers"))
     again = asked.filter("answers > 1").drop("answers")
     others = [c for c in payload.columns if c not in (*request, "landed_at")]

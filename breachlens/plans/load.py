@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +82,15 @@ def load_runs(
     def of_chosen(payload: DataFrame, runs: DataFrame) -> DataFrame:
         return payload.join(runs, ["scan_id", "history_id"], "left_semi")
 
-    staged = {
-        kind: store.stage(kind, ingest.newest_payloads(of_chosen(payload, chosen), *REQUEST_IDS[kind]))
-        for kind, payload in answers.items()
-    }
+    def stage(kind: str) -> DataFrame:
+        """The answers for the chosen runs, parsed once; of several to a request the newest."""
+        parsed = store.stage(kind, of_chosen(answers[kind], chosen))
+        if "landed_at" not in parsed.columns or not ingest.asked_again(parsed, *REQUEST_IDS[kind]):
+            return parsed.drop("landed_at")
+        return store.stage(f"{kind}-newest", ingest.newest_payloads(parsed, *REQUEST_IDS[kind]))
+
+    with ThreadPoolExecutor(len(answers)) as pool:
+        staged = dict(zip(answers, pool.map(stage, answers)))
     answered = staged["run"].select("scan_id", "history_id")
     order = arrival_order(all_scans, staged["run"], staged["host"])
     run, bad_run = ingest.split_required(staged["run"], "run")

@@ -92,32 +92,41 @@ def _distinct(df: DataFrame, column: str, merge_case: bool) -> DataFrame:
     return merged_case(df, [column], [], F.count("*").alias("n")).select(column)
 
 
-#: An address seen in at most so many runs is looked up by the numbers of these runs.
-RUNS = 1000
+#: An address of at most so many hosts, counted once for each run, is looked up by their keys, and if
+#: they are in at most so many runs, by these in the files.
+KEYS, RUNS = 10_000, 100
 
 
 def of_address(tables: Tables, ip_address: str) -> tuple[DataFrame, DataFrame]:
     """(findings, outputs) that may belong to exactly this address, in any run, found by look-up.
 
-    The hosts come first: their files tell by Bloom filters whether they have the address. If they
-    are not too many their keys are broadcast, with their load, so that of findings and outputs
-    only the loads that hold them are read, and no other row is shuffled. If their runs are few,
-    the numbers of these go to the files as well.
+    The hosts come first: their files tell by Bloom filters whether they have the address. If there
+    are few, the numbers of their loads and runs go to the files of findings and outputs, so
+    that partitions and row groups without them are skipped, and no other row is shuffled. If
+    there are more, their keys are broadcast as long as their number allows it.
+
+    Tables that are not of our own store have no such files. Their findings are joined with the
+    hosts, without a look-up, and all outputs are returned.
     """
     hosts = tables.host.filter(F.col("host_ip") == ip_address)
     loads = [LOAD] if all(LOAD in df.columns for df in (tables.host, tables.host_vuln, tables.vuln_output)) else []
     keys = hosts.select(*loads, *HOST_KEY).distinct()
-    runs = [r[0] for r in hosts.select("scan_run_id").distinct().limit(RUNS + 1).collect()]
-    few = len(runs) <= RUNS or keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    if not loads:
+        return tables.host_vuln.join(keys, list(HOST_KEY), "left_semi"), tables.vuln_output
+    first = keys.limit(KEYS + 1).collect()
+    known = len(first) <= KEYS
+    few = known or keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    if known:
+        keys = tables.spark.createDataFrame(first, keys.schema)
 
     def of_hosts(df: DataFrame) -> DataFrame:
-        if not set(HOST_KEY) <= set(df.columns):
-            return df
-        if len(runs) <= RUNS:
-            df = df.filter(F.col("scan_run_id").isin(runs))
+        if known:
+            for column in (LOAD, "scan_run_id"):
+                values = sorted({r[column] for r in first})
+                if column == LOAD or len(values) <= RUNS:
+                    df = df.filter(F.col(column).isin(values))
         # All loads pass. Spark skips partitions only for the sake of a side that is filtered.
-        chosen = keys.filter(F.col(LOAD) >= 0) if loads else keys
-        return df.join(broadcast_if(chosen, few), [*loads, *HOST_KEY], "left_semi")
+        return df.join(broadcast_if(keys.filter(F.col(LOAD) >= 0), few), [LOAD, *HOST_KEY], "left_semi")
 
     return of_hosts(tables.host_vuln), of_hosts(tables.vuln_output)
 

@@ -29,6 +29,9 @@ def latest_runs(scan_run: DataFrame) -> DataFrame:
     )
 
 
+#: Numbers of a bitmap, which takes 4 KB, and how many bitmaps may be broadcast: 64 MB.
+BITS, BITMAPS = 32_768, 16_384
+
 # The column that tables of our own store are partitioned by.
 LOAD = "load_id"
 
@@ -42,14 +45,32 @@ class Scope:
     runs: DataFrame
     few_runs: bool
 
-    def prune(self, df: DataFrame) -> DataFrame:
-        """Drop the rows of other runs before any shuffle, if the runs can be broadcast.
+    @cached_property
+    def bitmaps(self) -> DataFrame | None:
+        """The runs in scope as bitmaps of BITS numbers each, or None if the numbers of all runs
+        spread over more than BITMAPS of them, which would be too much to broadcast."""
+        bucket = F.bitmap_bucket_number("scan_run_id")
+        span = self.tables.scan_run.agg(F.min(bucket).alias("low"), F.max(bucket).alias("high")).first()
+        if span.low is None or span.high - span.low >= BITMAPS:
+            return None
+        return self.runs.groupBy(bucket.alias("run_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("scan_run_id")).alias("run_bits")
+        )
 
-        With too many runs for that, the join with the hosts drops them: a shuffle by
-        run alone would cost as much, and one run may hold a large share of all rows.
+    def prune(self, df: DataFrame) -> DataFrame:
+        """Drop the rows of other runs before any shuffle.
+
+        Where the runs themselves can be broadcast, they are, with their loads, so that other
+        loads are not even read. Else they are broadcast as bitmaps, which take one bit for each
+        number between the lowest and the highest run, and no row but those of runs in scope is
+        shuffled. Only if run numbers are spread too far for that are all rows kept; then
+        the join with the hosts drops them, as a shuffle by run alone would cost as much, and
+        one run may hold a large share of all rows.
         """
-        if not self.few_runs or "scan_run_id" not in df.columns:
+        if "scan_run_id" not in df.columns:
             return df
+        if not self.few_runs:
+            return self._by_bitmaps(df)
         key = [c for c in (LOAD, "scan_run_id") if c in df.columns and c in self.runs.columns]
         runs = self.runs.select(*key)
         if LOAD in key:
@@ -57,6 +78,16 @@ class Scope:
             runs = runs.filter(F.col(LOAD) >= 0)
         return df.join(F.broadcast(runs), key, "left_semi")
 
+    def _by_bitmaps(self, df: DataFrame) -> DataFrame:
+        if self.bitmaps is None:
+            return df
+        at = F.bitmap_bit_position("scan_run_id").cast("int")
+        byte = F.conv(F.hex(F.substring("run_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.expr("run_byte").bitwiseAND(F.expr("shiftleft(1, run_bit)")) != 0
+        met = df.withColumn("run_bucket", F.bitmap_bucket_number("scan_run_id")).join(F.broadcast(self.bitmaps), "run_bucket")
+        found = met.withColumns({"run_byte": byte, "run_bit": at.bitwiseAND(F.lit(7))}).filter(bit)
+        return found.select(*df.columns)
+
     @cached_property
     def hosts(self) -> DataFrame:
         """Hosts that pass the filters on scans and addresses, with their scan."""

@@ -16,7 +16,7 @@ from breachlens.sources.tables import Tables
 TOTALS = {level: f"total_{name.lower()}" for level, _, name, _ in SEVERITIES}
 
 
-def _counts(weight: str, names: dict[int, str]):
+def sums_by_severity(weight: str, names: dict[int, str]):
     """One sum of `weight` per severity level; 0 where there is nothing to add."""
     return [
         F.expr(f"sum(if(severity = {level}, {weight}, 0))").alias(name)
@@ -43,7 +43,7 @@ def _summary(found: DataFrame, sc: Scope, merge_case: bool) -> DataFrame:
         group = [f"{c}_key" for c in group]
     # Distinct addresses by grouping twice: COUNT(DISTINCT) next to sums would copy rows.
     per_address = rows.groupBy(*group, "host_ip").agg(
-        *shown, F.max("scan_start").alias("scan_start"), *_counts("weight", TOTALS)
+        *shown, F.max("scan_start").alias("scan_start"), *sums_by_severity("weight", TOTALS)
     )
     per_scan = per_address.groupBy(*group).agg(
         *shown,
@@ -51,13 +51,13 @@ def _summary(found: DataFrame, sc: Scope, merge_case: bool) -> DataFrame:
         F.count("host_ip").alias("total_hosts"),
         *[F.sum(name).alias(name) for name in TOTALS.values()],
     )
-    return _ordered_summary(
+    return ordered_summary(
         per_scan.select("scan_name", "folder_name", "last_scan_date", "total_hosts", *TOTALS.values()),
         sc.spec,
     )
 
 
-def _ordered_summary(summary: DataFrame, spec: FilterSpec) -> DataFrame:
+def ordered_summary(summary: DataFrame, spec: FilterSpec) -> DataFrame:
     """By the total of the highest level filtered for, else newest first."""
     chosen = [TOTALS[level] for level in TOTALS if level in spec.severity]
     if spec.severity and not chosen:
@@ -103,9 +103,12 @@ def severity_distribution(tables: Tables, spec: FilterSpec = FilterSpec()) -> Da
 
 def severity_totals(tables: Tables, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """Findings for each of the five levels, 0 included, highest first."""
-    counts = severity_distribution(tables, spec)
+    return all_levels(severity_distribution(tables, spec))
+
+
+def all_levels(counts: DataFrame) -> DataFrame:
     return (
-        severity_dim(tables.spark)
+        severity_dim(counts.sparkSession)
         .join(counts, "severity", "left")
         .withColumn("finding_count", F.coalesce("finding_count", F.lit(0)))
         .orderBy(F.desc("severity"))
@@ -123,7 +126,7 @@ def host_report(
     group = ["host_ip", "host_fqdn", "scan_name", "folder_name", "scan_start"]
     found = findings(sc).select(*group, "severity", F.lit(1).alias("weight"))
     counted = merged_case(
-        _with_hosts(found, sc), group[:4], group[4:], *_counts("weight", HOST_COUNTS),
+        _with_hosts(found, sc), group[:4], group[4:], *sums_by_severity("weight", HOST_COUNTS),
         F.count("weight").alias("total_vulnerabilities"), merge=merge_case,
     )
     order = [F.desc("scan_start"), F.desc("total_vulnerabilities"), *group[:4]]

@@ -13,8 +13,10 @@ from breachlens.functions.scalars import run_time_text, turkish_date, turkish_da
 from breachlens.operators import checks, ingest
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import latest_runs
+from breachlens.operators.partials import partials
 from breachlens.operators.upsert import upsert, upsert_metrics, versioned_upsert
 from breachlens.plans import details, hierarchies, saved, summaries, tops
+from breachlens.plans import partials as from_partials
 from breachlens.plans.load import FOLDER_COLUMNS, SCAN_COLUMNS, choose_runs, load_pass
 from breachlens.schemas import HOST_KEY, NATURAL_FINDING_KEY, PAYLOADS
 from breachlens.session import configure, shared_dir
@@ -53,6 +55,14 @@ def _report(build: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, sf_dir: build(sample.load(configure(spark), sf_dir), *args, **kwargs)
 
 
+def _from_partials(build: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    """A report from the partial sums of all runs."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = sample.load(configure(spark), sf_dir)
+        return build(tables, partials(tables.host, tables.host_vuln, tables.vuln_output), *args, **kwargs)
+    return query
+
+
 def _merge_case(build: Callable[..., DataFrame], *args) -> Query:
     """A report that ignores case, over tables in which every third scan's name, and the ports
     of every other run, are in the other case."""
@@ -375,6 +385,11 @@ def queries() -> dict[str, Query]:
         "top_vulnerability_hierarchy": _report(hierarchies.top_vulnerability_hierarchy),
         "top_port_hierarchy": _report(hierarchies.top_port_hierarchy),
         "host_report": _report(summaries.host_report),
+        "scan_summary_partials": _from_partials(from_partials.scan_summary),
+        "scan_summary_rows_partials": _from_partials(from_partials.scan_summary, by_rows=True),
+        "severity_distribution_partials": _from_partials(from_partials.severity_distribution),
+        "severity_totals_partials": _from_partials(from_partials.severity_totals),
+        "filter_severity_partials": _from_partials(from_partials.severity_distribution, FILTERS["filter_severity"]),
         "scan_summary_merge_case": _merge_case(summaries.scan_summary),
         "top_vulnerabilities_merge_case": _merge_case(tops.top_vulnerabilities),
         "scan_names_merge_case": _merge_case(tops.scan_names),

@@ -21,6 +21,13 @@ TABLES = {
     "output STRING",
 }
 
+#: Findings of a plugin in a run, and rows of these joined with their outputs; hosts of an address
+#: in a run, and how many of them have no finding.
+PARTIALS = {
+    "run_plugin": "scan_run_id BIGINT, plugin_id BIGINT, n_findings BIGINT, n_rows BIGINT",
+    "run_address": "scan_run_id BIGINT, host_ip STRING, n_hosts BIGINT, n_idle BIGINT",
+}
+
 # One host row per host and run, one finding per host, run and plugin.
 HOST_KEY = ("scan_run_id", "scanner_host_id")
 NATURAL_FINDING_KEY = (*HOST_KEY, "plugin_id")

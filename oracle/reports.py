@@ -202,6 +202,11 @@ def reports() -> dict[str, str]:
         "scan_summary_rows_port": summary(FILTERS["filter_port"], rows=True),
         "severity_distribution": distribution(),
         "severity_totals": over(_TOTALS),
+        "scan_summary_partials": summary(),
+        "scan_summary_rows_partials": summary(rows=True),
+        "severity_distribution_partials": distribution(),
+        "severity_totals_partials": over(_TOTALS),
+        "filter_severity_partials": by_filter["filter_severity"],
         "vulnerability_detail": detail(),
         "vulnerability_detail_port": detail(where=FILTERS["filter_port"]),
         "vulnerability_detail_extended": detail(_EXTENDED),

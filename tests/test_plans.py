@@ -1,5 +1,6 @@
 """What the plans must and must not contain."""
 
+import dataclasses
 import re
 
 import pytest
@@ -7,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as entry
+from breachlens.operators import findings
 from breachlens.operators.filters import FilterSpec
-from breachlens.operators.findings import scope
+from breachlens.operators.findings import latest_runs, scope
 from breachlens.operators.upsert import versioned_upsert
-from breachlens.plans import details, summaries, tops
+from breachlens.plans import details, partials, summaries, tops
 from breachlens.schemas import HOST_KEY, NATURAL_FINDING_KEY, TABLES
 from breachlens.sources import sample
 from breachlens.sources.store import Store
@@ -232,3 +234,60 @@ def test_an_address_is_looked_up(spark, bucketed, monkeypatch):
             assert [r.port for r in tops.ip_ports(tables, ip.host_ip).collect()] == want
         monkeypatch.undo()
         assert tops.ip_ports(tables, "no address").collect() == []
+
+
+def test_refreshed_totals_read_no_finding(spark, bucketed):
+    """The partial sums that loads keep give the reports' rows, without findings and outputs."""
+    for store in bucketed:
+        tables, parts = store.tables(), store.partials()
+        for spec in (FilterSpec(), FilterSpec(scan_name="-1")):
+            for refreshed, whole in (
+                (partials.scan_summary(tables, parts, spec), summaries.scan_summary(tables, spec)),
+                (partials.scan_summary(tables, parts, spec, by_rows=True), summaries.scan_summary_rows(tables, spec)),
+                (partials.severity_totals(tables, parts, spec), summaries.severity_totals(tables, spec)),
+            ):
+                assert refreshed.collect() == whole.collect() and refreshed.dtypes == whole.dtypes
+                text = plan(refreshed, "executedPlan")
+                assert "dynamicpruning" in text and not re.search(r"Location: [^\n]*/(host|host_vuln|vuln_output)\b", text)
+        both = FilterSpec(severity=[3, 4], vulnerability_name="widget")
+        got, want = (sorted(map(str, df.collect())) for df in (
+            partials.severity_distribution(tables, parts, both), summaries.severity_distribution(tables, both)
+        ))
+        assert got == want
+        for spec in (FilterSpec(port="22"), FilterSpec(ip_address="10.")):
+            with pytest.raises(ValueError, match="partial sums"):
+                partials.severity_distribution(tables, parts, spec)
+        with pytest.raises(ValueError, match="partial sums"):
+            partials.scan_summary(tables, parts, FilterSpec(severity=[1]))
+
+
+def test_runs_that_cannot_be_broadcast_prune_as_bitmaps(spark, bucketed, monkeypatch):
+    """Without any broadcast of runs, only rows of latest runs are shuffled."""
+    tables = bucketed[0].tables()
+    latest = latest_runs(tables.scan_run)
+    reports = (summaries.scan_summary, summaries.scan_summary_rows, details.vulnerability_detail, tops.top_ports)
+    want = [report(tables).collect() for report in reports]
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        sc = scope(tables, FilterSpec())
+        assert not sc.few_runs and sc.bitmaps is not None
+        for df in (tables.host, tables.host_vuln, tables.vuln_output):
+            kept = sc.prune(df)
+            text = plan(kept, "executedPlan")
+            assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("BroadcastExchange")[0]
+            assert sorted(map(str, kept.collect())) == sorted(map(str, df.join(latest, "scan_run_id", "left_semi").select(*df.columns).collect()))
+            assert kept.count() < df.count() / 3
+        assert [report(tables).collect() for report in reports] == want
+        monkeypatch.setattr(findings, "BITMAPS", 0)
+        assert scope(tables, FilterSpec()).bitmaps is None
+        assert [report(tables).collect() for report in reports] == want
+
+
+def test_bitmaps_tell_runs_of_any_number_apart(spark, bucketed):
+    tables = bucketed[0].tables()
+    numbers = [1, 2, 7, 8, 9, 32_767, 32_768, 32_769, 65_536, 65_537, 300_000]
+    runs = spark.createDataFrame([(n, n % 3) for n in numbers], "scan_run_id BIGINT, scan_id BIGINT")
+    odd = findings.Scope(
+        dataclasses.replace(tables, scan_run=runs), FilterSpec(), runs.filter("scan_run_id % 2 = 1"), few_runs=False
+    )
+    every = spark.createDataFrame([(n + d,) for n in numbers for d in (-1, 0, 1)], "scan_run_id BIGINT")
+    assert {r[0] for r in odd.prune(every).collect()} == {n for n in numbers if n % 2}

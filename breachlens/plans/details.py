@@ -190,7 +190,7 @@ def filter_columns(df: DataFrame, conditions: list[tuple[str, str, object]]) ->
     return df
 
 
-def _page_order(df: DataFrame, sort: list[tuple[str, bool]] | None) -> dict[str, bool]:
+def page_order(df: DataFrame, sort: list[tuple[str, bool]] | None) -> dict[str, bool]:
     """All columns with whether they ascend; those not asked for complete the order."""
     chosen = dict(sort or [])
     unknown = set(chosen) - set(df.columns)
@@ -207,7 +207,7 @@ def page(
     The other columns complete the order, so that pages neither overlap nor miss rows. All
     rows up to the page's end are ranked, so for deep pages `page_after` is the better way.
     """
-    order = _page_order(df, sort)
+    order = page_order(df, sort)
     return df.orderBy(*[F.asc(c) if up else F.desc(c) for c, up in order.items()]).offset(number * size).limit(size)
 
 
@@ -221,7 +221,7 @@ def page_after(
     own; `last` is a row of the page before as a dict. A NULL sorts before all values.
     """
     equal = Window.partitionBy(*df.columns).orderBy(F.lit(1))
-    order = _page_order(df, sort) | {"copy": True}
+    order = page_order(df, sort) | {"copy": True}
     if last is not None:
         missing = set(order) - set(last)
         if missing:

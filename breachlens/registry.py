@@ -18,6 +18,7 @@ from breachlens.operators.upsert import upsert, upsert_metrics, versioned_upsert
 from breachlens.plans import details, hierarchies, saved, summaries, tops
 from breachlens.plans import partials as from_partials
 from breachlens.plans.load import FOLDER_COLUMNS, SCAN_COLUMNS, choose_runs, load_pass
+from breachlens.plans.pages import store_pages
 from breachlens.schemas import HOST_KEY, NATURAL_FINDING_KEY, PAYLOADS
 from breachlens.session import configure, shared_dir
 from breachlens.sources import sample, sample_landing
@@ -125,6 +126,12 @@ def _detail_page(tables: Tables) -> DataFrame:
     return details.page(details.vulnerability_detail(tables, limit=None), 2, sort=PAGE_SORT)
 
 
+def _detail_page_stored(tables: Tables) -> DataFrame:
+    """The same page, of a result that is stored once."""
+    rows = details.vulnerability_detail(tables, limit=None)
+    return store_pages(rows, _new_path(tables.spark, "pages"), PAGE_SORT).page(2).drop("row")
+
+
 def _detail_page_after(tables: Tables) -> DataFrame:
     """The page that follows a place deep in the list."""
     columns = ["scan_name", "host_ip", "host_fqdn", "vulnerability_name", "severity", "severity_text", "port"]
@@ -403,6 +410,7 @@ def queries() -> dict[str, Query]:
         "detail_search_all": _report(details.detail_search, "h7.example", limit=1000),
         "detail_column_filter": _report(_detail_filtered),
         "detail_page": _report(_detail_page),
+        "detail_page_stored": _report(_detail_page_stored),
         "detail_page_after": _report(_detail_page_after),
         "turkish_dates": _report(_turkish_dates),
         "run_times": _report(_run_times),

@@ -289,6 +289,8 @@ def reports() -> dict[str, str]:
             WHERE cvss3_base_score >= 5 AND contains(lower(port), 'tcp') AND plugin_family <> 'SMALL'"""),
         "detail_page": over(f"""
             SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")}) {pages} LIMIT 50 OFFSET 100"""),
+        "detail_page_stored": over(f"""
+            SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")}) {pages} LIMIT 50 OFFSET 100"""),
         "detail_page_after": over(f"""
             SELECT {_PAGED}, row_number() OVER (PARTITION BY {_PAGED})::INTEGER AS copy
             FROM ({_DETAIL.format(where="TRUE")})

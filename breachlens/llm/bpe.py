@@ -7,12 +7,14 @@ merges from the latest to the earliest; words with a failing pair are merged exa
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; strings of
 special tokens in a text become their ids, as the library does; ties of merges go to the
-left; repeated rows are encoded one by one; columns besides the id and the text are not read.
+left; repeated rows are encoded one by one; a word may be as long as a text, and takes time in
+proportion to its length but for a logarithm; columns besides the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import zlib
@@ -28,6 +30,8 @@ from breachlens.llm.vocab import (
 )
 
 NEVER = 1 << 40
+#: Words of more symbols are merged with a heap.
+LONG = 200
 NO_MERGE = np.int64(NEVER)
 
 
@@ -103,7 +107,10 @@ class Bpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the earliest merge first, from left to right. A merged token's own
-        merges come later than the one that made it."""
+        merges come later than the one that made it. Long words are merged with a heap, as
+        looking through all pairs for each merge would take the square of their length."""
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         ids, rank = list(ids), self.rank
         ranks = [rank.get(pair, NEVER) for pair in zip(ids, ids[1:])]
         while ranks:
@@ -119,6 +126,30 @@ class Bpe:
                 ranks[at] = rank.get((best, ids[at + 1]), NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of (merge, place) over a linked list; an entry whose pair has
+        changed since is passed over."""
+        ids, rank = list(ids), self.rank
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(rank[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in rank]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j == len(ids) or rank.get((ids[i], ids[j])) != best:
+                continue
+            ids[i], ids[j], after[i] = best, -1, after[j]
+            if after[i] < len(ids):
+                before[after[i]] = i
+                found = rank.get((best, ids[after[i]]))
+                if found is not None:
+                    heapq.heappush(heap, (found, i))
+            if before[i] >= 0:
+                found = rank.get((ids[before[i]], best))
+                if found is not None:
+                    heapq.heappush(heap, (found, before[i]))
+        return [i for i in ids if i >= 0]
+
     def is_reachable(self, token: int) -> bool:
         known = self.reachable.get(token)
         if known is None:

@@ -1,6 +1,7 @@
 """Operators on single texts, against plain loops and the tokenizers library."""
 
 import hashlib
+import time
 import math
 import random
 import re
@@ -60,6 +61,28 @@ def test_encoding_and_decoding_are_those_of_the_library(spark, library):
     assert bpe.round_trip(empty(spark)).collect() == []
 
 
+def test_merging_with_a_heap_is_merging(library, monkeypatch):
+    model, r = bpe.Bpe(vocab.read(vocab.public_path(vocab.WORD_BPE))), random.Random(5)
+    for n in (2, 3, 50, 400):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "theain"):
+            symbols = [model.vocab[r.choice(letters)] for _ in range(n)]
+            monkeypatch.setattr(bpe, "LONG", 1000)
+            want = model.merge(symbols)
+            monkeypatch.setattr(bpe, "LONG", 1)
+            assert model.merge(symbols) == want
+
+
+def test_a_word_of_a_million_letters(spark, library):
+    r = random.Random(6)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(1_000_000))
+    word = re.sub("[0-9]", "q", word)
+    ids = library.encode(word, add_special_tokens=False).ids
+    started = time.time()
+    got = bpe.round_trip(spark.createDataFrame([(1, word)], "doc_id bigint, text string")).first()
+    assert time.time() - started < 60
+    assert (got.n_tokens, got.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_speculation_is_verified_before_it_is_taken(library):
     model = bpe.Bpe(vocab.read(vocab.public_path(vocab.WORD_BPE)))
     sample = ["ththerein", "aaaaaaa", "onheatingly", "eauouon", "zzxqj", "internationalisation", "été"]

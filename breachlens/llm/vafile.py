@@ -13,9 +13,9 @@ row's cells bound its inner product with any query from both sides.
 The sample of SAMPLE rows only sets the borders; every row is indexed, and results are exact.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do
-rows without an id; missing components of shorter vectors count as 0; components are limited to
-2^28 in size, so that a score of up to 64 dimensions fits a long; rows of an id that is repeated
-are all candidates of other ids, and the least of its vectors is the query's; ties go to the smaller id; an empty table
+rows without an id; missing components of shorter vectors count as 0; a component above 2^28 in size
+raises an error, and so do vectors of so many or so large components that a score might not fit a
+long; rows of an id that is repeated are all candidates of other ids, and the least of its vectors is the query's; ties go to the smaller id; an empty table
 gives no rows; columns besides the id and the vector are not read.
 """
 
@@ -35,9 +35,9 @@ LIMIT = 1 << 28
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): valid vectors as integers."""
-    whole = F.transform(vector_col, lambda x: F.greatest(
-        F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * scale))
-    ).cast("int"))
+    whole = F.transform(vector_col, lambda x: F.floor(F.when(
+        F.abs(x.cast("double") * scale) <= F.lit(float(LIMIT)), x.cast("double") * scale
+    ).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("double"))).cast("int"))
     fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("id"), whole.alias("v")
@@ -151,7 +151,10 @@ def search(
     rows = staged(spark, quantised(vectors, id_col, vector_col, scale), "va-rows")
     total = rows.agg(
         F.count("*").alias("n"), F.countDistinct(F.when(is_query, F.col("id"))).alias("q"), F.max(F.size("v")).alias("d"),
+        F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("largest"),
     ).first()
+    if (total["d"] or 0) * (total["largest"] or 0) ** 2 >= 1 << 63:
+        raise ValueError("a score of these vectors might not fit a long")
     dims, n_blocks, n_queries = total["d"] or 1, -(-total["n"] // BLOCK) or 1, -(-total["q"] // QUERIES) or 1
     edges = borders(rows, dims)
     numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))

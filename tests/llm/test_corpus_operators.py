@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -128,6 +129,18 @@ def test_fewer_rows_than_k(spark):
     assert vafile.search(vectors(spark, []), F.col("id") % 20 == 0).collect() == []
 
 
+def test_vectors_too_large_for_exact_scores_are_refused(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    large = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0])], schema)
+    with pytest.raises(Exception, match="too large for exact scores"):
+        vafile.search(large, F.col("id") == 0).collect()
+    many = spark.createDataFrame([(0, [float(1 << 22)] * 200)], schema)
+    with pytest.raises(ValueError, match="fit a long"):
+        vafile.search(many, F.col("id") == 0)
+    right = spark.createDataFrame([(0, [float(1 << 22)] * 60), (1, [float(-(1 << 22))] * 60)], schema)
+    assert [r.score for r in vafile.search(right, F.col("id") == 0).collect()] == [-60 * 2 ** 56]
+
+
 def test_bounds_hold_the_score():
     r = np.random.default_rng(0)
     values = r.integers(-60, 60, (300, 5)).astype(np.int32)

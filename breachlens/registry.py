@@ -15,7 +15,7 @@ from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import latest_runs
 from breachlens.operators.partials import partials
 from breachlens.operators.upsert import upsert, upsert_metrics, versioned_upsert
-from breachlens.plans import details, hierarchies, saved, summaries, tops
+from breachlens.plans import details, filter_table, hierarchies, saved, summaries, tops
 from breachlens.plans import partials as from_partials
 from breachlens.plans.load import FOLDER_COLUMNS, SCAN_COLUMNS, choose_runs, load_pass
 from breachlens.plans.pages import store_pages
@@ -144,6 +144,25 @@ def _saved_filter_counts(tables: Tables) -> DataFrame:
     return saved.saved_filter_counts(tables, filters)
 
 
+def _saved_filter_table(tables: Tables) -> DataFrame:
+    """The same filters as rows: their links are parsed and answered by the job."""
+    links = tables.spark.createDataFrame(list(SAVED_LINKS.items()), "filter_name STRING, link STRING")
+    return filter_table.filter_counts(tables, saved.parsed_links(links).drop("severity_labels"))
+
+
+def _scan_filter_counts(tables: Tables) -> DataFrame:
+    """A filter for every scan: its name, two levels and, of every other scan, a range of ports."""
+    key = F.col("scan_id")
+    filters = tables.scan.select(
+        F.col("scan_id").cast("string").alias("filter_name"),
+        F.array((key % 5).cast("int"), ((key + 2) % 5).cast("int")).alias("severity"),
+        F.col("name").alias("scan_name"), F.lit(None).cast("string").alias("vulnerability_name"),
+        F.when(key % 3 == 0, F.concat(F.lit("10.0."), (key % 4).cast("string"), F.lit("."))).alias("ip_address"),
+        F.when(key % 2 == 0, F.concat(F.lit("22,"), (80 + key % 400).cast("string"), F.lit("-445"))).alias("port"),
+    )
+    return filter_table.filter_counts(tables, filters).drop("severity_labels")
+
+
 def _saved_links(tables: Tables) -> DataFrame:
     """A link for every scan, made and read back."""
     key = F.col("scan_id")
@@ -415,6 +434,8 @@ def queries() -> dict[str, Query]:
         "turkish_dates": _report(_turkish_dates),
         "run_times": _report(_run_times),
         "saved_filter_counts": _report(_saved_filter_counts),
+        "saved_filter_table": _report(_saved_filter_table),
+        "scan_filter_counts": _report(_scan_filter_counts),
         "saved_links": _report(_saved_links),
         "fk_orphans": _report(checks.fk_orphans),
         "pk_duplicates": _report(checks.pk_duplicates),

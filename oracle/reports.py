@@ -313,6 +313,20 @@ def reports() -> dict[str, str]:
             f"COUNT(DISTINCT host_vuln_id) AS finding_count FROM fact WHERE {where}"
             for name, (where, label) in _SAVED.items()
         )),
+        "saved_filter_table": over(" UNION ALL ".join(
+            f"SELECT '{name}' AS filter_name, '{label}' AS severity_labels, "
+            f"COUNT(DISTINCT host_vuln_id) AS finding_count FROM fact WHERE {where}"
+            for name, (where, label) in _SAVED.items()
+        )),
+        "scan_filter_counts": over(r"""
+            SELECT CAST(s.scan_id AS VARCHAR) AS filter_name, COUNT(DISTINCT f.host_vuln_id) AS finding_count
+            FROM scan s LEFT JOIN (
+                SELECT *, CASE WHEN port IS NOT NULL THEN COALESCE(TRY_CAST(regexp_extract(port, '^\s*(\d+)', 1) AS BIGINT), 0) END AS number
+                FROM fact
+            ) f ON f.scan_name ILIKE '%' || s.name || '%' AND f.severity IN (s.scan_id % 5, (s.scan_id + 2) % 5)
+               AND (s.scan_id % 3 <> 0 OR f.host_ip LIKE '%10.0.' || CAST(s.scan_id % 4 AS VARCHAR) || '.%')
+               AND (s.scan_id % 2 <> 0 OR f.number = 22 OR f.number BETWEEN 80 + s.scan_id % 400 AND 445)
+            GROUP BY s.scan_id"""),
         "saved_links": over(r"""
             SELECT scan_id, '/detailed-analysis?' ||
                    CASE WHEN scan_id % 4 = 0 THEN ''

@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 
 from breachlens.operators.filters import FilterSpec
-from breachlens.plans import details, hierarchies, saved, summaries, tops
+from breachlens.plans import details, filter_table, hierarchies, saved, summaries, tops
 from tests.small import joined, make, random_rows
 
 SPECS = [
@@ -229,6 +229,23 @@ def test_saved_filters(spark):
     assert got == {name: distinct(joined(rows, spec)) for name, spec in filters.items()}
 
 
+def test_saved_filters_as_a_table(spark):
+    """Any number of filters, more than a word of a bitmap has bits, with equal and odd ones."""
+    rows = random_rows(3)
+    tables = make(spark, rows, natural=True)
+    specs = [*SPECS, *SPECS, *[FilterSpec(severity=[i % 6], port=f"{i},{20 + i}-{30 + 3 * i}") for i in range(90)]]
+    specs += [FilterSpec(port="30-20"), FilterSpec(scan_name="no such"), FilterSpec(vulnerability_name="100%"), FilterSpec(ip_address="\\")]
+    table = [(f"f{i}", list(s.severity), s.scan_name or "", s.vulnerability_name, s.ip_address, s.port) for i, s in enumerate(specs)]
+    schema = "filter_name STRING, severity ARRAY<INT>, scan_name STRING, vulnerability_name STRING, ip_address STRING, port STRING"
+    got = filter_table.filter_counts(tables, spark.createDataFrame(table, schema))
+    assert {r.filter_name: r.finding_count for r in got.collect()} == {
+        f"f{i}": distinct(joined(rows, spec)) for i, spec in enumerate(specs)
+    }
+    assert filter_table.filter_counts(tables, spark.createDataFrame([], schema)).collect() == []
+    with pytest.raises(Exception, match="not a port"):
+        filter_table.filter_counts(tables, spark.createDataFrame([("x", [], "", "", "", "80-")], schema)).collect()
+
+
 def test_filtered_rows_are_among_all(spark):
     tables = make(spark, random_rows(4), natural=True)
     every = {r.severity: r.finding_count for r in summaries.severity_distribution(tables).collect()}

@@ -13,6 +13,7 @@ from breachlens.functions.scalars import (
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import Scope, findings, matching_outputs, scope, with_outputs
 from breachlens.operators.sizing import FEW_ROWS, broadcast_if
+from breachlens.operators.trigrams import TextIndex, write_index
 from breachlens.sources.tables import Tables
 
 DETAIL_LIMIT = 1000
@@ -142,23 +143,42 @@ _ROW_TEXTS = ("scan_name", "host_ip", "host_fqdn", "port", "scan_date_text")
 _PLUGIN_TEXTS = tuple(c for c in EXTENDED_COLUMNS if c not in (*_ROW_TEXTS, "scan_date"))
 
 
+def _plugin_texts(plugin: DataFrame) -> DataFrame:
+    """The texts of plugins as the detail shows them."""
+    return plugin.select(
+        "plugin_id", "severity", severity_label().alias("severity_text"),
+        vulnerability_name("name").alias("vulnerability_name"), F.col("family").alias("plugin_family"),
+        "cvss3_base_score", "description", "solution", "cvss3_vector", "ref", "pub_date", "mod_date",
+    )
+
+
+def write_search_index(tables: Tables, path: str) -> TextIndex:
+    """An index of all that the detail shows of plugins, for `detail_search`. It is one of these
+    plugins as they are now; a table that has changed needs a new one."""
+    return write_index(_plugin_texts(tables.plugin), path, "plugin_id", *_PLUGIN_TEXTS)
+
+
 def detail_search(
     tables: Tables, term: str, spec: FilterSpec = FilterSpec(), limit: int | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Rows of the extended detail that contain a term in any shown text, in report order.
 
     The term is looked for in all rows; a limit keeps the first hits. Every plugin's texts
-    are searched once, not once per finding, and join the hits last.
+    are searched once, not once per finding, and join the hits last. With an index of the
+    plugins only the texts that may contain the term are read.
     """
     sc = scope(tables, spec)
     rows = with_outputs(_narrow(sc), sc, "port")
     if term:
-        texts = tables.plugin.select(
-            "plugin_id", "severity", severity_label().alias("severity_text"),
-            vulnerability_name("name").alias("vulnerability_name"), F.col("family").alias("plugin_family"),
-            "cvss3_base_score", "description", "solution", "cvss3_vector", "ref", "pub_date", "mod_date",
-        )
-        hits = texts.select("plugin_id", matches_anywhere(term, _PLUGIN_TEXTS).alias("hit"))
+        texts, hit = _plugin_texts(tables.plugin), matches_anywhere(term, _PLUGIN_TEXTS)
+        if index is None:
+            hits = texts.select("plugin_id", hit.alias("hit"))
+        else:
+            found = index.search(texts, [term], hit).select("plugin_id").distinct().withColumn("found", F.lit(True))
+            hits = tables.plugin.select("plugin_id").join(found, "plugin_id", "left").select(
+                "plugin_id", F.coalesce("found", F.lit(False)).alias("hit")
+            )
         dated = rows.withColumn("scan_date_text", turkish_date(F.timestamp_seconds("scan_start")))
         rows = dated.join(hits, "plugin_id").filter(F.col("hit") | matches_anywhere(term, _ROW_TEXTS))
         rows = rows.drop("hit", "scan_date_text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breachlens.functions.scalars import run_time_text, turkish_date, turkish_datetime
-from breachlens.operators import checks, ingest
+from breachlens.operators import checks, ingest, trigrams
 from breachlens.operators.filters import FilterSpec
 from breachlens.operators.findings import latest_runs
 from breachlens.operators.partials import partials
@@ -139,6 +139,22 @@ def _detail_page_after(tables: Tables) -> DataFrame:
     return details.page_after(details.vulnerability_detail(tables, limit=None).select(*columns), last, sort=PAGE_SORT)
 
 
+def _detail_search_indexed(tables: Tables) -> DataFrame:
+    index = details.write_search_index(tables, _new_path(tables.spark, "grams"))
+    return details.detail_search(tables, "Widget", index=index)
+
+
+PATTERNS = ["widget #1", "W_dget%#2", "ii", "%", "small%7", "no such name", "100\\%"]
+
+
+def _name_search(tables: Tables) -> DataFrame:
+    """The plugins whose name matches each pattern, found by an index of names."""
+    index = trigrams.write_index(tables.plugin, _new_path(tables.spark, "names"), "plugin_id", "name")
+    return reduce(DataFrame.union, [
+        index.matching(tables.plugin, "name", p).select(F.lit(p).alias("pattern"), "plugin_id") for p in PATTERNS
+    ])
+
+
 def _saved_filter_counts(tables: Tables) -> DataFrame:
     filters = {name: FilterSpec.from_link(link) for name, link in SAVED_LINKS.items()}
     return saved.saved_filter_counts(tables, filters)
@@ -426,6 +442,8 @@ def queries() -> dict[str, Query]:
         "cvss_band": _report(details.cvss_bands),
         "reference_links": _report(details.reference_links),
         "detail_search": _report(details.detail_search, "Widget"),
+        "detail_search_indexed": _report(_detail_search_indexed),
+        "name_search": _report(_name_search),
         "detail_search_all": _report(details.detail_search, "h7.example", limit=1000),
         "detail_column_filter": _report(_detail_filtered),
         "detail_page": _report(_detail_page),

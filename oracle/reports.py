@@ -283,6 +283,7 @@ def reports() -> dict[str, str]:
                   FROM plugin WHERE ref IS NOT NULL)
             WHERE trim(link) <> ''"""),
         "detail_search": search("widget"),
+        "detail_search_indexed": search("widget"),
         "detail_search_all": search("h7.example", 1000),
         "detail_column_filter": over(f"""
             SELECT {_BASE} FROM ({_DETAIL.format(where="TRUE")})
@@ -318,6 +319,10 @@ def reports() -> dict[str, str]:
             f"COUNT(DISTINCT host_vuln_id) AS finding_count FROM fact WHERE {where}"
             for name, (where, label) in _SAVED.items()
         )),
+        "name_search": over(" UNION ALL ".join(
+            f"SELECT '{p}' AS pattern, plugin_id FROM plugin WHERE name ILIKE '%{p}%' ESCAPE '\\'"
+            for p in ("widget #1", "W_dget%#2", "ii", "%", "small%7", "no such name", "100\\%")
+        )),
         "scan_filter_counts": over(r"""
             SELECT CAST(s.scan_id AS VARCHAR) AS filter_name, COUNT(DISTINCT f.host_vuln_id) AS finding_count
             FROM scan s LEFT JOIN (

@@ -87,6 +87,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+# Distinct words are those of each block of 1,000 words, added up.
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -105,7 +106,7 @@ WITH d AS (
   SELECT d.doc_id, t, lines, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
          len(t) - len(translate(t, '#*$%&|<>', '')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
-         len(list_distinct(w)) AS n_distinct, len(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters,
+         coalesce(list_sum(list_transform(range(0, len(w), 1000), lambda i: len(list_distinct(w[i + 1:i + 1000])))), 0) AS n_distinct, len(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters,
          len(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS capitals
   FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id
 ), b AS (

@@ -1,18 +1,21 @@
 """Operators on single texts, against plain loops and the tokenizers library."""
 
 import hashlib
-import time
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
 from breachlens.llm import bpe, hpylm, licenses, packing, quality, vocab, wordpiece
-from tests.llm.small import empty, frame, lower, texts, words
+from breachlens.llm import registry as llm
+from check import actual, difference, expected
+from tests.llm.small import empty, frame, lower, prose, texts, words
 
 
 def multiset(df):
@@ -156,6 +159,22 @@ def test_the_order_of_rules_does_not_change_the_verdict(spark):
     measured.unpersist()
 
 
+def test_expected_verdicts_of_long_texts(spark):
+    """The expected result judges repetition by blocks, too: in both directions it matters."""
+    r = random.Random(12)
+    few = " ".join(prose(r, 1, 10_000) for _ in range(900))
+    words_ = ["w" + "".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(330)]
+    long = " ".join(r.choice(words_) for _ in range(9000))  # under a fifth in all, over it in each block
+    rows = [(1, few), (2, long), (3, " ".join(r.choice(words_[:90]) for _ in range(3000))), (4, None)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = quality.judge(docs).drop("rejected_by")
+    assert difference(actual(got), expected(db, llm.OP8_SQL)) is None
+    assert {x.doc_id: x.kept for x in got.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_clean_documents_keep_their_columns(spark):
     docs = frame(spark, texts())
     kept = quality.keep_clean(docs)

@@ -19,6 +19,8 @@ from breachlens.operators.filters import contains_text
 
 #: Between the texts of one key, so that no group spans two of them.
 _APART = "\x00"
+#: Characters of the texts that one task takes apart.
+CHARACTERS = 2_000_000
 
 
 def _folded(df: DataFrame, text: str) -> str:
@@ -75,7 +77,11 @@ def postings(texts: DataFrame, key: str, *columns: str) -> DataFrame:
         F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))
     )
     held = texts.select(key, joined.alias("text")).filter(F.length("text") >= 3)
-    every = held.select(key, F.explode(F.array_distinct(grams)).alias("gram")).filter(~F.col("gram").contains(_APART))
+    # A text has far more groups than rows it is read in, so texts are dealt out by their lengths first. The rows
+    # of a key are then together, and no group is shuffled to find the different ones.
+    characters = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = held.repartition(characters // CHARACTERS + 1, key)
+    every = dealt.select(key, F.explode(F.array_distinct(grams)).alias("gram")).filter(~F.col("gram").contains(_APART))
     return every.select("gram", key).distinct()
 
 

@@ -7,6 +7,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from breachlens import session
+from breachlens.operators import trigrams
 from breachlens.plans import filter_table
 from breachlens.plans.load import load_pass
 from breachlens.session import shared_dir, shuffles_dropped
@@ -72,3 +74,39 @@ def test_filters_with_one_condition_share_words(spark):
     )
     words = filter_table._words(filter_table._numbered(filters), F.col("scan_name"))
     assert words.groupBy("condition").count().agg(F.max("count")).first()[0] <= 4
+
+
+@pytest.fixture
+def own_settings(spark):
+    keys = [*session.MOST_BYTES, session._INITIAL, "spark.sql.shuffle.partitions"]
+    before = {key: spark.conf.get(key, None) for key in keys}
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_shuffles_start_from_as_many_partitions_as_the_input_asks_for(spark, tmp_path, own_settings, monkeypatch):
+    (tmp_path / "a").write_bytes(b"x" * 1000)
+    monkeypatch.setattr(session, "INPUT_OF_PARTITION", 10)
+    paths = [str(tmp_path / "a"), str(tmp_path / "none")]
+    session.configure(spark, paths)
+    assert spark.conf.get(session._INITIAL) == "100"
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    session.configure(spark, paths)
+    assert spark.conf.get(session._INITIAL, None) is None
+
+
+def test_tasks_are_given_no_more_than_the_session_allows(spark, own_settings):
+    key, other = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "1m")
+    spark.conf.set(other, "64MB")
+    session.configure(spark)
+    assert (spark.conf.get(key), spark.conf.get(other)) == ("1m", "16m")
+
+
+def test_texts_are_dealt_out_by_their_lengths(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "CHARACTERS", 100)
+    texts = spark.range(100).selectExpr("id % 90 key", "'text number ' || id t")
+    found = trigrams.postings(texts, "key", "t")
+    assert found.rdd.getNumPartitions() >= 13
+    assert found.count() == found.distinct().count()

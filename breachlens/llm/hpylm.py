@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breachlens.llm.common import arrow_schema, as_batch, lower_bytes, released, staged
+from breachlens.llm.common import arrow_schema, as_batch, discard, lower_bytes, released, staged
 from breachlens.llm.seating import discount_of, seated
 
 #: Tokens of a unit of documents, which has one list.
@@ -75,6 +75,17 @@ def predictive(c, t, discount, customers, tables, parent):
     return (c - discount * t + (STRENGTH + discount * tables) * parent) / (STRENGTH + customers)
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and for each value its number among them: np.unique with less memory."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    numbers = np.empty(len(values), np.int32)
+    numbers[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values[new], numbers
+
+
 class Unit:
     """Documents with one list of words in contexts."""
 
@@ -93,38 +104,47 @@ class Unit:
     def add(self, text: str | None, out: bool) -> None:
         words = lower_bytes(text).split()
         words.append(b"")
-        self.docs.append(np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.docs.append(np.fromiter(map(self.places.__getitem__, words), dtype=np.int32, count=len(words)))
         self.out.append(out)
         self.size += len(words)
 
-    def listed(self):
-        """(pairs, tokens): the pairs of a context and a word as ascending codes of their places,
-        and for each token its number among them."""
-        flat = np.concatenate(self.docs)
-        before = np.concatenate([[0], flat[:-1]])  # every document ends with the empty word
-        pairs, tokens = np.unique(before << PLACE_BITS | flat, return_inverse=True)
-        return pairs, tokens
-
-    def document_tokens(self):
-        _, tokens = self.listed()
+    def listed(self, parts: int):
+        """(contexts, words, cuts, tokens): the pairs of a context and a word by part and, within one,
+        in order of word and context, where each part begins and ends, and for each token its
+        number among them."""
+        hashes = np.fromiter(map(word_hash, self.places), dtype=np.uint64, count=len(self.places))
+        known, rank = np.unique(hashes, return_inverse=True)
+        pairs, tokens = numbered(self._codes(rank))
+        contexts = known[pairs & ((1 << PLACE_BITS) - 1)] | CONTEXT
+        words = known[pairs >> PLACE_BITS]
+        part = (pair_hash(contexts, words) >> np.uint64(20)) % np.uint64(parts)
+        part = part.astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers are sorted faster
+        order = np.argsort(part, kind="stable")
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
+        return contexts[order], words[order], np.searchsorted(part[order], np.arange(parts + 1)), at[tokens]
+
+    def _codes(self, rank: np.ndarray) -> np.ndarray:
+        """For each token the ranks of its word and its context as one number."""
+        flat = rank[np.concatenate(self.docs)]
+        codes = flat << PLACE_BITS
+        codes[:1] |= rank[0]  # every document ends with the empty word, which has place 0
+        codes[1:] |= flat[:-1]
+        return codes
+
+    def document_tokens(self, parts: int):
+        tokens = self.listed(parts)[-1]
         ends = np.cumsum([len(d) for d in self.docs])
-        return [tokens[a:b].astype(np.int32) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return [tokens[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def dealt(self, parts: int):
-        """(part, contexts, words, numbers of the pairs, training counts)."""
-        pairs, tokens = self.listed()
+        """(part, number of its first pair, contexts, words, training counts)."""
+        contexts, words, cuts, tokens = self.listed(parts)
         trained = ~np.repeat(np.array(self.out, dtype=bool), [len(d) for d in self.docs])
-        counts = np.bincount(tokens[trained], minlength=len(pairs)).astype(np.int32)
-        hashes = np.fromiter(map(word_hash, self.places), dtype=np.uint64, count=len(self.places))
-        contexts = hashes[pairs >> PLACE_BITS] | CONTEXT
-        words = hashes[pairs & ((1 << PLACE_BITS) - 1)]
-        part = ((pair_hash(contexts, words) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        for k in range(parts):
-            own = order[cuts[k]:cuts[k + 1]]
-            if len(own):
-                yield k, contexts[own], words[own], own.astype(np.int32), counts[own]
+        counts = np.bincount(tokens[trained], minlength=len(words)).astype(np.int32)
+        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+            if a < b:
+                yield k, a, contexts[a:b], words[a:b], counts[a:b]
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, ddl: str, emit) -> DataFrame:
@@ -149,32 +169,32 @@ def _units(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, d
 
 
 def _lists(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, parts: int) -> DataFrame:
-    ddl = "unit bigint, part int, contexts binary, words binary, numbers binary, counts binary"
+    ddl = "unit bigint, part int, start bigint, contexts binary, words binary, counts binary"
     schema = arrow_schema(ddl)
 
     def emit(number, unit, ids):
-        for part, contexts, words, numbers, counts in unit.dealt(parts):
-            # Pairs lie in order of their context's place, so that one context's are neighbours.
-            yield as_batch(dict(zip(schema.names, [[number], [part], *([packed(a)] for a in (
-                contexts, words, np.diff(numbers, prepend=np.int32(0)), counts
-            ))])), schema)
+        for part, start, *pairs in unit.dealt(parts):
+            yield as_batch(dict(zip(schema.names, [[number], [part], [start], *([packed(a)] for a in pairs)])), schema)
 
     return _units(docs, id_col, text_col, folds, held, ddl, emit)
 
 
 def packed(array: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all numbers before the second ones, and so on: high bytes are mostly the same."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array).tobytes())
+    planes = np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpacked(blob: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
+def _documents(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, parts: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"unit bigint, doc_id {kind}, held_out boolean, tokens binary"
     schema = arrow_schema(ddl)
@@ -183,7 +203,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str, folds: int, held: in
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        blobs = [squeeze(t.tobytes()) for t in unit.document_tokens()]
+        blobs = [squeeze(t.tobytes()) for t in unit.document_tokens(parts)]
         for a in range(0, len(ids), 1000):
             yield as_batch({
                 "unit": [number] * len(ids[a:a + 1000]), "doc_id": pa.array([i.as_py() for i in ids[a:a + 1000]], schema.field("doc_id").type),
@@ -209,28 +229,36 @@ def _by(column: str, batches):
 
 def _parts(lists: DataFrame, owners: int) -> DataFrame:
     """A row for each part: (part, once, twice, keys, ends, contexts, words, counts, units, sizes,
-    which, numbers): its contexts and words by owner, where each owner's end, which of them make
-    up each pair, the pairs' training counts, and which pair has which number in which unit."""
+    starts, which): its contexts and words by owner, where each owner's end, which of them make
+    up each pair, the pairs' training counts, and for each unit how many pairs it has, the number
+    there of the first, and which they are, as differences. All lists of pairs are in order of word
+    and context, so that equal words are neighbours and differences are small."""
     ddl = ("part int, once bigint, twice bigint, keys binary, ends binary, contexts binary, words binary, "
-           "counts binary, units binary, sizes binary, which binary, numbers binary")
+           "counts binary, units binary, sizes binary, starts binary, which binary")
     schema = arrow_schema(ddl)
 
     def task(batches):
         for part, rows in _by("part", batches):
-            contexts, words = (np.concatenate([unpacked(r[k], np.uint64) for r in rows]) for k in ("contexts", "words"))
-            numbers = [unpacked(r["numbers"], np.int32) for r in rows]
+            contexts, words = ([unpacked(r[k], np.uint64) for r in rows] for k in ("contexts", "words"))
+            sizes = np.array([len(w) for w in words], np.int64)
             counts = np.concatenate([unpacked(r["counts"], np.int32) for r in rows])
-            _, first, which = np.unique(pair_hash(contexts, words), return_index=True, return_inverse=True)
+            contexts, context = np.unique(np.concatenate(contexts), return_inverse=True)
+            # With return_index the sort is stable, which merges lists that are in order already.
+            words, _, word = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+            _, first, which = np.unique(word << PLACE_BITS | context, return_index=True, return_inverse=True)
             counts = np.bincount(which, weights=counts, minlength=len(first)).astype(np.int64)
-            keys, places = np.unique(np.concatenate([contexts[first], words[first]]), return_inverse=True)
+            keys = np.concatenate([contexts, words])
             owner = ((keys >> np.uint64(20)) % np.uint64(owners)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
             at = np.empty(len(keys), np.int32)
             at[order] = np.arange(len(keys), dtype=np.int32)
+            ends = np.cumsum(sizes)
+            steps = np.diff(which, prepend=0).astype(np.int32)
+            steps[ends - sizes] = which[ends - sizes]
             yield as_batch(dict(zip(schema.names, [[part], [int((counts == 1).sum())], [int((counts == 2).sum())], *([packed(a)] for a in (
-                keys[order], np.cumsum(np.bincount(owner, minlength=owners)), at[places[:len(first)]], at[places[len(first):]],
-                counts, np.array([r["unit"] for r in rows], np.int64), np.array([len(n) for n in numbers], np.int64),
-                which.astype(np.int32), np.concatenate(numbers),
+                keys[order], np.cumsum(np.bincount(owner, minlength=owners)), at[context[first]], at[len(contexts) + word[first]],
+                counts, np.array([r["unit"] for r in rows], np.int64), sizes,
+                np.array([r["start"] for r in rows], np.int64), steps,
             ))])), schema)
 
     return lists.repartition(owners, "part").sortWithinPartitions("part").mapInArrow(task, ddl)
@@ -325,17 +353,28 @@ class Part:
         return (np.bincount(self.context, values, n) + np.bincount(self.word, values, n)).astype(np.int64)
 
 
-def _totals_of(rows: list[dict], last: int) -> list:
+def _totals_of(rows: list[dict], last: int, keys: np.ndarray) -> list:
     """For each sweep from 0 to `last`, and then for the training counts as they are, the totals by
     key as (customers, tables) of words in the restaurant of all words; of contexts both are their
-    tables, or their customers in the last one. Those that no row has are left out."""
+    tables, or their customers in the last one. Those that no row has are left out. Rows hold tables
+    of words alone, and none of the training counts."""
     found: list = [None] * (last + 2)
     for row in sorted(rows, key=lambda r: r["owner"]):
         at = row["sweep"]
         found[at] = found[at] or ([], [])
         for into, name in zip(found[at], ("first", "second")):
-            into.append(unpacked(row[name], np.int64))
-    return [f and tuple(np.concatenate(x) for x in f) for f in found]
+            if row[name] is not None:
+                into.append(unpacked(row[name], np.int64))
+    is_word = (keys & CONTEXT) == 0
+
+    def filled(first: list, second: list):
+        customers = np.concatenate(first)
+        tables = customers.copy()
+        if second:
+            tables[is_word] = np.concatenate(second)
+        return customers, tables
+
+    return [f and filled(*f) for f in found]
 
 
 TOTALS = "sweep int, part int, owner int, first binary, second binary, customers bigint, tables bigint, once bigint, twice bigint"
@@ -349,7 +388,7 @@ def _sent(parts: DataFrame, totals: DataFrame | None, model: dict, number: int)
 
     def batches_of(row: dict, rows: list[dict]):
         own = Part(row, model)
-        tables = own.summed(own.seat(number, _totals_of(rows, number)))
+        tables = own.summed(own.seat(number, _totals_of(rows, number, own.keys)))
         counts = own.summed(own.c) if not number else None
         cuts = [0, *own.ends.tolist()]
         for owner, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -402,12 +441,11 @@ def _owned(sent: DataFrame, owners: int, model: dict, number: int, last: int) ->
             for r, a, b in zip(rows, cuts.tolist(), cuts[1:].tolist()):
                 own = places[a:b]
                 yield as_batch(dict(zip(schema.names, [
-                    [number], [r["part"]], [owner], [packed(first[own])], [packed(second[own])], *[[None]] * 4
+                    [number], [r["part"]], [owner], [packed(first[own])], [packed(second[own[is_word[own]]])], *[[None]] * 4
                 ])), schema)
                 if counts is not None:
-                    blob = packed(counts[own])
                     yield as_batch(dict(zip(schema.names, [
-                        [last + 1], [r["part"]], [owner], [blob], [blob], *[[None]] * 4
+                        [last + 1], [r["part"]], [owner], [packed(counts[own])], [None], *[[None]] * 4
                     ])), schema)
             n = 0 if counts is None else int(counts[is_word].sum())
             yield as_batch(dict(zip(schema.names, [
@@ -422,27 +460,29 @@ def _owned(sent: DataFrame, owners: int, model: dict, number: int, last: int) ->
 
 
 def _returned(parts: DataFrame, totals: DataFrame, model: dict, sweeps: int, burn_in: int) -> DataFrame:
-    """(unit, numbers, counts, logs): for each unit the pairs' words' counts and, averaged over
-    the sweeps after the burn-in, the logarithms of the pairs' probabilities."""
-    ddl = "unit bigint, numbers binary, counts binary, logs binary"
+    """(unit, start, counts, logs): for each unit, from the pair of number `start` on, the pairs'
+    words' counts and, averaged over the sweeps after the burn-in, the logarithms of the pairs'
+    probabilities."""
+    ddl = "unit bigint, start bigint, counts binary, logs binary"
     schema = arrow_schema(ddl)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         for row in left.to_pylist():
-            own, held = Part(row, model), _totals_of(right.to_pylist(), sweeps)
+            own = Part(row, model)
+            held = _totals_of(right.to_pylist(), sweeps, own.keys)
             mean = np.zeros(len(own.c))
             for number in range(1, sweeps + 1):
                 if number > burn_in:
                     mean += own.leaves(number, held, own.seat(number, held))
             logs = np.log10(mean / (sweeps - burn_in)).astype(np.float32)
             counts = held[-1][0][own.word]
-            which, numbers = unpacked(row["which"], np.int32), unpacked(row["numbers"], np.int32)
+            steps = unpacked(row["which"], np.int32)
             at = 0
-            for unit, n in zip(unpacked(row["units"], np.int64).tolist(), unpacked(row["sizes"], np.int64).tolist()):
-                pairs = which[at:at + n]
+            for unit, n, start in zip(*(unpacked(row[k], np.int64).tolist() for k in ("units", "sizes", "starts"))):
+                pairs = np.cumsum(steps[at:at + n])
                 found.append(as_batch(dict(zip(schema.names, [
-                    [unit], [packed(numbers[at:at + n])], [packed(counts[pairs])], [packed(logs[pairs])]
+                    [unit], [start], [packed(counts[pairs])], [packed(logs[pairs])]
                 ])), schema))
                 at += n
         return pa.Table.from_batches(found, schema)
@@ -466,7 +506,7 @@ def score(
     single = parts.agg(F.sum("once"), F.sum("twice")).first()
     model = {"words": 1, "d0": 0.5, "d1": discount_of(single[0] or 0, single[1] or 0), "history": []}
     total = types = 0
-    held_totals = None
+    held_totals, written = None, [parts]
     for number in range(sweeps + 1):
         with released(spark):
             new = staged(spark, _owned(_sent(parts, held_totals, model, number), buckets, model, number, sweeps), "lm-totals")
@@ -478,9 +518,12 @@ def score(
             model |= {"words": types + 1, "d0": discount_of(sums[0]["once"], sums[0]["twice"])}
         model = model | {"history": [*model["history"], (sums[number]["customers"], sums[number]["tables"]) if sums else (0, 0)]}
         held_totals = new if held_totals is None else held_totals.union(new)
+        written.append(new)
     with released(spark):
         back = staged(spark, _returned(parts, held_totals, model, sweeps, burn_in), "lm-back")
-    documents = _documents(docs, id_col, text_col, folds, held)
+    for frame in written:
+        discard(spark, frame)
+    documents = _documents(docs, id_col, text_col, folds, held, buckets)
     kind = documents.schema["doc_id"].dataType.simpleString()
     ddl = (f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
            "base_score double, score double")
@@ -491,14 +534,14 @@ def score(
         import zstandard
 
         expand = zstandard.ZstdDecompressor().decompress
-        parts = [(
-            np.cumsum(np.frombuffer(expand(n), np.int32), dtype=np.int64),
-            np.frombuffer(expand(c), np.int64), np.frombuffer(expand(g), np.float32),
-        ) for n, c, g in zip(*(lists.column(k).to_pylist() for k in ("numbers", "counts", "logs")))]
-        size = 1 + max((int(p[0][-1]) for p in parts), default=0)
+        parts = [
+            (start, unpacked(c, np.int64), unpacked(g, np.float32))
+            for start, c, g in zip(*(lists.column(k).to_pylist() for k in ("start", "counts", "logs")))
+        ]
+        size = max((start + len(c) for start, c, _ in parts), default=1)
         counts, logs = np.zeros(size, np.int64), np.zeros(size)
-        for number, c, log in parts:
-            counts[number], logs[number] = c, log
+        for start, c, log in parts:
+            counts[start:start + len(c)], logs[start:start + len(c)] = c, log
         known, plain = counts > 0, np.log10(counts + 1.0) - base
         out: list[list] = [[] for _ in range(5)]
         for tokens in texts.column("tokens").to_pylist():

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ import pytest
 
 from breachlens.llm import bpe, hpylm, licenses, packing, quality, vocab, wordpiece
 from breachlens.llm import registry as llm
+from breachlens.session import shared_dir
 from check import actual, difference, expected
 from tests.llm.small import empty, frame, lower, prose, texts, words
 
@@ -377,3 +379,25 @@ def test_scores_are_those_of_contexts_of_whole_words(spark, monkeypatch):
     doc = next(i for i in range(600, 614) if held[i])
     waves, plays = (x for i, x in found if i == str(doc))
     assert plays > waves + 0.5
+
+
+def test_lists_of_pairs_take_few_bytes(spark):
+    """Numbers need no list of their own, equal words are neighbours, and what was seated goes."""
+    unit = hpylm.Unit()
+    for i in range(400):
+        unit.add(prose(random.Random(i), 100), i % 7 == 2)
+    dealt = list(unit.dealt(4))
+    at = 0
+    for _, start, contexts, learned, counts in dealt:
+        assert start == at and len(contexts) == len(learned) == len(counts)
+        order = list(zip(learned.tolist(), contexts.tolist()))
+        assert order == sorted(set(order))
+        assert (hpylm.unpacked(hpylm.packed(contexts), np.uint64) == contexts).all()
+        at += len(learned)
+    assert sorted({n for t in unit.document_tokens(4) for n in t.tolist()}) == list(range(at))
+    assert len(hpylm.unpacked(hpylm.packed(np.zeros(0, np.int64)), np.int64)) == 0
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "llm"
+    before = set(folder.glob("lm-*"))
+    hpylm.score(frame(spark, texts())).collect()
+    left = {f.name.rpartition("-")[0] for f in set(folder.glob("lm-*")) - before}
+    assert left == {"lm-back"}

@@ -54,6 +54,8 @@ SHORT = 256
 #: compared, hubs of a list in each, and rows of a list for which that is worth while. They spare
 #: work and change no result.
 ROUNDS, HUBS, LONG = 4, 6, 64
+#: Lists of LONG rows and more that a row names, those of the smallest shingles, so that a pair is made in one.
+LEADS = 4
 #: Pairs that are looked at together.
 PAIRS = 250_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -375,9 +377,16 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame, percent: int, round_: int) -
 
 
 def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b): possible pairs of a list whose groups lie in different components.
+    """(a, b): possible pairs of a list whose groups lie in different components."""
+    return _met(lists, labels, sketches, percent).distinct()
 
-    A long list is cut into blocks, and each pair of blocks is a task's work of its own."""
+
+def _met(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """As _across, but a pair may come from several tasks.
+
+    A long list is cut into blocks, and each pair of blocks is a task's work of its own. Near copies share
+    many long lists, so each group names its first LEADS of them, and a pair that shares one of these is left
+    to the first one shared: a pair that links passes all filters in any list it shares."""
     small_ddl = "rid bigint, sketch binary"
     small_schema = arrow_schema(small_ddl)
 
@@ -394,23 +403,30 @@ def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
     sizes = labelled.groupBy("token").agg(
         F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"),
     ).where(F.col("lo") != F.col("hi")).select("token", "m")
+    leads = labelled.join(sizes.where(F.col("m") >= LONG), "token").groupBy("rid").agg(
+        F.slice(F.sort_array(F.collect_list("token")), 1, LEADS).alias("leads")
+    )
+    carried = known.select("rid", "sketch").hint("merge").join(leads, "rid", "left")
+    # What is missing is the list's own shingle, which is before none.
+    named = [f"lead{k}" for k in range(LEADS)]
+    lead = [F.coalesce(F.when(F.col("m") >= LONG, F.get("leads", F.lit(k))), "token").alias(c) for k, c in enumerate(named)]
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
-    dealt = labelled.hint("merge").join(sizes, "token").hint("merge").join(known.select("rid", "sketch"), "rid").select(
-        "token", "rid", "n", "pos", "label", "sketch", own.alias("own"), blocks.alias("blocks"),
+    dealt = labelled.hint("merge").join(sizes, "token").hint("merge").join(carried, "rid").select(
+        "token", "rid", "n", "pos", "label", "sketch", own.alias("own"), blocks.alias("blocks"), *lead,
     ).select(
-        "token", "rid", "n", "pos", "label", "sketch", "own",
+        "token", "rid", "n", "pos", "label", "sketch", "own", *named,
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
         "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "rid", "n", "pos", "label", "own", "sketch",
+        "rid", "n", "pos", "label", "own", "sketch", *named,
     )
     ddl = "a bigint, b bigint"
     schema = arrow_schema(ddl)
 
     def pairs(rows, new):
         """Of whole lists: every row with the later rows of its list, in bounded portions."""
-        _, i, j, rid, n, pos, label, own, sketch = rows
+        token, i, j, rid, n, pos, label, own, sketch, lead = rows
         count = len(rid)
         stops = np.append(np.flatnonzero(new)[1:], count)[np.cumsum(new) - 1]
         partners = stops - np.arange(count) - 1
@@ -429,6 +445,9 @@ def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
             left, right = left[good], right[good]
             apart = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64)
             good = close(apart, n[left].astype(np.int64), n[right].astype(np.int64), percent)
+            left, right = left[good], right[good]
+            before = (lead[left][:, :, None] == lead[right][:, None, :]).any(axis=2) & (lead[left] < token[left][:, None])
+            good = ~before.any(axis=1)
             if good.any():
                 a, b = rid[left[good]], rid[right[good]]
                 yield np.stack([np.maximum(a, b), np.minimum(a, b)])
@@ -439,7 +458,10 @@ def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [*(batch.column(k).to_numpy() for k in range(8)), smallest(batch.column(8))]
+            rows = [
+                *(batch.column(k).to_numpy() for k in range(8)), smallest(batch.column(8)),
+                np.stack([batch.column(9 + k).to_numpy() for k in range(LEADS)], axis=1),
+            ]
             if rest is not None:
                 rows = [np.concatenate([r, c]) for r, c in zip(rest, rows)]
             token, i, j = rows[:3]
@@ -471,7 +493,7 @@ def _across(lists: DataFrame, labels: DataFrame, sketches: DataFrame, percent: i
             yield as_batch({"a": pa.array(both[0]), "b": pa.array(both[1])}, schema)
 
     sorted_rows = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return sorted_rows.mapInArrow(task, ddl).distinct()
+    return sorted_rows.mapInArrow(task, ddl)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:

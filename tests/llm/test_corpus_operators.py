@@ -292,6 +292,22 @@ def test_links_between_components_are_not_lost(spark):
     assert multiset(got) == Counter(components(rows, 2, 80))
 
 
+def test_pairs_of_many_long_lists_are_made_once(spark):
+    """80 groups apart that share 12 lists: a pair comes from one of the lists and not from each."""
+    sketch = jaccard.odd_sketch(np.arange(40, dtype=np.uint64))
+    lists = spark.range(80 * 12).selectExpr("7 + id % 12 token", "id DIV 12 rid", "40 n", "CAST(id % 12 AS INT) pos").repartition(4)
+    sketches = spark.createDataFrame([(i, 40, sketch) for i in range(80)], "rid bigint, n bigint, sketch binary")
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "node bigint, label bigint")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that lists lie in different tasks
+    try:
+        made = Counter((r.a, r.b) for r in jaccard._met(lists, labels, sketches, 80).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert set(made) == {(a, b) for a in range(80) for b in range(a)} - {(1, 0)}
+    assert set(made.values()) == {1}
+
+
 def test_one_document_of_each_component_stays(spark):
     rows = texts()
     docs = frame(spark, rows, 1)

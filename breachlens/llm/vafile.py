@@ -7,6 +7,8 @@ row's cells bound its inner product with any query from both sides.
 
 1. Queries, in blocks too, meet the cells of every block. The k largest lower bounds of a query
    over all blocks give a threshold that its kth result cannot fall below.
+   Blocks meet where they are read: few queries are broadcast, many are read by each task that needs
+   them. Neither side is copied into a shuffle or a broadcast once for each block of the other.
 2. Rows whose upper bound reaches the threshold are looked at exactly, in falling order of upper
    bounds, until the kth score so far is above the next bound.
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from breachlens.llm.common import arrow_schema, as_batch, staged
 
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 8192, 8192
+#: Queries of a block whose bounds are held at once.
+STEP = 512
 SAMPLE, CELLS = 10_000, 32
 LIMIT = 1 << 28
 
@@ -45,8 +49,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
 
 def borders(rows: DataFrame, dims: int) -> np.ndarray:
-    """Cell borders of each dimension: quantiles over a sample."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
+    """Cell borders of each dimension: quantiles over a sample. It is written first, as the driver
+    would else get the first SAMPLE rows of every task."""
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v")
+    sample = staged(rows.sparkSession, chosen, "va-sample").toPandas()["v"]
     values = np.zeros((len(sample), dims))
     for i, v in enumerate(sample):
         values[i, :len(v)] = v
@@ -122,24 +128,42 @@ def _approximated(blocks: DataFrame, dims: int, edges: np.ndarray) -> DataFrame:
     return blocks.select("block", "ids", "exact").mapInArrow(task, ddl)
 
 
-def _bounds(queries: np.ndarray, cells: bytes, low: bytes, high: bytes, dims: int):
-    """Lower and upper bounds of all inner products, with room for rounding."""
+def _spans(cells: bytes, low: bytes, high: bytes, dims: int):
+    """Middles and half widths of the rows' cells, a column for each row, and the largest size of a
+    component. Halves of whole numbers are exact."""
     codes = np.frombuffer(cells, dtype=np.uint8).reshape(-1, dims)
     every = np.arange(dims)
     lo = np.frombuffer(low, dtype=np.int32).reshape(dims, CELLS)[every, codes].astype(np.float64)
     hi = np.frombuffer(high, dtype=np.int32).reshape(dims, CELLS)[every, codes].astype(np.float64)
-    up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
-    room = (np.abs(queries).sum(axis=1) * max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0)) * 1e-13)[:, None]
-    return up @ lo.T + down @ hi.T - room, up @ hi.T + down @ lo.T + room
+    return ((lo + hi) / 2).T, ((hi - lo) / 2).T, max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0))
 
 
-def _met(blocks: DataFrame, queries: DataFrame, n_blocks: int, n_queries: int, columns: list[str]) -> DataFrame:
-    """Each block of queries beside each block of rows: the stated queries against all rows."""
-    left = blocks.select("block", *columns, F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qblock"))
-    right = queries.withColumnsRenamed({"ids": "qids", "exact": "qexact"}).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    return left.join(right, ["block", "qblock"])
+def _within(queries: np.ndarray, middles: np.ndarray, halves: np.ndarray, largest: float):
+    """Lower and upper bounds of all inner products, with room for rounding."""
+    sizes = np.abs(queries).astype(np.float64)
+    at, reach = queries.astype(np.float64) @ middles, sizes @ halves
+    reach += (sizes.sum(axis=1) * largest * 1e-13)[:, None]
+    return at - reach, at + reach
+
+
+def _bounds(queries: np.ndarray, cells: bytes, low: bytes, high: bytes, dims: int):
+    return _within(queries, *_spans(cells, low, high, dims))
+
+
+def _met(blocks: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """Each block of queries beside each block of rows: the stated queries against all rows.
+
+    A product of the two, without a key: joined by their numbers, each block of queries would be
+    broadcast, or each block of rows shuffled, as often as there are blocks of the other.
+    """
+    return blocks.select(*columns).crossJoin(queries.withColumnsRenamed({"ids": "qids", "exact": "qexact"}))
+
+
+def _pairs(batches):
+    """The rows of batches, one at a time, as buffers that are not copied."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_buffer() for c in batch.columns]
 
 
 def search(
@@ -168,19 +192,21 @@ def search(
     first_schema = arrow_schema(first_ddl)
 
     def lower_bounds(batches):
-        for batch in batches:
-            for ids, cells, low, high, qids, q in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, qids = np.frombuffer(ids, dtype=np.int64), np.frombuffer(qids, dtype=np.int64)
-                queries = np.frombuffer(q, dtype=np.int32).reshape(-1, dims).astype(np.int64)
-                bound, _ = _bounds(queries, cells, low, high, dims)
-                bound[qids[:, None] == ids[None, :]] = -np.inf
+        for ids, cells, low, high, qids, q in _pairs(batches):
+            ids, qids = np.frombuffer(ids, dtype=np.int64), np.frombuffer(qids, dtype=np.int64)
+            queries = np.frombuffer(q, dtype=np.int32).reshape(-1, dims)
+            spans = _spans(cells, low, high, dims)
+            for start in range(0, len(qids), STEP):
+                some = qids[start:start + STEP]
+                bound, _ = _within(queries[start:start + STEP].astype(np.int64), *spans)
+                bound[some[:, None] == ids[None, :]] = -np.inf
                 best = bound if len(ids) <= k else -np.partition(-bound, k - 1, axis=1)[:, :k]
-                query = np.repeat(qids, best.shape[1])
+                query = np.repeat(some, best.shape[1])
                 flat = best.ravel()
                 keep = np.isfinite(flat)
                 yield as_batch({"query_id": pa.array(query[keep]), "bound": pa.array(flat[keep])}, first_schema)
 
-    met = _met(blocks, wanted, n_blocks, n_queries, ["ids", "cells", "low", "high"])
+    met = _met(blocks, wanted, ["ids", "cells", "low", "high"])
     bounds = met.select("ids", "cells", "low", "high", "qids", "qexact").mapInArrow(lower_bounds, first_ddl)
     of_query = Window.partitionBy("query_id")
     thresholds = bounds.withColumn("at", F.row_number().over(of_query.orderBy(F.desc("bound")))).where(
@@ -195,32 +221,36 @@ def search(
     schema = arrow_schema(ddl)
 
     def exact(batches):
-        for batch in batches:
-            for ids, cells, low, high, rows_, qids, q, least in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, qids = np.frombuffer(ids, dtype=np.int64), np.frombuffer(qids, dtype=np.int64)
-                values = np.frombuffer(rows_, dtype=np.int32).reshape(-1, dims)
-                queries = np.frombuffer(q, dtype=np.int32).reshape(-1, dims).astype(np.int64)
-                least = np.frombuffer(least, dtype=np.float64)
-                _, upper = _bounds(queries, cells, low, high, dims)
+        for ids, cells, low, high, rows_, qids, q, least in _pairs(batches):
+            ids, qids = np.frombuffer(ids, dtype=np.int64), np.frombuffer(qids, dtype=np.int64)
+            values = np.frombuffer(rows_, dtype=np.int32).reshape(-1, dims)
+            every = np.frombuffer(q, dtype=np.int32).reshape(-1, dims)
+            least = np.frombuffer(least, dtype=np.float64)
+            spans = _spans(cells, low, high, dims)
+            for start in range(0, len(qids), STEP):
+                queries = every[start:start + STEP].astype(np.int64)
+                _, upper = _within(queries, *spans)
+                reach = upper >= least[start:start + STEP, None]
                 out = []
-                for i, query in enumerate(queries):
-                    near = np.flatnonzero((upper[i] >= least[i]) & (ids != qids[i]))
+                for i in np.flatnonzero(reach.any(axis=1)):
+                    query, number = queries[i], qids[start + i]
+                    near = np.flatnonzero(reach[i] & (ids != number))
                     near = near[np.argsort(-upper[i][near], kind="stable")]
                     scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
-                    for start in range(0, len(near), 128):
-                        if len(scores) >= k and scores[k - 1] > upper[i][near[start]]:
+                    for first in range(0, len(near), 128):
+                        if len(scores) >= k and scores[k - 1] > upper[i][near[first]]:
                             break  # the kth result is certain
-                        part = near[start:start + 128]
+                        part = near[first:first + 128]
                         scores = np.concatenate([scores, values[part].astype(np.int64) @ query])
                         found = np.concatenate([found, ids[part]])
                         best = np.lexsort((found, -scores))[:k]
                         scores, found = scores[best], found[best]
-                    out.append((np.full(len(found), qids[i]), found, scores))
+                    out.append((np.full(len(found), number), found, scores))
                 if out:
                     a, b, c = (np.concatenate(x) for x in zip(*out))
                     yield as_batch({"query_id": pa.array(a), "id": pa.array(b), "score": pa.array(c)}, schema)
 
-    met = _met(blocks, wanted, n_blocks, n_queries, ["ids", "cells", "low", "high", "exact"])
+    met = _met(blocks, wanted, ["ids", "cells", "low", "high", "exact"])
     scored = met.select("ids", "cells", "low", "high", "exact", "qids", "qexact", "threshold").mapInArrow(exact, ddl)
     best = of_query.orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(

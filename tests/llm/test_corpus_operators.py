@@ -121,6 +121,25 @@ def test_top_k_is_exact(spark, monkeypatch, block, queries):
     assert multiset(got) == best(rows, 20, 7)
 
 
+def test_blocks_meet_without_copies_of_either_side(spark, monkeypatch):
+    """Queries were broadcast once for each block of rows, which broke the driver on large tables."""
+    monkeypatch.setattr(vafile, "BLOCK", 40)
+    monkeypatch.setattr(vafile, "QUERIES", 3)
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 0.2) for _ in range(8)]) for i in range(400)]
+    from pyspark.sql import functions as F
+
+    got = vafile.search(vectors(spark, rows), F.col("id") % 20 == 0, k=7)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert multiset(got) == best(rows, 20, 7)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # neither side is small
+    try:
+        assert multiset(vafile.search(vectors(spark, rows), F.col("id") % 20 == 0, k=7)) == best(rows, 20, 7)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_fewer_rows_than_k(spark):
     from pyspark.sql import functions as F
 

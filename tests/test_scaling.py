@@ -13,7 +13,7 @@ from breachlens.plans import filter_table
 from breachlens.plans.load import load_pass
 from breachlens.session import shared_dir, shuffles_dropped
 from breachlens.sources import sample_landing
-from breachlens.sources.landing import read_landing
+from breachlens.sources.landing import read_landing, read_payloads, read_payloads_of
 from breachlens.sources.store import Store
 
 
@@ -110,3 +110,80 @@ def test_texts_are_dealt_out_by_their_lengths(spark, monkeypatch):
     found = trigrams.postings(texts, "key", "t")
     assert found.rdd.getNumPartitions() >= 13
     assert found.count() == found.distinct().count()
+
+
+def test_lines_of_other_runs_are_not_parsed(spark, tmp_path):
+    """Whatever a line looks like, it is kept if it may be of a wanted run."""
+    lines = [
+        '{"scan_id":1,"history_id":7,"payload":{"info":{"targets":"a"}}}',
+        '{"scan_id":1,"history_id":8,"payload":{"info":{"targets":"other"}}}',
+        '{ "payload":{"info":{"targets":"b"}}, "history_id" : 7 , "scan_id":1}',
+        '{"scan_id":1,"payload":{"info":{"targets":"c","history_id":8}},"history_id":7}',
+        '{"scan_id":1,"history\\u005fid":7,"payload":{"info":{"targets":"d"}}}',
+        '{"scan_id":1,"history_id":"7","payload":{"info":{"targets":"no number"}}}',
+        '{"scan_id":1,"history_id":70,"payload":{"info":{"targets":"other"}}}',
+        '{"scan_id":1,"payload":{"info":{"targets":"no run"}}}', "", "broken",
+    ]
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "x.json").write_text("\n".join(lines))
+    runs = spark.sql("SELECT 1L scan_id, 7L history_id")
+    every, some = read_payloads(spark, str(tmp_path), "run", lines=True), read_payloads_of(spark, str(tmp_path), "run", runs)
+    of = lambda rows: sorted(r[0] for r in rows.join(runs, ["scan_id", "history_id"], "left_semi").select("info.targets").collect())
+    assert of(some) == of(every) == ["a", "b", "c", "d"]
+    assert "other" not in [r[0] for r in some.select("info.targets").collect()]
+    assert some.schema.simpleString() == every.schema.simpleString()
+    # The tests for null that Spark adds to joins must not parse each line once more.
+    plan = some.join(runs, ["scan_id", "history_id"], "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(from_json" not in plan
+
+
+def test_runs_too_far_apart_for_bitmaps_are_read_all_the_same(spark, tmp_path):
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "x.json").write_text('{"scan_id":1,"history_id":9000000000,"payload":{}}\n{"scan_id":1,"history_id":5}')
+    runs = spark.sql("SELECT 1L scan_id, explode(array(1L, 9000000000L)) history_id")
+    some = read_payloads_of(spark, str(tmp_path), "run", runs)
+    assert some.join(runs, ["scan_id", "history_id"], "left_semi").count() == 1
+
+
+@pytest.fixture
+def odd_tables(spark, small_tables, tmp_path):
+    """With nulls, lines and plugins that come twice, and a run that is listed for two scans."""
+    add = {
+        "part": "SELECT 1L p_partkey, repeat('part ', 20) || 1 p_name, 'b' p_brand, 't' p_type, 1 p_size",
+        "orders": "SELECT 3L o_orderkey, 9L o_custkey, 'F' o_orderstatus, TIMESTAMP_NTZ '2024-01-01 00:00:00' o_orderdate, '1' o_orderpriority",
+        "lineitem": "SELECT * FROM VALUES (3L, 1L, 1L, 6D), (3L, 1L, 1L, 9D), (3L, null, 1L, 6D), (3L, 99L, null, 6D), "
+                    "(3L, 2L, 77L, 1D), (3L, 2L, 78L, null), (null, 2L, 1L, 6D), (555L, 2L, 1L, 6D) AS t(l_orderkey, l_partkey, l_suppkey, l_quantity)",
+    }
+    for name, rows in add.items():
+        spark.sql(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}.parquet")
+    return small_tables
+
+
+def test_answers_are_made_from_lines_that_are_shuffled_once(spark, odd_tables):
+    from breachlens.sources import sample
+
+    root = sample_landing.land(spark, odd_tables, f"{shared_dir(spark)}/landing-odd")
+    landing = read_landing(spark, root, lines=True)
+    runs = sample.scan_run(spark, odd_tables).select("scan_run_id", "scan_id")
+    counted = lambda rows: sorted(map(tuple, rows.collect()), key=str)
+    assert counted(landing.host.select("history_id", "host_id", "scan_id", "info.host-ip")) == counted(
+        sample.host(spark, odd_tables).select("scan_run_id", "scanner_host_id", "scan_id", "host_ip")
+    )
+    assert counted(landing.finding.select("history_id", "host_id", "scan_id", "plugin_id")) == counted(
+        sample.host_vuln(spark, odd_tables).join(runs, "scan_run_id").join(
+            sample.plugin(spark, odd_tables).select("plugin_id"), "plugin_id", "left"
+        ).select("scan_run_id", "scanner_host_id", "scan_id", "plugin_id")
+    )
+    third = landing.run.filter("history_id = 3").select(F.size("hosts"), "info.hostcount", F.expr(
+        "aggregate(vulnerabilities, 0L, (n, v) -> n + v.count)"
+    )).distinct().collect()
+    plain = sample.host_vuln(spark, odd_tables).filter("scan_run_id = 3").join(
+        sample.plugin(spark, odd_tables).select("plugin_id"), "plugin_id", "left"
+    ).agg(F.expr("sum(1 + plugin_id % 3)")).first()[0]
+    hosts = sample.host(spark, odd_tables).filter("scan_run_id = 3").count()
+    assert [tuple(r) for r in third] == [(hosts, hosts, plain)]
+    no_host = landing.host.filter("host_id IS NULL").select(F.size("vulnerabilities")).collect()
+    assert [r[0] for r in no_host] == [0, 0]
+    with sample_landing._hosts_found(spark, odd_tables) as found:
+        for kind, rows in sample_landing._answers(spark, odd_tables, found).items():
+            assert not [f for f in rows.inputFiles() if "lineitem" in f], kind

@@ -187,3 +187,19 @@ def test_answers_are_made_from_lines_that_are_shuffled_once(spark, odd_tables):
     with sample_landing._hosts_found(spark, odd_tables) as found:
         for kind, rows in sample_landing._answers(spark, odd_tables, found).items():
             assert not [f for f in rows.inputFiles() if "lineitem" in f], kind
+
+
+def test_a_batch_of_texts_is_read_once_and_dealt_out_by_kind(spark, tmp_path):
+    from breachlens.streaming import arrivals
+
+    rows = [("run", "p1", "a"), ("host", "p2", "b"), ("run", "p3", None), ("", "p4", "c")]
+    batch = spark.createDataFrame(rows, "kind STRING, path STRING, value STRING").selectExpr(
+        "kind", "path", "TIMESTAMP '2024-01-01 00:00:00' landed_at", "value"
+    )
+    with arrivals._texts(batch, f"{tmp_path}/landed") as texts:
+        assert sorted(r.path for r in texts.filter("kind = 'run'").collect()) == ["p1", "p3"]
+        assert texts.filter("kind = 'finding'").isEmpty()
+        assert all("kind=" in f for f in texts.inputFiles())
+    with arrivals._texts(batch.filter("false"), f"{tmp_path}/landed") as texts:
+        assert texts.filter("kind = 'run'").isEmpty()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
